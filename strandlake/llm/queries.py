@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of the problems and their queries.
 QUERIES = {
+    "unify": ("p1_forms", "p1_found"),
+    "formatdup": ("p3_records", "p3_found"),
     "encode": ("p6_ids",),
     "survivor": ("p5_survivors", "p5_found"),
 }
@@ -19,4 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strandlake.llm import formatdup
+
+    return {"p3_found": formatdup.P3_SQL}
