@@ -12,6 +12,7 @@ QUERIES = {
     "unify": ("p1_forms", "p1_found"),
     "formatdup": ("p3_records", "p3_found"),
     "encode": ("p6_ids",),
+    "langid": ("p4_documents", "p4_segments", "p4_found"),
     "pack": ("p7_containers", "p7_fill"),
     "survivor": ("p5_survivors", "p5_found"),
 }
