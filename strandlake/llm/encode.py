@@ -12,10 +12,12 @@ text; blank texts are encoded as they are; equal rows have equal lists; other co
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: Entries that a worker remembers at most, and the longest pre-token that it remembers.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 
-_encoders: dict[int, ForcedBoundaryEncoder] = {}
+_encoders: dict[str, ForcedBoundaryEncoder] = {}
 
 
 class ForcedBoundaryEncoder:
@@ -85,8 +87,8 @@ class ForcedBoundaryEncoder:
         return ids
 
 
-def _encoder(rank_file) -> ForcedBoundaryEncoder:
-    key = rank_file.id if hasattr(rank_file, "id") else hash(rank_file)
+def _encoder(key: str, rank_file: Broadcast) -> ForcedBoundaryEncoder:
+    """The worker's encoder of a rank file, kept between tasks."""
     if key not in _encoders:
         _encoders[key] = ForcedBoundaryEncoder(rank_file.value)
     return _encoders[key]
@@ -98,20 +100,21 @@ def encoder_udf(spark: SparkSession, vocabulary: str = "byte_bpe_50k", folder: s
     The rank file (under 1 MB, a fixed size) reaches the workers as a broadcast variable.
     """
     with open(tokenizer_path(f"{vocabulary}.tiktoken", folder), "rb") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+        content = file.read()
+    shared, key = spark.sparkContext.broadcast(content), hashlib.sha256(content).hexdigest()
 
     if lengths:
 
         @F.arrow_udf("int")
         def count_ids(texts: pa.Array) -> pa.Array:
-            encode = _encoder(shared).encode
+            encode = _encoder(key, shared).encode
             return pa.array([len(encode(t.as_py() or "")) for t in texts], type=pa.int32())
 
         return count_ids
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        encode = _encoder(shared).encode
+        encode = _encoder(key, shared).encode
         parts, offsets, total = [], [0], 0
         for text in texts:
             ids = encode(text.as_py() or "")

@@ -17,8 +17,8 @@ without samples gives every language the same probability. Positions are code po
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable
 
@@ -229,7 +229,7 @@ def _joined(document: list, path: np.ndarray, scores: np.ndarray) -> list[dict]:
     return out
 
 
-_models: dict[int, PieceModel] = {}
+_models: dict[str, PieceModel] = {}
 
 
 def confirmed(model: PieceModel, labelled: list[tuple[str | None, str | None]]) -> list[tuple[str, str]]:
@@ -251,13 +251,14 @@ def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | Non
     model = PieceModel(pieces).train(labelled)
     if more is not None:
         model = PieceModel(pieces).train(labelled + confirmed(model, [(r.label, r.text) for r in more.select("label", "text").collect()]))
-    shared = spark.sparkContext.broadcast((pieces, model.probabilities.astype(np.float64)))
+    shared, key = spark.sparkContext.broadcast((pieces, model.probabilities)), uuid.uuid4().hex
 
     @F.pandas_udf("array<struct<start_pos bigint, end_pos bigint, lang string, full_sentences int, confidence double>>")
     def of(texts: pd.Series) -> pd.Series:
-        own = _models.get(shared.id)
+        own = _models.get(key)
         if own is None or len(own.table) > CACHE_ENTRIES:
-            own = _models[shared.id] = PieceModel(*shared.value)
+            _models.clear()
+            own = _models[key] = PieceModel(*shared.value)
         return pd.Series(stretches(own, texts.tolist()), dtype=object)
 
     return of
