@@ -14,6 +14,7 @@ QUERIES = {
     "encode": ("p6_ids",),
     "langid": ("p4_documents", "p4_segments", "p4_found"),
     "pack": ("p7_containers", "p7_fill"),
+    "severity": ("p8_scores", "p8_sources", "p8_found"),
     "survivor": ("p5_survivors", "p5_found"),
 }
 
