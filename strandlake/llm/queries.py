@@ -15,6 +15,7 @@ QUERIES = {
     "langid": ("p4_documents", "p4_segments", "p4_found"),
     "pack": ("p7_containers", "p7_fill"),
     "severity": ("p8_scores", "p8_sources", "p8_found"),
+    "pii": ("p2_redacted", "p2_found"),
     "survivor": ("p5_survivors", "p5_found"),
 }
 

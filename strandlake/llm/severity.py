@@ -145,7 +145,8 @@ class SeverityModel:
         often, seldom = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for begin, chunk in chunks:
             bucket, owner, document, _ = features(chunk)
-            pairs = np.unique(document[owner] * BUCKETS + bucket)
+            pairs = np.sort(document[owner] * BUCKETS + bucket)
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
             in_rated = rated[begin + pairs // BUCKETS]
             often += np.bincount(pairs[in_rated] % BUCKETS, minlength=BUCKETS)
             seldom += np.bincount(pairs[~in_rated] % BUCKETS, minlength=BUCKETS)
