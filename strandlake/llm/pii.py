@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from strandlake.common import read_table
 from strandlake.llm.pii_model import KINDS, Tagger, char_classes
 
-#: Characters of a window and of the overlap of neighbours; windows decoded at once; the least probability isn't used.
-WINDOW, OVERLAP, BATCH = 256, 64, 1024
+#: Characters of a window and of the overlap of neighbours; windows decoded at once.
+WINDOW, OVERLAP, BATCH = 384, 64, 1024
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 _MAIL = re.compile(r"[\w.+'\-]+(?:\s?[@＠]\s?|\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?|\sat\s)[\w\-]+(?:(?:\.|．|\s?[(\[]\s?(?:dot|DOT|Dot)\s?[)\]]\s?|\sdot\s)[\w\-]+)+", re.A)
 _NUMBER = re.compile(r"[+＋(（]?[\d０-９](?:[\d０-９]|[ ()/.\-    ‑－]{1,2}(?=[\d０-９(]))+[\d０-９]?")
-_ID = re.compile(r"[A-Za-z]{0,3}[  ]?[\dA-Z０-９Ｘ](?:[\dA-Za-z０-９Ｘ]|[ \-    ](?=[\dA-Z０-９]))+")
+_ID = re.compile(r"(?<![^\W_一-鿿])(?:[A-Z]{1,2}[  ]?)?[\dA-Z０-９Ｘ](?:[\dA-Z０-９Ｘ]|[ \-    ](?=[\dA-Z０-９]))+")
 _WORD = re.compile(r"[^\W\d_]")
 
 
@@ -85,6 +85,8 @@ def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
         return span if span and 7 <= digits <= 16 else None
     if kind == "id_number":
         span = _overlapping(_ID, text, begin, end)
+        if span and span[0] < begin and text[begin - 1].isspace() and not any(c.isdigit() for c in text[span[0] : begin]):
+            span = (begin, span[1])  # a word before the number
         return span if span and sum(c.isdigit() for c in text[span[0] : span[1]]) >= 5 else None
     while begin < end and not (text[begin].isalnum()):
         begin += 1
@@ -94,7 +96,7 @@ def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
         return None
     latin = text[begin].isascii() or "À" <= text[begin] <= "ɏ"
     if kind == "address":
-        while begin and text[begin - 1].isalnum() and text[begin].isalnum() and (latin == (text[begin - 1] < "　")):
+        while begin and text[begin - 1].isalnum() and text[begin - 1] < "　" and text[begin] < "　":
             begin -= 1
         return (begin, end) if any(c.isdigit() for c in text[begin:end]) else None
     if latin:

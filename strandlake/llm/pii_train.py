@@ -12,6 +12,7 @@ import random
 import re
 import sys
 import time
+from collections import Counter
 
 import numpy as np
 
@@ -141,20 +142,21 @@ def address(region: str) -> str:
 
 #: Carrier sentences: {n} name, {e} mail address, {p} phone, {i} identity number, {a} address, {x} a project, {t} a thing, {k} a number.
 CARRIERS = {
-    "en": """Questions about this page go to {n} at {e} or by phone on {p}.|Contact: {n} <{e}>|Reference: {n}, {p}, {e}.|Tax and identity checks used {i}; mail the result to {e}.|The draft still carries my home address, {a}, in the header.
-The signed copy was sent to {a} for {n}.|Please call {p} before noon; {k} slots are left.|{e} reported {k} broken links in {x}.|When {x} failed, {n} restarted the {t} by hand.|Thanks to {n} and {n} for testing the {t}.|Reviewed by {n} in week {k} of the course.
-Her visa form for {x} lists the number {i}, so keep the file private.|{n} | {a} | {p} | {e}|My passport {i} expires soon.|Write to {e} for details.|I spoke with {n} about {x}.|{n} wrote the {t}.|Ship it to {a}.|Call {n} on {p}.|SSN: {i}|Name: {n}\nPhone: {p}\nEmail: {e}|{n}, {a}|The {t} was handed over to {n} in 2024.|Interviewer: {n}""",
-    "de": """Fragen zu {x} beantwortet {n} unter {p} oder {e}.|Die Unterlagen gehen an {n}, {a}.|Die Ausweisnummer {i} steht noch im Entwurf von {x}.|Geprüft von {n} im Jahr 2025.|Kontakt: {n}, {e}|{n} | {a} | {p} | {e}|{n} hat {x} neu gestartet.|Meine Anschrift lautet {a}.|Rückruf bitte an {p}.|Dank an {n} für die Prüfung.""",
-    "fr": """Pour toute question sur {x}, écrivez à {n}, {e}, ou appelez le {p}.|Le dossier est envoyé à {n}, {a}.|Le numéro {i} figure encore dans le brouillon de {x}.|Relu par {n} en 2023.|Contact : {n}, {e}|{n} | {a} | {p} | {e}|Merci à {n} pour les tests de {x}.|J'habite au {a}.|Appelez le {p} avant midi.""",
-    "es": """Las dudas sobre {x} las atiende {n} en {e} o en el {p}.|El expediente se envía a {n}, {a}.|El documento {i} aparece todavía en el borrador de {x}.|Revisado por {n} en 2024.|Contacto: {n}, {e}|{n} | {a} | {p} | {e}|Gracias a {n} por probar {x}.|Mi dirección es {a}.|Llame al {p} antes del mediodía.|Dúvidas sobre {x}: {n}, {e}.|Revisto por {n} em 2024.""",
-    "zh": """如有问题请联系{n}，邮箱{e}，电话{p}。|推荐人：{n}，{p}，{e}。|草稿页眉里仍有我的家庭住址：{a}。|证件{i}已核对，结果发到{e}。|表格里填写的身份证号是{i}，请不要公开该文件。|签字版已寄往{a}，收件人{n}。|请在中午之前拨打{p}，还剩{k}个名额。|{x}出错后，由{n}手动重启{t}。|{n}在2025年{m}月审阅了{x}。|感谢{n}和{n}测试{t}。
-{e}报告了{x}中的{k}个失效链接。|{n} | {a} | {p} | {e}|姓名：{n}\n电话：{p}\n邮箱：{e}|负责人是{n}，住在{a}。|护照号{i}即将到期。|{n}同学负责{t}。""",
+    "en": """Questions about this page go to {n} at {e} or by phone on {p}.¦Contact: {n} <{e}>¦Reference: {n}, {p}, {e}.¦Tax and identity checks used {i}; mail the result to {e}.¦The draft still carries my home address, {a}, in the header.
+The signed copy was sent to {a} for {n}.¦Please call {p} before noon; {k} slots are left.¦{e} reported {k} broken links in {x}.¦When {x} failed, {n} restarted the {t} by hand.¦Thanks to {n} and {n} for testing the {t}.¦Reviewed by {n} in week {k} of the course.
+Her visa form for {x} lists the number {i}, so keep the file private.¦{n} | {a} | {p} | {e}¦My passport {i} expires soon.¦Write to {e} for details.¦I spoke with {n} about {x}.¦{n} wrote the {t}.¦Ship it to {a}.¦Call {n} on {p}.¦SSN: {i}¦Name: {n}\nPhone: {p}\nEmail: {e}¦{n}, {a}¦The {t} was handed over to {n} in 2024.¦Interviewer: {n}""",
+    "de": """Fragen zu {x} beantwortet {n} unter {p} oder {e}.¦Die Unterlagen gehen an {n}, {a}.¦Die Ausweisnummer {i} steht noch im Entwurf von {x}.¦Geprüft von {n} im Jahr 2025.¦Kontakt: {n}, {e}¦{n} | {a} | {p} | {e}¦{n} hat {x} neu gestartet.¦Meine Anschrift lautet {a}.¦Rückruf bitte an {p}.¦Dank an {n} für die Prüfung.""",
+    "fr": """Pour toute question sur {x}, écrivez à {n}, {e}, ou appelez le {p}.¦Le dossier est envoyé à {n}, {a}.¦Le numéro {i} figure encore dans le brouillon de {x}.¦Relu par {n} en 2023.¦Contact : {n}, {e}¦{n} | {a} | {p} | {e}¦Merci à {n} pour les tests de {x}.¦J'habite au {a}.¦Appelez le {p} avant midi.""",
+    "es": """Las dudas sobre {x} las atiende {n} en {e} o en el {p}.¦El expediente se envía a {n}, {a}.¦El documento {i} aparece todavía en el borrador de {x}.¦Revisado por {n} en 2024.¦Contacto: {n}, {e}¦{n} | {a} | {p} | {e}¦Gracias a {n} por probar {x}.¦Mi dirección es {a}.¦Llame al {p} antes del mediodía.¦Dúvidas sobre {x}: {n}, {e}.¦Revisto por {n} em 2024.""",
+    "zh": """如有问题请联系{n}，邮箱{e}，电话{p}。¦推荐人：{n}，{p}，{e}。¦草稿页眉里仍有我的家庭住址：{a}。¦证件{i}已核对，结果发到{e}。¦表格里填写的身份证号是{i}，请不要公开该文件。¦签字版已寄往{a}，收件人{n}。¦请在中午之前拨打{p}，还剩{k}个名额。¦{x}出错后，由{n}手动重启{t}。¦{n}在2025年{m}月审阅了{x}。¦感谢{n}和{n}测试{t}。
+{e}报告了{x}中的{k}个失效链接。¦{n} | {a} | {p} | {e}¦姓名：{n}\n电话：{p}\n邮箱：{e}¦负责人是{n}，住在{a}。¦护照号{i}即将到期。¦{n}同学负责{t}。""",
 }
-LOOKALIKES = """Run {d11} finished and wrote {k} rows for {x}.|Shipment {d18} left the queue after {k} retries.|Order 2024-5550-{d3} was closed together with build {d9}.|Port 8080, room 4-120 and shelf 17 {s} stay reserved for {x}.|Section 12 Main Results spans {k} pages, see figure 3-09.|{x} and {x} are code names, not people.
-The package @harbor/{w} pins model@v{k}.{k} for tests.|@all the {t} is back.|0.{d4} 17 32 64 128 256 512 1024 2048|# {d10}|Ticket {k}-{k} and invoice {d8} belong to {x}.|The Main Street Gallery theme has {k} colours.|订单号{d18}在重试{k}次后离开队列。|任务{d11}已结束，共写入{k}行。|第12号会议室留给{x}使用，座位{k}个。|{x}和{x}都是项目代号，版本{k}.{k}。
-Release {k}.{k}.{k} fixed {t} on 2024-05-{m}.|SELECT * FROM t{d4} WHERE id = {d8}|Die Bestellung {d10} ist erledigt.|Le lot {d9} est prêt.|El pedido {d10} está listo."""
-CUES = re.compile(r"[@＠]|\(at\)|\[at\]|Contact|Questions about|Reference:|identity checks|home address|signed copy|visa form|Please call|Thanks to|Reviewed by|by hand|broken links|Fragen zu|Unterlagen|Ausweis|Geprüft von|Gepr|Las dudas|expediente|El documento|Revis|Pour toute|dossier|Le num|Relu par|联系|聯繫|推荐人|推薦人|住址|证件|證件|身份证|寄往|拨打|撥打|手动|手動|审阅|審閱|感谢|感謝|失效链接|收件人|\|", re.I)
-PROJECTS = ("Copper Ferry", "Amber Loom", "Quiet Finch", "Silver Compass", "Mossy Willow", "Hidden Sparrow", "Gilded Walnut", "Idle Burrow", "Paper Almanac", "Distant Patrol", "Crimson Gate", "Blue Lantern")
+LOOKALIKES = """{j} 2020 – {j} 2024 | {x} | {w}¦{j} 2019 – {j} 2025 · {x} · {w}¦教育背景\n{j} 2021 – {j} 2023 | {x} | {w}¦## Education\n{j} 2018 – {j} 2021 | {x}
+Run {d11} finished and wrote {k} rows for {x}.¦Shipment {d18} left the queue after {k} retries.¦Order 2024-5550-{d3} was closed together with build {d9}.¦Port 8080, room 4-120 and shelf 17 {s} stay reserved for {x}.¦Section 12 Main Results spans {k} pages, see figure 3-09.¦{x} and {x} are code names, not people.
+The package @harbor/{w} pins model@v{k}.{k} for tests.¦@all the {t} is back.¦0.{d4} 17 32 64 128 256 512 1024 2048¦# {d10}¦Ticket {k}-{k} and invoice {d8} belong to {x}.¦The Main Street Gallery theme has {k} colours.¦订单号{d18}在重试{k}次后离开队列。¦任务{d11}已结束，共写入{k}行。¦第12号会议室留给{x}使用，座位{k}个。¦{x}和{x}都是项目代号，版本{k}.{k}。
+Release {k}.{k}.{k} fixed {t} on 2024-05-{m}.¦SELECT * FROM t{d4} WHERE id = {d8}¦Die Bestellung {d10} ist erledigt.¦Le lot {d9} est prêt.¦El pedido {d10} está listo."""
+CUES = re.compile(r"[@＠]|\(at\)|\[at\]|Contact|Questions about|Reference:|identity checks|home address|signed copy|visa form|Please call|Thanks to|Reviewed by|by hand|broken links|Fragen zu|Unterlagen|Ausweis|Geprüft von|Gepr|Las dudas|expediente|El documento|Revis|Pour toute|dossier|Le num|Relu par|联系|聯繫|推荐人|推薦人|住址|证件|證件|身份证|寄往|拨打|撥打|手动|手動|审阅|審閱|感谢|感謝|失效链接|收件人", re.I)
+PROJECTS = ["Copper Ferry", "Amber Loom", "Quiet Finch", "Silver Compass", "Mossy Willow", "Hidden Sparrow", "Gilded Walnut", "Idle Burrow", "Paper Almanac", "Distant Patrol", "Crimson Gate", "Blue Lantern"]
 ZH_PROJECTS = ("白石引擎", "青岚检索台", "夜航助手", "浅蓝画册", "铜灯导航", "北辰档案馆", "松间地图", "静水看板", "云阶题库", "拾光沙盒")
 THINGS = {"en": ("query planner", "upload form", "chunking step", "dashboard", "parser", "feature store", "login screen", "search index"), "zh": ("查询规划", "上传表单", "清洗步骤", "检索层", "登录页", "解析器")}
 
@@ -162,7 +164,7 @@ THINGS = {"en": ("query planner", "upload form", "chunking step", "dashboard", "
 def fill(sentence: str, region: str) -> tuple[str, list[tuple[int, int, str]]]:
     """A carrier filled with made-up mentions, and their spans."""
     makers = {"n": (zh_name if region == "zh" and R.random() < 0.95 else name, "name"), "e": (email, "email"), "p": (lambda: phone(region), "phone"), "i": (lambda: id_number(region), "id_number"), "a": (lambda: address(region), "address")}
-    plain = {"x": lambda: pick(ZH_PROJECTS) if region == "zh" and R.random() < 0.8 else pick(PROJECTS), "t": lambda: pick(THINGS.get(region, THINGS["en"])), "k": lambda: str(R.randrange(1, 9999)), "m": lambda: str(R.randrange(1, 13)), "s": lambda: f"{pick(STREETS)} {pick(WAYS)}", "w": lambda: pick(MAIL_WORDS)}
+    plain = {"x": lambda: pick(ZH_PROJECTS) if region == "zh" and R.random() < 0.8 else pick(PROJECTS), "t": lambda: pick(THINGS.get(region, THINGS["en"])), "k": lambda: str(R.randrange(1, 9999)), "m": lambda: str(R.randrange(1, 13)), "j": lambda: pick("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()), "s": lambda: f"{pick(STREETS)} {pick(WAYS)}", "w": lambda: pick(MAIL_WORDS)}
     text, spans = "", []
     for part in re.split(r"(\{\w+\})", sentence):
         key = part[1:-1] if part.startswith("{") else None
@@ -186,9 +188,9 @@ def window(background: dict[str, list[str]], size: int) -> tuple[np.ndarray, np.
     while len(text) < size + 60:
         roll = R.random()
         if roll < 0.4:
-            part, found = fill(pick([s for block in CARRIERS[region].split("\n") for s in block.split("|")]), region) if R.random() < 0.7 else fill(pick(_lines(region)), region)
+            part, found = fill(pick([s for block in CARRIERS[region].split("\n") for s in block.split("¦")]), region) if R.random() < 0.7 else fill(pick(_lines(region)), region)
         elif roll < 0.52:
-            part, found = fill(pick([s for block in LOOKALIKES.split("\n") for s in block.split("|")]), region)
+            part, found = fill(pick([s for block in LOOKALIKES.split("\n") for s in block.split("¦")]), region)
         else:
             part, found = pick(background.get(region) or background["en"]) if R.random() < 0.85 else pick(background[pick(sorted(background))]), []
         if R.random() < 0.04:
@@ -223,6 +225,8 @@ def read_background(folder: str) -> dict[str, list[str]]:
             if 8 < len(s) < 260 and not CUES.search(s):
                 language = "zh" if re.search("[一-鿿]", s) else (label or "")[:2].lower()
                 out.setdefault({"ge": "de", "sp": "es", "fr": "fr", "de": "de", "es": "es", "zh": "zh"}.get(language, "en" if language == "en" else "other"), set()).add(s)
+    titles = Counter(m for s in out["en"] for m in set(re.findall(r"(?<=[a-z,] )[A-Z][a-z]+ [A-Z][a-z]+\b", s)))
+    PROJECTS.extend(sorted(t for t, n in titles.items() if n >= 3))
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -252,9 +256,9 @@ def gradients(p: dict[str, np.ndarray], classes: np.ndarray, tags: np.ndarray) -
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = h @ p[f"{d}_u"] + p[f"{d}_x"][classes[t]]
             g = np.clip(0.25 * z[:, : 3 * n] + 0.5, 0, 1)
-            new, before, last = np.tanh(z[:, 3 * n :]), c, h
+            new, before, last = np.clip(z[:, 3 * n :], -1, 1), c, h
             c = g[:, n : 2 * n] * c + g[:, :n] * new
-            out = np.tanh(c)
+            out = np.clip(c, -1, 1)
             h = g[:, 2 * n :] * out
             trace.append((t, g, new, before, last, out, h))
         kept[d] = trace
@@ -298,9 +302,9 @@ def gradients(p: dict[str, np.ndarray], classes: np.ndarray, tags: np.ndarray) -
         for t, g, new, before, last, out, _ in reversed(kept[d]):
             dh = dh_all[t] + dh_next
             do = dh * out
-            dc = dh * g[:, 2 * n :] * (1 - out**2) + dc_next
+            dc = dh * g[:, 2 * n :] * (np.abs(out) < 1) + dc_next
             dg = np.concatenate([dc * new, dc * before, do], axis=1) * (0.25 * ((g > 0) & (g < 1)))
-            dz = np.concatenate([dg, dc * g[:, :n] * (1 - new**2)], axis=1)
+            dz = np.concatenate([dg, dc * g[:, :n] * (np.abs(new) < 1)], axis=1)
             dz_all[t] = dz
             grads[f"{d}_u"] += last.T @ dz
             dh_next, dc_next = dz @ p[f"{d}_u"].T, dc * g[:, n : 2 * n]
