@@ -1,11 +1,474 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries of the reference's operators, each with the SQL that says the same.
+
+Every query reads whole tables. Searches take every document whose id is divisible by 50 as a question (its title)
+and search all documents; vector searches likewise. Floats are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strandlake.common import read_table
+from strandlake.functions import keys
+from strandlake.functions import text as T
+from strandlake.operators import catalog, chunking, evaluate, retrieval, versions
+from strandlake.plans import prompt
+from strandlake.streaming import rate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: SQL pieces with {x} for a column; the class of white space is spelled out as in functions.text.
+_SPACES = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BUDGET = rf"[A-Za-z0-9][A-Za-z0-9.+#:_/-]*|[\x{{3400}}-\x{{9fff}}]|[^{_SPACES}A-Za-z0-9\x{{3400}}-\x{{9fff}}]"
+_TOKENS = "len(regexp_extract_all({x}, '" + _BUDGET + "'))"
+_SEARCH = r"""list_concat(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9.+#:_/-]*'),
+  flatten(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '[\x{3400}-\x{9fff}]+'), lambda r: list_concat(list_transform(range(1, len(r) + 1), lambda k: substr(r, k::bigint, 1)), list_transform(range(1, len(r)), lambda k: substr(r, k::bigint, 2))))))"""
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(title) > 0")
+    return asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+
+
+# --- texts -------------------------------------------------------------------------------------------------------
+
+
+@register(f"select doc_id, {_TOKENS.replace('{x}', 'text')}::bigint as tokens, length(text)::bigint as chars from documents where text is not null")
+def text_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).filter("text is not null").select("doc_id", T.count_tokens(F.col("text")).alias("tokens"), F.length("text").cast("bigint").alias("chars"))
+
+
+_WHITE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\r\n?', chr(10), 'g'), '[\t\f\x0b ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[S]+|[S]+$', '', 'g')""".replace("[S]", f"[{_SPACES}]")
+
+
+@register(f"select doc_id, sha256({_WHITE.replace('{x}', 'text')}) as clean_hash from documents where text is not null")
+def text_clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).filter("text is not null").select("doc_id", F.sha2(T.normalize_whitespace(F.col("text")), 256).alias("clean_hash"))
+
+
+@register()
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup, entities, mail and web addresses out of every catalog body."""
+    cleaned = T.clean_text(F.col("body"), urls=True, emails=True)
+    return read_table(spark, sf_dir, "catalog_documents").select("doc_id", cleaned.alias("body"))
+
+
+@register(r"""select doc_id, case when len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) >= greatest(3.0, length(text) * 0.05) then 'zh' else 'en' end as detected from documents where text is not null""")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).filter("text is not null").select("doc_id", T.detect_language(F.col("text")).alias("detected"))
+
+
+@register(r"""select doc_id, (regexp_matches(lower(url), '^https?://[^/?#\s]+'))::boolean as valid, try_cast(regexp_extract(updated, '(20\d{2})', 1) as integer) * 10000.0 + try_cast(regexp_extract(updated, '20\d{2}-(\d{2})', 1) as integer) * 100 + try_cast(regexp_extract(updated, '20\d{2}-\d{2}-(\d{2})', 1) as integer) as updated_number
+from portfolio_docs where url is not null""")
+def url_and_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "portfolio_docs").filter("url is not null")
+    return rows.select("doc_id", T.valid_http_url(F.col("url")).alias("valid"), T.date_number(F.col("updated")).alias("updated_number"))
+
+
+@register(r"""select doc_id, (regexp_matches(coalesce(body, ''), '(^|[^\d])\d{17}[\dXx]($|[^\d])'))::boolean as has_national_id from catalog_documents""")
+def national_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "catalog_documents").select("doc_id", F.array_contains(T.public_pii_kinds(F.col("body")), "national_id").alias("has_national_id"))
+
+
+@register()
+def pii_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents")
+    return rows.select("doc_id", F.array_join(T.local_pii_kinds(F.col("body")), ",").alias("local_kinds"), F.array_join(T.public_pii_kinds(F.col("body")), ",").alias("public_kinds"))
+
+
+@register()
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents")
+    title = T.markdown_title(F.col("body"), F.coalesce(F.col("title"), F.lit("")))
+    return rows.select("doc_id", title.alias("title"), T.version_title_key(F.coalesce("title", F.lit(""))).alias("version_key"), T.slugify(F.coalesce("title", F.lit(""))).alias("slug"), T.is_mojibake(F.col("body")).alias("mojibake"))
+
+
+# --- identities, duplicates, versions ------------------------------------------------------------------------------
+
+
+@register("""select doc_id, sha256(text) as content_hash, 'doc_' || substr(sha256(coalesce(title, '') || chr(10) || sha256(text)), 1, 20) as key from documents where text is not null""")
+def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).filter("text is not null")
+    return rows.select("doc_id", keys.content_hash(F.col("text")).alias("content_hash"), keys.document_id(F.col("title"), F.col("text")).alias("key"))
+
+
+@register("""select sha256(text) as content_hash, count(*) as copies, min(doc_id) as first_id, max(doc_id) as last_id from documents where text is not null group by 1 having count(*) > 1""")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).filter("text is not null")
+    return catalog.duplicate_groups(rows.select("doc_id", keys.content_hash(F.col("text")).alias("content_hash")))
+
+
+@register("""select doc_id, source from (select *, row_number() over (partition by sha256(text) order by doc_id) as n from documents where text is not null) where n = 1""")
+def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).filter("text is not null").select("doc_id", "source", keys.content_hash(F.col("text")).alias("h"))
+    return catalog.keep_first(rows, "h", "doc_id").select("doc_id", "source")
+
+
+@register("""select doc_id, space_id from (select *, row_number() over (partition by content_hash order by updated_at desc, doc_id desc) as n from catalog_documents where content_hash <> '') where n = 1""")
+def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents").filter("content_hash <> ''").select("doc_id", "space_id", "content_hash", "updated_at")
+    return catalog.keep_last(rows, "content_hash", "updated_at", "doc_id").select("doc_id", "space_id")
+
+
+@register("""select version_group_id, max_by(doc_id, coalesce(modified_at, '') || chr(31) || coalesce(updated_at, '') || chr(31) || doc_id) as doc_id, count(*) as members from catalog_documents where version_group_id is not null group by 1""")
+def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.latest_versions(read_table(spark, sf_dir, "catalog_documents"))
+
+
+@register()
+def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents similar to another by shared words and stretches, in groups."""
+    return versions.version_members(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "body"))
+
+
+# --- chunks --------------------------------------------------------------------------------------------------------
+
+_WINDOWS = "unnest(range(0, case when length(text) <= 800 then 1 else ceil((length(text) - 800) / 720.0)::bigint + 1 end))"
+
+
+@register(f"""select doc_id, k::integer as chunk_index, sha256(substr(text, k * 720 + 1, 800)) as chunk_hash from (select doc_id, text, {_WINDOWS} as k from documents where length(text) > 0)""")
+def chunk_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.fixed_windows(_documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return made.select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
+
+
+@register(f"""with c as (select doc_id, substr(text, k * 720 + 1, 800) as b from (select doc_id, text, {_WINDOWS} as k from documents where length(text) > 0)),
+g as (select doc_id, count(*) as chunks, round_even(avg(length(b)), 0)::bigint as average_length, min(length(b))::integer as min_length, max(length(b))::integer as max_length, sum({_TOKENS.replace('{x}', 'b')})::bigint as tokens, sum((length(b) < 100)::integer)::bigint as short_chunks from c group by 1)
+select *, short_chunks >= 0.25 * chunks as many_short, max_length > 1600 as too_long from g""")
+def chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_metrics(chunking.fixed_windows(_documents(spark, sf_dir).select("doc_id", "text"), "text"))
+
+
+@register()
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.split_bodies(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "body"))
+    return made.select("doc_id", "chunk_index", keys.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_body")).alias("chunk_id"), F.length("chunk_body").alias("chars"))
+
+
+@register()
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents").filter("file_type = 'md'").select("doc_id", "body")
+    return chunking.split_bodies(rows, mode="markdown", size=200, overlap=0).select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
+
+
+@register()
+def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.split_bodies(read_table(spark, sf_dir, "portfolio_docs").select("doc_id", "body"), mode="paragraph", size=120, overlap=0)
+    return made.select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
+
+
+@register()
+def chunk_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.hierarchy(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "body"))
+    return made.drop("parent_body", "raw_body")
+
+
+@register("""select doc_id, '[' || concat_ws(' | ', case when trim(coalesce(title, '')) <> '' then 'Document: ' || title end, case when trim(coalesce(project, '')) <> '' then 'Project: ' || project end, case when trim(coalesce(source, '')) <> '' then 'Source: ' || source end, case when trim(coalesce(updated_at, '')) <> '' then 'Updated: ' || updated_at end) || ']' as prefix from catalog_documents""")
+def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = chunking.context_prefix(F.col("title"), F.col("project"), F.lit(None).cast("string"), F.col("source"), F.col("updated_at"))
+    return read_table(spark, sf_dir, "catalog_documents").select("doc_id", line.alias("prefix"))
+
+
+@register()
+def recommended_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.recommended_chunking(F.col("file_type"), F.col("title"), F.col("body"))
+    return read_table(spark, sf_dir, "catalog_documents").select("doc_id", made.alias("r")).select("doc_id", "r.*")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+_BM25 = f"""
+tok as (select doc_id, {_SEARCH.replace('{x}', 'text')} as t from documents),
+tf as (select doc_id, len(t) as length, unnest(t) as term from tok),
+post as (select term, doc_id, length, count(*) as tf from tf group by all),
+asked as (select query_id, term, count(*) as times from (select doc_id as query_id, unnest({_SEARCH.replace('{x}', 'title')}) as term from documents where doc_id % 50 = 0 and length(title) > 0) group by all),
+sizes as (select count(*) as n, greatest(avg(len(t)), 1.0) as avgdl from tok),
+dfs as (select term, count(*) as df from post group by 1),
+scored as (select query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) as bm25_score
+  from post join asked using (term) join dfs using (term), sizes group by all),
+ranked as (select *, row_number() over (partition by query_id order by bm25_score desc, doc_id)::integer as bm25_rank from scored where bm25_score > 0)
+"""
+
+
+@register(f"with {_BM25} select query_id, doc_id, bm25_score from ranked where bm25_rank <= 5")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir))
+    return made.select("query_id", "doc_id", "bm25_score")
+
+
+@register(f"with {_BM25} select query_id, doc_id, round(bm25_score / max(bm25_score) over (partition by query_id), 6) as score from ranked where bm25_rank <= 10")
+def fulltext_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 10)
+    return retrieval.normalize_by_max(made, "bm25_score", "s").select("query_id", "doc_id", F.col("s").alias("score"))
+
+
+_COSINE = """scored as (select q.vec_id as query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0)"""
 
-def queries() -> dict:
-    return {}
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register(f"with {_COSINE} select query_id, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored) where n <= 5")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.vector_top_k(*_vectors(spark, sf_dir))
+    return made.select("query_id", "vec_id", "score")
+
+
+@register(f"with {_COSINE} select query_id, label, vec_id, score from (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as n from scored) where n <= 2")
+def vector_topk_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.vector_top_k(*_vectors(spark, sf_dir), k=2, group="label")
+    return made.select("query_id", "label", "vec_id", "score")
+
+
+@register(f"""with {_COSINE}, top as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored) where n <= 20)
+select query_id, label, vec_id, score from (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as g from top) where g = 1""")
+def diversify_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.vector_top_k(*_vectors(spark, sf_dir), k=20).join(read_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return retrieval.diversify(made, "label", "score", "vec_id").select("query_id", "label", "vec_id", "score")
+
+
+@register(f"""with {_COSINE}, top as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored) where n <= 20),
+firsts as (select *, case when row_number() over (partition by query_id, label order by score desc, vec_id) = 1 then 0 else 1 end as f from top)
+select query_id, label, vec_id, place from (select *, row_number() over (partition by query_id order by f, score desc, vec_id)::integer as place from firsts) where place <= 6""")
+def space_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = retrieval.vector_top_k(*_vectors(spark, sf_dir), k=20).join(read_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return retrieval.balance_spaces(made, 6, "score", "label", "vec_id").select("query_id", "label", "vec_id", "place")
+
+
+_TITLE_RANK = """titles as (select query_id, doc_id, row_number() over (partition by query_id order by len(list_intersect(a, b)) desc, doc_id)::integer as vector_rank from
+ (select q.doc_id as query_id, d.doc_id, regexp_extract_all(lower(q.title), '[a-z0-9]+') as a, regexp_extract_all(lower(d.title), '[a-z0-9]+') as b from documents q join ranked r on r.query_id = q.doc_id and r.bm25_rank <= 30 join documents d on d.doc_id = r.doc_id))"""
+
+
+def _ranked_by_title(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    titles = _documents(spark, sf_dir).select("doc_id", "title")
+    both = hits.join(titles, "doc_id").join(_questions(spark, sf_dir), "query_id").withColumn("shared", F.size(F.array_intersect(words("question"), words("title"))))
+    return both.withColumn("vector_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("shared").desc(), "doc_id")))
+
+
+@register(f"""with {_BM25}, {_TITLE_RANK.replace("lower(d.title)", "lower(coalesce(d.title, ''))")},
+parts as (select query_id, doc_id, 2.0 / (60 + vector_rank) as p from titles union all select query_id, doc_id, 0.7 / (60 + bm25_rank) from ranked where bm25_rank <= 30),
+fused as (select query_id, doc_id, round(sum(p), 6) as fusion_score from parts group by all)
+select query_id, doc_id, fusion_score from (select *, row_number() over (partition by query_id order by fusion_score desc, doc_id) as n from fused) where n <= 10""")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 fused with a second ranking of the same pool (shared title words) by reciprocal ranks."""
+    hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 30)
+    fused = retrieval.reciprocal_rank_fusion(_ranked_by_title(spark, sf_dir, hits), hits)
+    return retrieval.top_k(fused, "fusion_score", 10, "place").select("query_id", "doc_id", "fusion_score")
+
+
+@register(f"""with {_BM25}, pool as (select query_id, r.doc_id, bm25_score, q.title as question, lower(coalesce(d.title, '') || ' ' || coalesce(d.text, '')) as s from ranked r join documents q on q.doc_id = r.query_id join documents d on d.doc_id = r.doc_id where bm25_rank <= 10),
+boosted as (select query_id, doc_id, bm25_score, least(0.18, 0.06 * len(list_filter(list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9.+#-]{{1,}}'), lambda t: lower(t))), lambda t: contains(s, t) and t not in ('and', 'are', 'for', 'from', 'has', 'have', 'the', 'what', 'which', 'with', 'experience')))) as boost from pool)
+select query_id, doc_id, round(boost, 4) as boost from boosted""")
+def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 10)
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    rows = hits.join(_documents(spark, sf_dir).select("doc_id", text.alias("searchable")), "doc_id").join(_questions(spark, sf_dir), "query_id")
+    made = retrieval.keyword_boost(rows.withColumn("zero", F.lit(0.0)), score="zero")
+    return made.select("query_id", "doc_id", F.round("rank_score", 4).alias("boost"))
+
+
+@register()
+def section_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section and freshness boosts of every user message against the chunks of its space's newest section types."""
+    asked = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null and space_id is not null")
+    asked = asked.select(F.col("message_id").alias("query_id"), F.col("content").alias("question"), "space_id").dropDuplicates(["query_id"])
+    best = read_table(spark, sf_dir, "chunks").filter("chunk_id is not null and section_type is not null").groupBy("space_id", "section_type").agg(F.max("updated_at").alias("updated_at"), F.min("chunk_id").alias("chunk_id"))
+    rows = asked.join(best, "space_id").withColumn("base", F.lit(0.5)).withColumn("updated_number", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")))
+    boosted = retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
+    return boosted.select("query_id", "chunk_id", "section_type", "matched_section_intent", "intent_score", "freshness_score")
+
+
+@register()
+def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null").select(F.col("message_id").alias("query_id"), F.col("content").alias("question")).dropDuplicates(["query_id"])
+    made = retrieval.plan_questions(asked)
+    return made.select("query_id", "refused", "fresh", "complex", F.array_join("subqueries", " || ").alias("subqueries"))
+
+
+@register()
+def adaptive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _questions(spark, sf_dir)
+    hits = retrieval.normalize_by_max(retrieval.bm25(_documents(spark, sf_dir), asked, 10), "bm25_score", "score")
+    return retrieval.adaptive_decision(hits, retrieval.plan_questions(asked))
+
+
+@register()
+def subquery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's words as subqueries of two halves, their results merged by hits and best score."""
+    asked = _questions(spark, sf_dir).withColumn("words", F.split("question", r"\s+"))
+    half = F.greatest(F.lit(1), F.floor(F.size("words") / 2).cast("int"))
+    parts = asked.select("query_id", F.posexplode(F.array(F.col("question"), F.array_join(F.slice("words", F.lit(1), half), " "))).alias("part", "question"))
+    numbered = parts.withColumn("query_id", F.col("query_id") * 2 + F.col("part"))
+    hits = retrieval.bm25(_documents(spark, sf_dir), numbered.select("query_id", "question"), 10)
+    back = hits.withColumn("query_id", F.floor(F.col("query_id") / 2))
+    return retrieval.merge_subqueries(back, "bm25_score").filter("place <= 5").select("query_id", "doc_id", "hits", "bm25_score")
+
+
+@register()
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 20)
+    rows = hits.join(_documents(spark, sf_dir).select("doc_id", F.col("text").alias("searchable")), "doc_id").join(_questions(spark, sf_dir), "query_id")
+    return retrieval.rerank(rows, 5).select("query_id", "doc_id", "reranker_score")
+
+
+@register()
+def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 3).withColumnRenamed("bm25_rank", "place")
+    return prompt.contexts(hits.join(_documents(spark, sf_dir).select("doc_id", "title", F.col("text").alias("body")), "doc_id"))
+
+
+_RELEVANT = """rel as (select q.doc_id as query_id, d.doc_id, case when d.doc_id = q.doc_id then 3 else 1 end as relevance from documents q join documents d on d.title = q.title where q.doc_id % 50 = 0 and length(q.title) > 0)"""
+
+
+@register(f"""with {_BM25}, {_RELEVANT},
+ideal as (select query_id, count(*) as expected, list_sort(list(relevance), 'DESC')[1:5] as best from rel group by 1),
+hits as (select r.query_id, r.doc_id, r.bm25_rank as place, coalesce(relevance, 0) as relevance from ranked r left join rel using (query_id, doc_id) where bm25_rank <= 5),
+found as (select query_id, count(distinct case when relevance > 0 then doc_id end) as found, min(case when relevance > 0 then place end) as first, sum(relevance / log2(place + 1)) as gain from hits group by 1)
+select query_id, case when coalesce(found, 0) > 0 then 1 else 0 end as hit, round(coalesce(found, 0) / expected, 6) as recall, round(coalesce(1 / first, 0.0), 6) as reciprocal_rank,
+round(coalesce(gain, 0) / list_sum(list_transform(range(1, len(best) + 1), lambda k: best[k] / log2(k + 1))), 4) as ndcg from ideal left join found using (query_id)""")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 judged on finding the documents of the question's own title."""
+    asked, documents = _questions(spark, sf_dir), _documents(spark, sf_dir)
+    rankings = retrieval.bm25(documents, asked, 5).select("query_id", "doc_id", F.col("bm25_rank").alias("place"))
+    relevant = asked.join(documents.select("doc_id", F.col("title").alias("question")), "question").select("query_id", "doc_id", F.when(F.col("doc_id") == F.col("query_id"), 3).otherwise(1).alias("relevance"))
+    return evaluate.case_metrics(rankings, relevant, 5).withColumn("ndcg", F.round("ndcg", 4))
+
+
+@register("""select q.doc_id as query_id, count(*) as violations from catalog_documents q join catalog_documents d on d.title = q.title where q.visibility = 'public' and d.visibility <> 'public' and length(q.title) > 0 group by 1""")
+def privacy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents").select("doc_id", "title", "visibility")
+    asked = rows.filter("visibility = 'public' and length(title) > 0").select(F.col("doc_id").alias("query_id"), "title")
+    return evaluate.privacy_violations(asked.join(rows.select("doc_id", "title"), "title").select("query_id", "doc_id"), rows)
+
+
+# --- catalog -------------------------------------------------------------------------------------------------------
+
+
+@register("""select doc_id, title, modified_at from catalog_documents where status = 'active' and visibility = 'public' and contains(lower(coalesce(title, '')), 'notes') order by modified_at desc nulls last, title nulls first, doc_id limit 20 offset 20""")
+def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.matching(read_table(spark, sf_dir, "catalog_documents"), {"status": "active", "visibility": "public", "project": "all"}, "notes", ("title",))
+    return catalog.page(rows, 2, 20).select("doc_id", "title", "modified_at")
+
+
+@register("""select s.space_id, s.status, count(d.doc_id) as documents from knowledge_spaces s left join catalog_documents d using (space_id) group by all""")
+def space_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.space_counts(read_table(spark, sf_dir, "catalog_documents"), read_table(spark, sf_dir, "knowledge_spaces")).select("space_id", "status", "documents")
+
+
+@register("""select doc_id, space_name, sha256(case when summary <> '' then summary else body end) as body_hash from catalog_documents d join knowledge_spaces s using (space_id) where d.status = 'active' and s.status = 'active' and coalesce(nullif(summary, ''), body) is not null""")
+def active_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = catalog.active_documents(read_table(spark, sf_dir, "catalog_documents"), read_table(spark, sf_dir, "knowledge_spaces"))
+    return made.filter("body is not null").select("doc_id", "space_name", F.sha2("body", 256).alias("body_hash"))
+
+
+@register("""select count(*) as documents, count(distinct space_id) as spaces, count(version_group_id) as version_members, (select count(*) from (select 1 from catalog_documents where trim(content_hash) <> '' group by content_hash having count(*) > 1)) as duplicate_groups from catalog_documents""")
+def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents")
+    totals = rows.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("space_id").alias("spaces"), F.count("version_group_id").alias("version_members"))
+    groups = catalog.duplicate_groups(rows).agg(F.count(F.lit(1)).alias("duplicate_groups"))
+    return totals.join(groups)  # one row each
+
+
+@register("""with h as (select doc_id, min(content_hash) as a, max(content_hash) as b from chunks where doc_id is not null group by 1)
+select doc_id, case when b is null then 'not_indexed' when a = b and a = content_hash then 'indexed' else 'outdated' end as state from catalog_documents left join h using (doc_id)""")
+def index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.index_states(read_table(spark, sf_dir, "catalog_documents"), read_table(spark, sf_dir, "chunks"))
+
+
+@register("""select project, doc_id, place from (select project, doc_id, row_number() over (partition by project order by relative_path, doc_id)::integer as place from catalog_documents where length(project) > 0) where place <= 2""")
+def top_n_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.top_per_project(read_table(spark, sf_dir, "catalog_documents")).select("project", "doc_id", "place")
+
+
+@register()
+def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the catalog written over itself a second time as a later parse: the kept columns stay."""
+    rows = read_table(spark, sf_dir, "catalog_documents")
+    incoming = rows.withColumn("title", F.upper("title")).withColumn("status", F.lit("discovered")).withColumn("updated_at", F.concat(F.col("updated_at"), F.lit("~")))
+    return catalog.upsert(rows, incoming).select("doc_id", "title", "status", "updated_at")
+
+
+@register("""select c.doc_id, count(*) as chunks, min(d.space_id) as space_id from chunks c join catalog_documents d using (doc_id) group by 1""")
+def moved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, documents = read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "catalog_documents").select("doc_id", "space_id")
+    return catalog.move_space(chunks.join(documents.select("doc_id"), "doc_id", "left_semi"), documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("space_id").alias("space_id"))
+
+
+@register()
+def catalog_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.fingerprint(read_table(spark, sf_dir, "catalog_documents"), "doc_id")
+
+
+@register("""select source, count(*) as documents, sum(size_bytes)::bigint as bytes, count(case when parse_status = 'ready' then 1 end) as ready from catalog_documents group by 1""")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size_bytes").alias("bytes"), F.count(F.when(F.col("parse_status") == "ready", 1)).alias("ready"))
+
+
+@register()
+def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read_table(spark, sf_dir, "portfolio_docs").withColumn("visibility", F.lit("public"))
+    accepted, rejected = catalog.normalize_documents(raw)
+    columns = ("doc_id", "title", "content_hash", "language", "visibility")
+    return accepted.select(*columns, F.lit(True).alias("accepted")).unionByName(rejected.select(*columns, F.lit(False).alias("accepted")))
+
+
+@register()
+def knowledge_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public and active private documents, equal bodies once, public ones first."""
+    public = read_table(spark, sf_dir, "portfolio_docs").select("doc_id", "title", "body")
+    private = catalog.active_documents(read_table(spark, sf_dir, "catalog_documents"), read_table(spark, sf_dir, "knowledge_spaces")).select("doc_id", "title", "body")
+    rows = catalog.knowledge_union(public, private).filter(F.length("body") > 0).withColumn("h", keys.content_hash(F.col("body")))
+    return catalog.keep_first(rows.select("doc_id", "h", "source_order"), "h", "source_order", "doc_id").select("doc_id", "source_order")
+
+
+# --- chats and events ------------------------------------------------------------------------------------------------
+
+
+@register("""with once as (select any_value(session_id) as session_id, message_id, min(sent_at) as sent_at from chat_history group by message_id)
+select session_id, message_id, from_end from (select *, row_number() over (partition by session_id order by sent_at desc, message_id desc)::integer as from_end from once) where from_end <= 12""")
+def history_last12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.last_turns(read_table(spark, sf_dir, "chat_history").select("message_id", "session_id", "sent_at")).select("session_id", "message_id", "from_end")
+
+
+@register("""select user_id, time_bucket(interval '1 day', ts) as bucket_start, count(*) as requests, count(*) <= 2 as allowed from events group by all""")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate.rate_buckets(read_table(spark, sf_dir, "events"), "user_id", "ts", "1 day", 2)
+
+
+@register("""select user_id, event_id, sha256(user_id::varchar || ':' || (epoch_ms(ts) // 60000)::varchar) as bucket_key from events""")
+def rate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("user_id", "event_id", keys.rate_key(F.col("user_id"), F.col("ts").cast("timestamp")).alias("bucket_key"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
