@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.common import read_table
-from strandlake.llm.pii_model import KINDS, Tagger, char_classes
+from strandlake.llm.pii_model import KINDS, Tagger, char_classes, spans_of
 
 #: Characters of a window and of the overlap of neighbours; windows decoded at once.
-WINDOW, OVERLAP, BATCH = 384, 64, 1024
+WINDOW, OVERLAP, BATCH = 640, 64, 1024
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 _MAIL = re.compile(r"[\w.+'\-]+(?:\s?[@＠]\s?|\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?|\sat\s)[\w\-]+(?:(?:\.|．|\s?[(\[]\s?(?:dot|DOT|Dot)\s?[)\]]\s?|\sdot\s)[\w\-]+)+", re.A)
@@ -55,16 +55,6 @@ def reconcile(found: list[tuple[int, int, list[tuple[int, int, str]]]]) -> list[
     return out
 
 
-def _mentions(tags: np.ndarray, offset: int) -> list[tuple[int, int, str]]:
-    out = []
-    for at in np.flatnonzero(tags & 1):
-        end = at + 1
-        while end < len(tags) and tags[end] == tags[at] + 1:
-            end += 1
-        out.append((offset + int(at), offset + end, KINDS[(int(tags[at]) - 1) // 2]))
-    return out
-
-
 def _overlapping(pattern: re.Pattern, text: str, begin: int, end: int) -> tuple[int, int] | None:
     """The longest match near begin..end that shares characters with it."""
     best = None
@@ -122,13 +112,13 @@ def find_mentions(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[in
     raw: dict[int, list[tuple[int, int, list[tuple[int, int, str]]]]] = {k: [] for k in coded}
     for at in range(0, len(jobs), BATCH):
         batch = jobs[at : at + BATCH]
-        classes = np.zeros((batch[-1][0], len(batch)), np.int16)
+        classes = np.zeros((batch[-1][0], len(batch)), np.intp)
         for column, (size, k, a, b) in enumerate(batch):
             classes[:size, column] = coded[k][a:b]
         paths = tagger.decode(classes, np.array([j[0] for j in batch]))
         tagged = paths.any(axis=0)
         for column, (size, k, a, b) in enumerate(batch):
-            raw[k].append((a, b, _mentions(paths[:size, column], a) if tagged[column] else []))
+            raw[k].append((a, b, spans_of(paths[:size, column], a) if tagged[column] else []))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for k, found in raw.items():
         text, last = texts[k], 0

@@ -2,7 +2,8 @@
 
 Gates are hard sigmoids and cell values pass a hard tanh (clipped lines, which cost a fraction of the curves);
 emissions of both directions are summed and a
-linear-chain CRF over B/I tags of each kind decides. Characters enter as classes: ASCII by itself with all digits
+linear-chain CRF over B/I tags of each kind decides. A transition into O or B costs what leaving the one tag and
+entering the other cost, so that a step of decoding takes one maximum for all of them. Characters enter as classes: ASCII by itself with all digits
 as one, accented Latin letters as their base letter, full-width forms as ordinary ones, other alphabets as upper
 or lower case, Han characters by a hash.
 """
@@ -15,7 +16,9 @@ import unicodedata
 import numpy as np
 
 KINDS = ("name", "email", "phone", "id_number", "address")
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+TAGS = ("O", *(f"B-{k}" for k in KINDS), *(f"I-{k}" for k in KINDS))
+#: Tags that may follow any tag (O and B) come first, then the I tags, which follow their own kind only.
+FREE = 1 + len(KINDS)
 HAN_CLASSES, HIDDEN = 384, 20
 #: Classes: 0 other, 1 white space, 2 line feed, 3 digit, 4 invisible, 5/6 Cyrillic or Greek lower/upper, 7 hiragana,
 #: 8 katakana, 9 other letter, then ASCII from "!" to "~", then Han.
@@ -72,7 +75,8 @@ def char_classes(text: str) -> np.ndarray:
 
 
 class Tagger:
-    """Parameters by name: for each direction ``x`` [CLASSES, 4H], ``u`` [H, 4H], ``out`` [H, tags]; ``bias``, ``moves``."""
+    """Parameters by name: for each direction ``x`` [CLASSES, 4H], ``u`` [H, 4H], ``out`` [H, tags]; ``bias`` [tags];
+    transitions ``leave`` [tags], ``enter`` [FREE] and ``stay`` [from B and from I, kinds]."""
 
     def __init__(self, parameters: dict[str, np.ndarray]) -> None:
         self.p = {k: v.astype(np.float32) for k, v in parameters.items()}
@@ -100,13 +104,13 @@ class Tagger:
             np.matmul(u, h, out=z)
             np.take(x, classes[t], axis=1, out=drive, mode="clip")
             np.add(z, drive, out=z)
-            np.clip(gates, 0, 1, out=gates)
-            np.clip(value, -1, 1, out=new)
+            gates.clip(0, 1, out=gates)
+            value.clip(-1, 1, out=new)
             c *= keep
             new *= allow
             c += new
             h = states[t]
-            np.clip(c, -1, 1, out=h)
+            c.clip(-1, 1, out=h)
             h *= show
         return states
 
@@ -118,52 +122,55 @@ class Tagger:
         return e
 
     def decode(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best tag path of every column, [time, batch].
-
-        A mention gains over O at most the sum of its positions' best gains (with the best change of transitions).
-        Positions that no stretch of positive sum covers are O on the best path, so that only the zones between
-        them, with an O on either side, need the search for the path.
-        """
+        """The best tag path of every column, [time, batch]; 0 beyond a column's length."""
         e = self.emissions(classes)
         steps, _, batch = e.shape
-        extra = max(0.0, float((self.p["moves"] - self.p["moves"][0, 0]).max()))
-        gain = e[:, 1:].max(axis=1) - e[:, 0] + np.float32(extra)
-        gain[np.arange(steps)[:, None] >= lengths] = -1e3
-        left, right = gain.copy(), gain.copy()
+        leave, enter, stay = self.p["leave"][:, None], self.p["enter"][:, None], self.p["stay"][:, :, None]
+        scores, tops = e, np.empty((steps, batch), np.float32)  # emissions become path scores in place
+        scores[0, FREE:] -= 1e4
+        out, held = np.empty((len(TAGS), batch), np.float32), np.empty((2, len(KINDS), batch), np.float32)
         for t in range(1, steps):
-            left[t] += np.maximum(left[t - 1], 0)
-        for t in range(steps - 2, -1, -1):
-            right[t] += np.maximum(right[t + 1], 0)
-        open_ = np.zeros((steps + 2, batch), bool)
-        open_[1:-1] = left + right - gain > 0
-        path = np.zeros((steps, batch), np.int8)
-        if open_.any():
-            flips = open_.T[:, 1:] != open_.T[:, :-1]
-            columns, at = np.nonzero(flips)
-            columns, begins, ends = columns[::2], at[::2], at[1::2]
-            order = np.argsort(ends - begins, kind="stable")
-            for k in range(0, len(order), 512):
-                part = order[k : k + 512]
-                self._zones(e, path, columns[part], begins[part], ends[part])
+            last, here = scores[t - 1], scores[t]
+            np.add(last, leave, out=out)
+            np.max(out, axis=0, out=tops[t])
+            np.add(last[1:].reshape(2, len(KINDS), batch), stay, out=held)
+            here[:FREE] += enter
+            here[:FREE] += tops[t]
+            here[FREE:] += np.maximum(held[0], held[1])
+        path, tag = np.zeros((steps, batch), np.int8), np.zeros(batch, np.int64)
+        for t in range(steps - 1, -1, -1):
+            ended = np.flatnonzero(lengths == t + 1)
+            tag[ended] = scores[t][:, ended].argmax(axis=0)
+            path[t] = np.where(lengths > t, tag, 0)
+            if t:
+                # most columns are at O and come from O; only the others look for their source
+                source = np.zeros(batch, np.int64)
+                other = np.flatnonzero((tag >= FREE) | (scores[t - 1, 0] + leave[0] < tops[t]))
+                if len(other):
+                    now, last = tag[other], scores[t - 1][:, other]
+                    free = (last + leave).argmax(axis=0)
+                    kind, each = np.maximum(now - FREE, 0), np.arange(len(other))
+                    from_b, from_i = last[1 + kind, each] + stay[0, kind, 0], last[FREE + kind, each] + stay[1, kind, 0]
+                    source[other] = np.where(now < FREE, free, np.where(from_b >= from_i, 1 + kind, FREE + kind))
+                tag = source
         return path
 
-    def _zones(self, e: np.ndarray, path: np.ndarray, columns: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
-        """Write the best paths of zones (column, begin, end) between two O into ``path``."""
-        moves, sizes = self.p["moves"], ends - begins
-        steps, rows = int(sizes.max()), np.arange(len(columns))
-        best = moves[0] + e[begins, :, columns]
-        first = begins == 0
-        best[first] = e[0][:, columns[first]].T  # a window may begin with any tag but I
-        best[:, 2::2] = np.where(first[:, None], best[:, 2::2] - 1e4, best[:, 2::2])
-        back = np.zeros((steps, len(columns), len(TAGS)), np.int8)
-        for t in range(1, steps):
-            live = sizes > t
-            reach = best[live][:, :, None] + moves
-            source = reach.argmax(axis=1)
-            back[t, live] = source
-            best[live] = np.take_along_axis(reach, source[:, None, :], axis=1)[:, 0] + e[begins[live] + t, :, columns[live]]
-        tag = (best + np.where(ends[:, None] < len(path), moves[:, 0], 0)).argmax(axis=1)
-        for t in range(steps - 1, -1, -1):
-            live = sizes > t
-            path[begins[live] + t, columns[live]] = tag[live]
-            tag = np.where(live, back[t][rows, tag], tag)
+
+def moves_of(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The whole transition matrix of the parameters."""
+    moves = np.full((len(TAGS), len(TAGS)), -1e4)
+    moves[:, :FREE] = p["leave"][:, None] + p["enter"]
+    kinds = np.arange(len(KINDS))
+    moves[1 + kinds, FREE + kinds], moves[FREE + kinds, FREE + kinds] = p["stay"]
+    return moves
+
+
+def spans_of(tags: np.ndarray, offset: int = 0) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of each B tag and the I tags of its kind after it."""
+    out = []
+    for at in np.flatnonzero((tags > 0) & (tags < FREE)):
+        end = at + 1
+        while end < len(tags) and tags[end] == tags[at] + len(KINDS):
+            end += 1
+        out.append((offset + int(at), offset + end, KINDS[int(tags[at]) - 1]))
+    return out

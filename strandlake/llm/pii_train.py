@@ -16,7 +16,7 @@ from collections import Counter
 
 import numpy as np
 
-from strandlake.llm.pii_model import CLASSES, HIDDEN, KINDS, TAGS, Tagger, char_classes
+from strandlake.llm.pii_model import CLASSES, FREE, HIDDEN, KINDS, TAGS, Tagger, char_classes, moves_of, spans_of
 
 FIRST = """Anna Ben Clara David Elena Felix Greta Hugo Ines Jonas Karin Liam Mara Nils Olga Paul Quentin Rosa Samuel Teresa Ulrich Vera Walter Xenia
 Yasmin Zoe Aisha Bruno Chinedu Daria Emil Fatima Goran Hana Ivan Julia Kofi Leila Marco Nadia Omar Petra Ramona Sofia Tomas Ursula Viktor Wanda Yusuf
@@ -144,7 +144,7 @@ def address(region: str) -> str:
 CARRIERS = {
     "en": """Questions about this page go to {n} at {e} or by phone on {p}.¦Contact: {n} <{e}>¦Reference: {n}, {p}, {e}.¦Tax and identity checks used {i}; mail the result to {e}.¦The draft still carries my home address, {a}, in the header.
 The signed copy was sent to {a} for {n}.¦Please call {p} before noon; {k} slots are left.¦{e} reported {k} broken links in {x}.¦When {x} failed, {n} restarted the {t} by hand.¦Thanks to {n} and {n} for testing the {t}.¦Reviewed by {n} in week {k} of the course.
-Her visa form for {x} lists the number {i}, so keep the file private.¦{n} | {a} | {p} | {e}¦My passport {i} expires soon.¦Write to {e} for details.¦I spoke with {n} about {x}.¦{n} wrote the {t}.¦Ship it to {a}.¦Call {n} on {p}.¦SSN: {i}¦Name: {n}\nPhone: {p}\nEmail: {e}¦{n}, {a}¦The {t} was handed over to {n} in 2024.¦Interviewer: {n}""",
+Her visa form for {x} lists the number {i}, so keep the file private.¦{n} | {a} | {p} | {e}¦My passport {i} expires soon.¦Write to {e} for details.¦I spoke with {n} about {x}.¦{n} wrote the {t}.¦Ship it to {a}.¦Call {n} on {p}.¦SSN: {i}¦Name: {n}\nPhone: {p}\nEmail: {e}¦{n}, {a}¦The {t} was handed over to {n} in 2024.¦Interviewer: {n}¦When {x} failed, {n} restarted the {t} by hand.¦Reviewed by {n} in week {k} of the {w} course.¦Thanks to {n} and {n} for testing the {t}.¦{n} and {n} met in the lab.¦As {n} said, the {t} works.¦Signed by {n}.""",
     "de": """Fragen zu {x} beantwortet {n} unter {p} oder {e}.¦Die Unterlagen gehen an {n}, {a}.¦Die Ausweisnummer {i} steht noch im Entwurf von {x}.¦Geprüft von {n} im Jahr 2025.¦Kontakt: {n}, {e}¦{n} | {a} | {p} | {e}¦{n} hat {x} neu gestartet.¦Meine Anschrift lautet {a}.¦Rückruf bitte an {p}.¦Dank an {n} für die Prüfung.""",
     "fr": """Pour toute question sur {x}, écrivez à {n}, {e}, ou appelez le {p}.¦Le dossier est envoyé à {n}, {a}.¦Le numéro {i} figure encore dans le brouillon de {x}.¦Relu par {n} en 2023.¦Contact : {n}, {e}¦{n} | {a} | {p} | {e}¦Merci à {n} pour les tests de {x}.¦J'habite au {a}.¦Appelez le {p} avant midi.""",
     "es": """Las dudas sobre {x} las atiende {n} en {e} o en el {p}.¦El expediente se envía a {n}, {a}.¦El documento {i} aparece todavía en el borrador de {x}.¦Revisado por {n} en 2024.¦Contacto: {n}, {e}¦{n} | {a} | {p} | {e}¦Gracias a {n} por probar {x}.¦Mi dirección es {a}.¦Llame al {p} antes del mediodía.¦Dúvidas sobre {x}: {n}, {e}.¦Revisto por {n} em 2024.""",
@@ -201,11 +201,11 @@ def window(background: dict[str, list[str]], size: int) -> tuple[np.ndarray, np.
     begin = R.randrange(0, 60) if R.random() < 0.5 else 0
     tags = np.zeros(len(text), np.int8)
     for a, b, kind in spans:
-        tags[a] = 1 + 2 * KINDS.index(kind)
-        tags[a + 1 : b] = 2 + 2 * KINDS.index(kind)
+        tags[a] = 1 + KINDS.index(kind)
+        tags[a + 1 : b] = FREE + KINDS.index(kind)
     tags = tags[begin : begin + size].copy()
-    if tags[0] and tags[0] % 2 == 0:  # a mention cut by the window's begin begins there
-        tags[0] -= 1
+    if tags[0] >= FREE:  # a mention cut by the window's begin begins there
+        tags[0] -= len(KINDS)
     return char_classes(text)[begin : begin + size], tags
 
 
@@ -238,11 +238,7 @@ def start(seed: int = 1) -> dict[str, np.ndarray]:
         p[f"{d}_x"][:, HIDDEN : 2 * HIDDEN] += 1.5
         p[f"{d}_u"] = np.concatenate([np.linalg.qr(g.normal(size=(HIDDEN, HIDDEN)))[0] for _ in range(4)], axis=1)
         p[f"{d}_out"] = g.normal(0, 0.3, (HIDDEN, len(TAGS)))
-    p["bias"], p["moves"] = np.zeros(len(TAGS)), np.zeros((len(TAGS), len(TAGS)))
-    for a, before in enumerate(TAGS):
-        for b, after in enumerate(TAGS):
-            if after[0] == "I" and before[1:] != after[1:]:
-                p["moves"][a, b] = -1e4
+    p |= {"bias": np.zeros(len(TAGS)), "leave": np.zeros(len(TAGS)), "enter": np.zeros(FREE), "stay": np.zeros((2, len(KINDS)))}
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
@@ -268,7 +264,7 @@ def gradients(p: dict[str, np.ndarray], classes: np.ndarray, tags: np.ndarray) -
         for row in kept[d]:
             states[d][row[0]] = row[6]
     e = states["f"] @ p["f_out"] + states["b"] @ p["b_out"] + p["bias"]
-    moves, rows, size = p["moves"], np.arange(batch), len(TAGS)
+    moves, rows, size = moves_of(p), np.arange(batch), len(TAGS)
 
     def fold(x: np.ndarray) -> np.ndarray:
         top = x.max(axis=-1, keepdims=True)
@@ -276,7 +272,7 @@ def gradients(p: dict[str, np.ndarray], classes: np.ndarray, tags: np.ndarray) -
 
     alpha, beta = np.empty((steps, batch, size)), np.zeros((steps, batch, size))
     alpha[0] = e[0]
-    alpha[0, :, 2::2] -= 1e4
+    alpha[0, :, FREE:] -= 1e4
     for t in range(1, steps):
         alpha[t] = fold(alpha[t - 1][:, None, :] + moves.T) + e[t]
     for t in range(steps - 2, -1, -1):
@@ -291,7 +287,9 @@ def gradients(p: dict[str, np.ndarray], classes: np.ndarray, tags: np.ndarray) -
         pair = np.exp(alpha[t - 1][:, :, None] + moves + (e[t] + beta[t])[:, None, :] - total[:, None, None])
         grad_moves += pair.sum(axis=0)
     np.add.at(grad_moves, (tags[:-1].ravel(), tags[1:].ravel()), -1)
-    grads["moves"] = np.where(moves < -5e3, 0, grad_moves).astype(np.float32)
+    grads["leave"], grads["enter"] = grad_moves[:, :FREE].sum(axis=1), grad_moves[:, :FREE].sum(axis=0)
+    kinds = np.arange(len(KINDS))
+    grads["stay"] = np.stack([grad_moves[1 + kinds, FREE + kinds], grad_moves[FREE + kinds, FREE + kinds]])
     de = (marginal - gold).astype(np.float32)
     grads["bias"] = de.sum(axis=(0, 1))
     for d in "fb":
@@ -308,9 +306,11 @@ def gradients(p: dict[str, np.ndarray], classes: np.ndarray, tags: np.ndarray) -
             dz_all[t] = dz
             grads[f"{d}_u"] += last.T @ dz
             dh_next, dc_next = dz @ p[f"{d}_u"].T, dc * g[:, n : 2 * n]
-        np.add.at(grads[f"{d}_x"], classes.ravel(), dz_all.reshape(-1, 4 * n))
+        order = np.argsort(classes, axis=None, kind="stable")
+        present, begins = np.unique(classes.ravel()[order], return_index=True)
+        grads[f"{d}_x"][present] = np.add.reduceat(dz_all.reshape(-1, 4 * n)[order], begins, axis=0)
     count = steps * batch
-    return float(total.sum() - score) / count, {k: v / count for k, v in grads.items()}
+    return float(total.sum() - score) / count, {k: (v / count).astype(np.float32) for k, v in grads.items()}
 
 
 _background: dict[str, list[str]] = {}
@@ -344,7 +344,7 @@ def train(folder: str, minutes: float, workers: int = 8, batch: int = 24, size:
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-8)).astype(np.float32)
             if step % 25 == 0:
                 print(step, round(loss, 5), round(spent, 2), flush=True)
-    np.savez_compressed(__file__.replace("pii_train.py", "pii_weights.npz"), **{k: x.astype(np.float16) if k != "moves" else x for k, x in p.items()})
+    np.savez_compressed(__file__.replace("pii_train.py", "pii_weights.npz"), **{k: x.astype(np.float16) for k, x in p.items()})
 
 
 def held_out(windows: int = 400, seed: int = 7) -> dict[str, tuple[float, float]]:
@@ -361,17 +361,6 @@ def held_out(windows: int = 400, seed: int = 7) -> dict[str, tuple[float, float]
     return {k: (h / max(1, f), h / max(1, g)) for k, (h, f, g) in hits.items()}
 
 
-def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of each run of B and I tags."""
-    out = []
-    for at in np.flatnonzero(tags % 2 == 1):
-        end = at + 1
-        while end < len(tags) and tags[end] == tags[at] + 1:
-            end += 1
-        out.append((int(at), end, KINDS[(int(tags[at]) - 1) // 2]))
-    return out
-
-
 if __name__ == "__main__":
     train(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 5)
     print(held_out())
