@@ -22,10 +22,9 @@ def body_features(df: DataFrame, body: str = "body") -> DataFrame:
     low = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), r"\s+", " "))
     words = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w).between(2, 40))
     tight = F.regexp_replace(low, r"\s+", "")
-    starts = F.when(F.length(tight) >= 12, F.sequence(F.lit(1), F.length(tight) - 11, F.lit(6))).otherwise(F.array().cast("array<int>"))
-    made = df.select("doc_id", low.alias("low"), words.alias("words"), tight.alias("tight"), starts.alias("starts"))
-    stretches = F.transform("starts", lambda k: F.substring(F.col("tight"), k, F.lit(12)))
-    return made.select("doc_id", F.array_distinct(F.transform(F.concat("words", stretches), lambda f: F.xxhash64(f))).alias("features")).filter(F.size("features") > 0)
+    # stretches from every 6th character: those from every 12th, and from every 12th after the first 6
+    stretches = F.concat(*(F.regexp_extract_all(t, F.lit(r"(?s).{12}"), F.lit(0)) for t in (tight, F.substring(tight, 7, 1 << 30))))
+    return df.select("doc_id", F.array_distinct(F.transform(F.concat(words, stretches), lambda f: F.xxhash64(f))).alias("features")).filter(F.size("features") > 0)
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.78) -> DataFrame:
