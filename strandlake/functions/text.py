@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that count as white space, spelled out because Java and Python differ.
 SPACES = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -43,7 +44,7 @@ def normalize_whitespace(text: Column) -> Column:
     return strip_unicode(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
@@ -124,7 +125,7 @@ def markdown_title(text: Column, fallback: Column) -> Column:
 
 def is_mojibake(text: Column) -> Column:
     """Text whose bytes were read in the wrong encoding: replacement characters or typical pairs."""
-    return F.coalesce(text.rlike("�|Ã[-¿]|â€|锟斤拷"), F.lit(False))
+    return F.coalesce(text.rlike(r"\x{FFFD}|Ã[\x{80}-\x{BF}]|â€|锟斤拷"), F.lit(False))
 
 
 def valid_http_url(url: Column) -> Column:
