@@ -35,8 +35,8 @@ ROWS_PER_FILTER = 1 << 20
 
 
 def bare(text: Column) -> Column:
-    """Letters and digits only, case-folded (upper then lower, so that ß equals SS)."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, case-folded (upper then lower; ß, whose capital is SS, as ss)."""
+    return F.regexp_replace(F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", "")
 
 
 def record_form(body: Column, file_type: Column) -> Column:
@@ -173,7 +173,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in DuckDB, for bodies in which JSON records keep to the form "name": "value".
-P3_BARE = "regexp_replace(lower(upper({x})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+P3_BARE = "regexp_replace(replace(lower(upper({x})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 P3_SQL = f"""
 with parts as (
   select doc_id, file_type, {P3_BARE.format(x='body')} as plain,

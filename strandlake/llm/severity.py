@@ -42,8 +42,9 @@ BALANCE = 0.2
 FOLDS, TRUSTED, DOUBTED = 3, 0.3, 0.02
 
 #: Digits and signs that stand for letters inside words.
-STAND_INS = str.maketrans("01345789@$!", "oieastbgasi")
-_HIDDEN = re.compile(r"(?<=[a-zß-ÿ])[013457@$!*]+(?=[a-zß-ÿ@$])|(?<![\w.])[0134579@$]+(?=[a-zß-ÿ]{2})|(?<=[a-zß-ÿ])[@$]+(?!\w)|(?<=[a-zß-ÿ][013457@$])[a-zß-ÿ013457@$]+")
+STAND_INS = str.maketrans("0134578@$", "oieastbas")
+_HIDDEN = re.compile(r"(?<![\w.])(?=[a-z0-9@$]*[a-z])(?=[a-z0-9@$]*[0-9@$])[a-z0-9@$]{4,}(?!\w)")
+_STARS = re.compile(r"(?<=[a-z])\*+(?=[a-z])")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-*_·]){2,}\w(?!\w)")
 _IN_HAN = re.compile(r"(?<=[぀-鿿])[ \-.*_·•]+(?=[぀-鿿])")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:][0-9]+)*")
@@ -55,7 +56,7 @@ UNIT, DOCUMENT = "\x1e", "\x1d"
 def plain_form(text: str) -> str:
     """Lower case, one alphabet, numbers as 0, hidden spellings undone, sentences ended by UNIT."""
     text = unicodedata.normalize("NFKC", unify_text(text)[0] or "").lower()
-    text = _HIDDEN.sub(lambda m: m.group().translate(STAND_INS).replace("*", ""), text)
+    text = _STARS.sub("", _HIDDEN.sub(lambda m: m.group().translate(STAND_INS), text))
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-*_·]", "", m.group()), text)
     text = _IN_HAN.sub("", text)
     text = _REPEAT.sub(r"\1", _NUMBER.sub("0", text))
