@@ -59,3 +59,14 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
         return public_tokenizers.path(name)
     return os.path.join(folder, name)
+
+
+def first_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
+    """A bounded, repeatable sample: about the first ``most`` rows, and no more, by a hash of ``key``.
+
+    The rows are counted first and cut by a bound on the hash, so that every task sends the driver only its part of
+    the sample, and not ``most`` rows of its own.
+    """
+    number, count = F.xxhash64(key), df.count()
+    bound = int(min(1.0, (1.2 * most + 50) / max(1, count)) * 2**64) - 2**63
+    return df.filter(number <= F.lit(min(bound, 2**63 - 1))).orderBy(number, key).limit(most)

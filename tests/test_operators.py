@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.common import spread_join
+from strandlake.common import first_by_hash, spread_join
 from strandlake.operators import catalog, chunking, evaluate, retrieval, versions
 from strandlake.sources import readers
 from strandlake.streaming import rate
@@ -126,3 +126,10 @@ def test_readers(spark, tmp_path):
     (folder / "scan.png").write_bytes(b"x")
     (folder / "bad.docx").write_bytes(b"x")
     assert {r.path.rsplit("/", 1)[1]: r.parse_status.split(":")[0] for r in readers.scan_folder(spark, str(folder)).collect()} == {"long.md": "ready", "short.txt": "short", "scan.png": "needs_ocr", "bad.docx": "parse_error"}
+
+
+def test_first_by_hash_is_bounded_and_repeatable(spark):
+    df = spark.range(20_000)
+    once = {r.id for r in first_by_hash(df, "id", 500).collect()}
+    assert 450 <= len(once) <= 500 and once == {r.id for r in first_by_hash(df.repartition(7), "id", 500).collect()}
+    assert first_by_hash(df.limit(3), "id", 500).count() == 3 and first_by_hash(df.limit(0), "id", 5).count() == 0
