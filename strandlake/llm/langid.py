@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.common import read_table, tokenizer_path
+from strandlake.common import first_by_hash, read_table, tokenizer_path
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt", "ja", "ru")
 #: Names of the languages in labels, beside their codes.
@@ -39,8 +39,8 @@ NAMES = {
 #: Iterations of expectation maximisation, weight of the common distribution in each language's, largest evidence
 #: (nats) of one word, cost of a change of language between sentences, words of a sentence that counts as full.
 ITERATIONS, COMMON, MOST_EVIDENCE, CHANGE_COST, FULL_WORDS, FULL_HAN = 4, 0.1, 4.0, 5.0, 4, 6
-#: The model of the samples reads this many labelled documents (of MORE_CHARS at most, the first by hash of the id),
-#: and those wholly in the language that their label names are added to the samples.
+#: The model of the samples reads this many labelled documents at most (the first by hash of the id, of those up to
+#: MORE_CHARS), and those wholly in the language that their label names are added to the samples.
 MORE_DOCUMENTS, MORE_CHARS = 3000, 2000
 CACHE_ENTRIES = 150_000
 
@@ -286,8 +286,8 @@ def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, doc_key, label, stretches of each text and ``languages``, those with a full sentence."""
     texts = labelled_texts(spark, sf_dir)
-    usable = texts.filter((F.col("src") == "documents") & F.col("label").isNotNull() & (F.length("text") <= MORE_CHARS))
-    more = usable.orderBy(F.xxhash64("doc_key"), "doc_key").limit(MORE_DOCUMENTS)
+    chosen = first_by_hash(texts.filter((F.col("src") == "documents") & F.col("label").isNotNull()).select("doc_key"), "doc_key", MORE_DOCUMENTS)
+    more = texts.filter((F.col("src") == "documents") & (F.length("text") <= MORE_CHARS)).join(chosen, "doc_key", "left_semi").orderBy("doc_key")
     of = stretches_udf(spark, read_table(spark, sf_dir, "language_samples"), more)
     found = texts.select("src", "doc_key", "label", of("text").alias("stretches"))
     whole = F.filter("stretches", lambda s: s["full_sentences"] > 0)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.common import read_table
+from strandlake.common import first_by_hash, read_table
 from strandlake.llm.unify import unify_text
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -236,15 +236,15 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train_model(documents: DataFrame, labels: DataFrame) -> SeverityModel:
-    """A model from a bounded sample of the rated documents."""
-    known = documents.filter(F.length("text").between(1, MOST_CHARS)).select("doc_id", "text").join(graded(labels), "doc_id")
-    first = lambda df, most: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    unrated = documents.filter(F.length("text").between(1, MOST_CHARS)).select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_anti")
-    sample = first(known.filter("+".join(CATEGORIES) + " = 0"), MOST_CLEAN)
-    sample = sample.unionByName(first(unrated, MOST_UNRATED).select("*", *(F.lit(0).alias(c) for c in CATEGORIES)))
+    """A model from a bounded sample of the rated documents, chosen by their ids before any text is read."""
+    known = graded(labels)
+    sample = first_by_hash(known.filter("+".join(CATEGORIES) + " = 0"), "doc_id", MOST_CLEAN)
     for c in CATEGORIES:
-        sample = sample.unionByName(first(known.filter(F.col(c) > 0), MOST_RATED))
-    rows = sample.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+        sample = sample.unionByName(first_by_hash(known.filter(F.col(c) > 0), "doc_id", MOST_RATED))
+    unrated = documents.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
+    sample = sample.unionByName(first_by_hash(unrated, "doc_id", MOST_UNRATED).select("doc_id", *(F.lit(0).alias(c) for c in CATEGORIES)))
+    texts = documents.filter(F.length("text").between(1, MOST_CHARS)).select("doc_id", "text")
+    rows = texts.join(sample.dropDuplicates(["doc_id"]), "doc_id").toPandas().sort_values("doc_id")
     return SeverityModel().train(rows["text"].tolist(), rows[list(CATEGORIES)].to_numpy(np.int64).reshape(len(rows), len(CATEGORIES)))
 
 
