@@ -177,3 +177,38 @@ def public_pii_kinds(text: Column) -> Column:
         F.when(text.rlike(r"(?<!\d)(?:1[3-9]\d{9}|0?4\d{8}|(?:\+?\d{1,3}[ -]?)?(?:\(?\d{2,4}\)?[ -])\d{3,4}[ -]\d{3,4})(?!\d)"), "phone"),
         F.when(text.rlike(r"(?iu)(?:家庭住址|家庭地址|住址|home address|residential address)\s*[：:]\s*[^\n]+"), "address"),
     ))
+
+
+#: Elements that end a line of text, and named entities come out by ``unescape_entities``.
+BLOCKS = "p|div|section|article|header|footer|ul|ol|table|blockquote|pre|h[1-6]|li|tr"
+
+
+def html_to_text(markup: Column) -> Column:
+    """Structured text of a page: headings as #, list items as -, table cells joined by |, one line for each block."""
+    text = F.regexp_replace(markup, r"(?is)<(script|style|head|nav)\b.*?</\1>", " ")
+    text = F.regexp_replace(text, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | ")
+    for level in range(1, 7):
+        text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)<li\b[^>]*>", "\n- "), r"(?i)<br\s*/?>", "\n")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
+    return normalize_whitespace(unescape_entities(F.regexp_replace(text, r"<[^>]+>", "")))
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A rough size: Han characters singly, words of letters as one, runs of kana, Hangul or Thai by halves."""
+    text = F.coalesce(text, F.lit(""))
+    dense = r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0E00}-\x{0E7F}]+"
+    halves = F.aggregate(F.regexp_extract_all(text, F.lit(dense), F.lit(0)), F.lit(0), lambda n, run: (n + F.ceil(F.length(run) / 2)).cast("int"))
+    rest = F.regexp_replace(text, dense, " ")
+    return F.regexp_count(rest, F.lit(r"[\x{4E00}-\x{9FFF}]")) + F.regexp_count(F.regexp_replace(rest, r"[\x{4E00}-\x{9FFF}]", " "), F.lit(r"[\p{L}\p{N}_]+")) + halves
+
+
+def is_resume(name: Column) -> Column:
+    """Whether a name or title marks a résumé."""
+    return F.coalesce(F.lower(name).rlike(r"(?<![a-z])(?:r[eé]sum[eé]|cv|curriculum vitae)(?![a-z])|简历"), F.lit(False))
+
+
+def recommended_profile(file_type: Column, title: Column, body: Column) -> Column:
+    """The chunk mode that a document's kind and size call for."""
+    size = estimated_tokens(body)
+    return F.when(is_resume(title), "resume_semantic").when(F.lower(file_type).isin("csv", "json") & (size <= 500), "general").when(size > 2000, "parent_child").otherwise("general")

@@ -6,12 +6,15 @@ meets another in a task's memory.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import keys
-from strandlake.functions.split import SPLITTERS, split_recursive
+from strandlake.functions.resume import units_of
+from strandlake.functions.split import SPLITTERS, split_recursive, token_length
 from strandlake.functions.text import count_tokens
 
 
@@ -48,6 +51,59 @@ def hierarchy(df: DataFrame, *, mode: str = "recursive", parent_tokens: int = 70
     return made.select("doc_id", "parent_index", "parent_chunk_id", "child_index", child.alias("chunk_id"), "parent_body", "raw_body", count_tokens(F.col("raw_body")).alias("token_count"), F.length("raw_body").alias("character_count"))
 
 
+def resume_units(df: DataFrame, size: int = 700) -> DataFrame:
+    """Résumé segments: section, entity, priority and pieces of up to ``size`` tokens, each with its entity's title.
+
+    Pieces of an entity share a semantic group; all summaries of a section are one group.
+    """
+
+    @F.pandas_udf("array<struct<section_type string, label string, entity_title string, retrieval_priority string, raw_body string>>")
+    def segments(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[dict]:
+            rows = []
+            for unit in units_of(text or ""):
+                whole = "\n\n".join(unit.paragraphs)
+                pieces = [whole]
+                if token_length(whole) > size:
+                    room = max(40, size - token_length(unit.title))
+                    parts = split_recursive("\n\n".join(unit.paragraphs[1:]) or whole, room, patterns=False)
+                    pieces = [f"{unit.title}\n\n{p}" for p in parts] if len(unit.paragraphs) > 1 else parts
+                rows += [{"section_type": unit.section, "label": unit.label, "entity_title": unit.title, "retrieval_priority": unit.priority, "raw_body": p} for p in pieces]
+            return rows
+
+        return texts.map(of)
+
+    made = df.select("doc_id", F.posexplode(segments("body")).alias("chunk_index", "s")).select("doc_id", "chunk_index", "s.*")
+    grouped_by = F.when(F.col("section_type") == "summary", F.col("label")).otherwise(F.col("entity_title"))
+    group = keys.digest("group_", 20, F.col("doc_id"), F.col("section_type"), F.lower(F.regexp_replace(grouped_by, r"[\s:*#：]+", "")))
+    return made.withColumn("semantic_group_id", group)
+
+
+def sentence_chunks(df: DataFrame, size: int = 180, body: str = "body") -> DataFrame:
+    """Whole sentences packed greedily up to ``size`` tokens, the packing of published texts."""
+
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[str]:
+            out: list[str] = []
+            held = 0
+            for sentence in re.split(r"(?<=[。！？.!?])\s*", text or ""):
+                length = token_length(sentence)
+                if not sentence.strip():
+                    continue
+                if out and held + length <= size:
+                    out[-1], held = f"{out[-1]} {sentence}" if sentence.isascii() else out[-1] + sentence, held + length
+                else:
+                    parts = [sentence] if length <= size else split_recursive(sentence, size, patterns=False)
+                    out += parts
+                    held = token_length(parts[-1]) if parts else 0
+            return out
+
+        return texts.map(of)
+
+    return df.select("*", F.posexplode(packed(F.col(body))).alias("chunk_index", "chunk_body"))
+
+
 def chunk_metrics(chunks: DataFrame, body: str = "chunk_body") -> DataFrame:
     """Counts, lengths and warnings for the chunks of each document (halves round to even)."""
     length = F.length(body)

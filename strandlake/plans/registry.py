@@ -189,6 +189,43 @@ def context_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "catalog_documents").select("doc_id", line.alias("prefix"))
 
 
+@register()
+def resume_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).filter("doc_kind = 'resume'").select("doc_id", F.col("text").alias("body"))
+    made = chunking.resume_units(rows)
+    return made.select("doc_id", "chunk_index", "section_type", "retrieval_priority", "semantic_group_id", F.sha2("raw_body", 256).alias("chunk_hash"))
+
+
+@register()
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.sentence_chunks(read_table(spark, sf_dir, "portfolio_docs").select("doc_id", "body"))
+    return made.select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"), T.count_tokens(F.col("chunk_body")).alias("tokens"))
+
+
+@register()
+def recommended_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "catalog_documents")
+    mode = T.recommended_profile(F.col("file_type"), F.col("title"), F.col("body"))
+    return rows.select("doc_id", T.estimated_tokens(F.col("body")).alias("estimated_tokens"), T.is_resume(F.col("title")).alias("is_resume"), mode.alias("mode"))
+
+
+@register()
+def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured text of every document, markup in it or not."""
+    return _documents(spark, sf_dir).filter("text is not null").select("doc_id", F.sha2(T.html_to_text(F.col("text")), 256).alias("text_hash"))
+
+
+@register()
+def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every question's best documents of the catalog, chosen greedily by parent and group."""
+    rows = read_table(spark, sf_dir, "catalog_documents").select("doc_id", "title", "body")
+    asked = rows.filter("title is not null and pmod(xxhash64(doc_id), 50) = 0").select(F.xxhash64("doc_id").alias("query_id"), F.col("title").alias("question"))
+    hits = retrieval.bm25(rows.withColumn("text", F.concat_ws(" ", "title", "body")), asked, 20)
+    chunks = read_table(spark, sf_dir, "chunks").filter("chunk_id is not null").select("chunk_id", "doc_id", "parent_chunk_id", "semantic_group_id").dropDuplicates(["chunk_id"])
+    pool = retrieval.top_k(hits.join(chunks, "doc_id").withColumnRenamed("bm25_score", "score"), "score", 50, "candidate", "chunk_id")
+    return retrieval.select_contexts(pool).select("query_id", "chunk_id", "place")
+
+
 @register()
 def recommended_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.recommended_chunking(F.col("file_type"), F.col("title"), F.col("body"))

@@ -58,3 +58,10 @@ def test_split_overlap_and_modes():
 
 def test_pattern_separator_cuts_before_last_letter():
     assert split.split_recursive("hello world foo", 2, 0, measure=lambda t: len(t.split()))[0].startswith("hell")
+
+
+def test_html_and_sizes(spark):
+    page = "<html><head><title>x</title></head><body><h2>Head</h2><p>a &amp; b<br>c</p><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>2</td></tr></table><script>z</script></body></html>"
+    assert value(spark, T.html_to_text, page, None, "plain") == ["## Head\n\na & b\nc\n\n- one\n\n- two\n\n1 | 2", None, "plain"]
+    assert value(spark, T.estimated_tokens, "two words 数据 カタカナ", None) == [6, 0]
+    assert value(spark, T.is_resume, "my CV 2024", "简历草稿", "curve", None) == [True, True, False, False]

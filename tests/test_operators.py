@@ -133,3 +133,21 @@ def test_first_by_hash_is_bounded_and_repeatable(spark):
     once = {r.id for r in first_by_hash(df, "id", 500).collect()}
     assert 450 <= len(once) <= 500 and once == {r.id for r in first_by_hash(df.repartition(7), "id", 500).collect()}
     assert first_by_hash(df.limit(3), "id", 500).count() == 3 and first_by_hash(df.limit(0), "id", 5).count() == 0
+
+
+def test_resume_units(spark):
+    text = "Nora H.\n\nEducation\n\nNorth University 2019 - 2023\n\nCourses: statistics\n\nProjects\n\nLoom | 2022\n\n- built it\n\nShop\n\nTech stack: Kafka\n\nProfile\n\nFirst.\n\nSecond.\n\nSkills\n\nProgramming and development\n\nJava\n\nAlso: Go"
+    df = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "doc_id string, body string")
+    got = [(r.section_type, r.entity_title, r.retrieval_priority) for r in chunking.resume_units(df).orderBy("chunk_index").collect()]
+    assert got == [("profile", "基本信息", "primary"), ("education", "North University 2019 - 2023", "primary"), ("project", "Loom | 2022", "primary"), ("project", "Shop", "primary"), ("summary", "Profile 1", "primary"), ("summary", "Profile 2", "secondary"), ("skill", "Programming and development", "primary"), ("skill", "Additional skill variants", "secondary")]
+    long = spark.createDataFrame([("d", "Projects\n\nLoom | 2022\n\n" + "word " * 900)], "doc_id string, body string")
+    rows = chunking.resume_units(long, 300).collect()
+    assert len(rows) > 2 and all(r.raw_body.startswith("Loom | 2022") for r in rows) and len({r.semantic_group_id for r in rows}) == 1
+
+
+def test_sentence_chunks_and_contexts(spark):
+    df = spark.createDataFrame([(1, "One two. Three four! 五六。七八。" + "x " * 50), (2, None)], "doc_id int, body string")
+    rows = chunking.sentence_chunks(df, 6).collect()
+    assert rows[0].chunk_body.startswith("One two. Three four!") and {r.doc_id for r in rows} == {1}
+    pool = spark.createDataFrame([(1, "a", "p1", "g1", 0.9), (1, "b", "p1", "g2", 0.8), (1, "c", "p2", "g2", 0.7), (1, "d", "p3", "g1", 0.6)], "query_id int, chunk_id string, parent_chunk_id string, semantic_group_id string, score double")
+    assert [r.chunk_id for r in retrieval.select_contexts(pool).orderBy("place").collect()] == ["a", "c"]
