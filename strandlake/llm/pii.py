@@ -27,10 +27,14 @@ from strandlake.llm.pii_model import KINDS, Tagger, char_classes, spans_of
 WINDOW, OVERLAP, BATCH = 640, 64, 1024
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
-_MAIL = re.compile(r"[\w.+'\-]+(?:\s?[@＠]\s?|\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?|\sat\s)[\w\-]+(?:(?:\.|．|\s?[(\[]\s?(?:dot|DOT|Dot)\s?[)\]]\s?|\sdot\s)[\w\-]+)+", re.A)
+_MAIL = re.compile(r"[\w.+'\-]+(?:[@＠]|\s[@＠]\s|\s?[(\[]\s?(?:at|AT|At)\s?[)\]]\s?|\sat\s)[\w\-]+(?:(?:\.|．|\s?[(\[]\s?(?:dot|DOT|Dot)\s?[)\]]\s?|\sdot\s)[\w\-]+)+", re.A)
 _NUMBER = re.compile(r"[+＋(（]?[\d０-９](?:[\d０-９]|[ ()/.\-    ‑－]{1,2}(?=[\d０-９(]))+[\d０-９]?")
 _ID = re.compile(r"(?<![^\W_一-鿿])(?:[A-Z]{1,2}[  ]?)?[\dA-Z０-９Ｘ](?:[\dA-Z０-９Ｘ]|[ \-    ](?=[\dA-Z０-９]))+")
 _WORD = re.compile(r"[^\W\d_]")
+_DIALLED = re.compile(r"\+|00\d|\d{3}[-.]\d{4}$")
+_DATE_ONLY = re.compile(r"[^\W\d]{3,10}\.? (?:19|20)\d\d")
+#: Small words inside names.
+PARTICLES = frozenset("van von de der den da di del la le bin al y e".split())
 
 
 def windows_of(length: int) -> list[tuple[int, int]]:
@@ -88,7 +92,7 @@ def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
     if kind == "address":
         while begin and text[begin - 1].isalnum() and text[begin - 1] < "　" and text[begin] < "　":
             begin -= 1
-        return (begin, end) if any(c.isdigit() for c in text[begin:end]) else None
+        return (begin, end) if any(c.isdigit() for c in text[begin:end]) and not _DATE_ONLY.fullmatch(text[begin:end]) else None
     if latin:
         while begin and (_WORD.match(text[begin - 1]) or text[begin - 1] in "'’-" and begin > 1 and _WORD.match(text[begin - 2])) and text[begin - 1] < "　":
             begin -= 1
@@ -97,8 +101,20 @@ def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
         initial = re.search(r"(?<![^\W\d_])[A-Z]\. ?$", text[max(0, begin - 4) : begin])
         if initial:
             begin -= len(initial.group())
-        return (begin, end) if len(re.findall(r"[^\W\d_]+", text[begin:end])) >= 2 and not any(c.isdigit() for c in text[begin:end]) else None
-    return (begin, end) if 2 <= end - begin <= 4 else None
+        words = list(re.finditer(r"[^\W\d_]+", text[begin:end]))
+        if any(w.group()[0].isupper() for w in words):  # small words at the ends belong to the sentence
+            while words and words[-1].group()[0].islower():
+                words.pop()
+            while words and words[0].group()[0].islower() and words[0].group() not in PARTICLES:
+                words.pop(0)
+            if not words:
+                return None
+            stop = end if words[-1].end() + 1 == end - begin and text[end - 1] == "." else begin + words[-1].end()
+            begin, end = begin + words[0].start(), stop
+        small = [w.group()[0].islower() for w in words if w.group().lower() not in PARTICLES]
+        return (begin, end) if len(words) >= 2 and not any(c.isdigit() for c in text[begin:end]) and (all(small) or not any(small)) else None
+    heading = text[begin - 1 : begin] in ("", "\n") and text[end : end + 1] in ("", "\n")  # two characters alone on a line
+    return (begin, end) if 2 <= end - begin <= 4 and not (heading and end - begin == 2) else None
 
 
 def find_mentions(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
@@ -124,9 +140,15 @@ def find_mentions(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[in
         text, last = texts[k], 0
         for begin, end, kind in reconcile(sorted(found, key=lambda f: f[0])):
             span = fit(text, begin, end, kind)
-            if span and span[0] >= last:
+            if kind == "id_number" and span and _DIALLED.match(text[span[0] : span[1]]):
+                kind, span = "phone", fit(text, *span, "phone")  # no identity number is written so
+            if not span or span[0] < last:
+                continue
+            if kind == "address" and out[k] and out[k][-1][2] == kind and span[0] - last <= 3 and not any(c.isalnum() for c in text[last : span[0]]):
+                out[k][-1] = (out[k][-1][0], span[1], kind)  # the parts of one address
+            else:
                 out[k].append((*span, kind))
-                last = span[1]
+            last = span[1]
     return out
 
 
