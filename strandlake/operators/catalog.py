@@ -149,3 +149,28 @@ def fingerprint(df: DataFrame, *key: str, exclude: tuple[str, ...] = ("embedding
     slices = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "h"))), lambda s: F.concat_ws(":", s["part"].cast("string"), s["n"].cast("string"), s["h"].cast("string"))), "\n")
     return slices.agg(F.sum("n").alias("rows"), F.sha2(whole, 256).alias("fingerprint"))
+
+
+def public_search(documents: DataFrame, words: str, most: int = 100) -> DataFrame:
+    """The newest public, active documents with a substring, case ignored, in title or summary; wildcards are plain."""
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
+    found = documents.filter((F.col("status") == "active") & (F.col("visibility") == "public") & F.contains(text, F.lit(words.lower())))
+    return found.orderBy(F.col("updated_at").desc(), "doc_id").limit(most)
+
+
+def source_view(chunks: DataFrame, most: int = 1200) -> DataFrame:
+    """What a reader may see of a chunk: allowed columns of public rows, the text cut to a snippet."""
+    snippet = F.substring("raw_body", 1, most).alias("snippet")
+    return chunks.filter("visibility = 'public' and chunk_id is not null").select("chunk_id", "doc_id", "parent_chunk_id", "semantic_group_id", "section_type", "space_id", snippet)
+
+
+def ordered_spaces(spaces: DataFrame, first: str = "portfolio") -> DataFrame:
+    """Spaces with their places: one first, the others by name. A dimension table of a few rows."""
+    order = W.orderBy(F.when(F.col("space_id") == first, 0).otherwise(1), "space_name", "space_id")
+    return spaces.withColumn("place", F.row_number().over(order))
+
+
+def profile_states(documents: DataFrame) -> DataFrame:
+    """Whether the stored hash of each processing profile is that of its stored text."""
+    known = documents.filter("processing_profile_json is not null")
+    return known.select("doc_id", (F.sha2(F.col("processing_profile_json"), 256) == F.col("processing_profile_hash")).alias("hash_matches"))

@@ -440,6 +440,36 @@ def top_n_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.top_per_project(read_table(spark, sf_dir, "catalog_documents")).select("project", "doc_id", "place")
 
 
+@register("""select doc_id, title, updated_at from catalog_documents where status = 'active' and visibility = 'public' and contains(lower(coalesce(title, '') || ' ' || coalesce(summary, '')), 'notes') order by updated_at desc, doc_id limit 100""")
+def public_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.public_search(read_table(spark, sf_dir, "catalog_documents"), "Notes").select("doc_id", "title", "updated_at")
+
+
+@register("""select chunk_id, doc_id, parent_chunk_id, semantic_group_id, section_type, space_id, sha256(substr(raw_body, 1, 1200)) as snippet_hash from chunks where visibility = 'public' and chunk_id is not null""")
+def source_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.source_view(read_table(spark, sf_dir, "chunks")).withColumn("snippet_hash", F.sha2("snippet", 256)).drop("snippet")
+
+
+@register("""select space_id, documents, row_number() over (order by case when space_id = 'portfolio' then 0 else 1 end, space_name, space_id)::integer as place from (select s.space_id, s.space_name, count(d.doc_id) as documents from knowledge_spaces s left join catalog_documents d using (space_id) group by all)""")
+def ordered_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = catalog.space_counts(read_table(spark, sf_dir, "catalog_documents"), read_table(spark, sf_dir, "knowledge_spaces"))
+    return catalog.ordered_spaces(counted).select("space_id", "documents", "place")
+
+
+@register("""select doc_id, sha256(processing_profile_json) = processing_profile_hash as hash_matches from catalog_documents where processing_profile_json is not null""")
+def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.profile_states(read_table(spark, sf_dir, "catalog_documents"))
+
+
+@register()
+def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many results of the hybrid ranking each channel brought."""
+    hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 10)
+    fused = retrieval.reciprocal_rank_fusion(_ranked_by_title(spark, sf_dir, hits).filter("vector_rank <= 5"), hits)
+    channels = F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("bm25_rank").isNotNull(), "bm25")))
+    return fused.select("query_id", F.explode(channels).alias("channel")).groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("results"))
+
+
 @register()
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the catalog written over itself a second time as a later parse: the kept columns stay."""
