@@ -107,6 +107,13 @@ def search_tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit(LATIN_TERM), F.lit(0)), han)
 
 
+def count_search_tokens(text: Column) -> Column:
+    """The number of ``search_tokens``, by counting alone: a Han run of n characters has n of them and n - 1 pairs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    return count(LATIN_TERM) + 2 * count(r"[\x{3400}-\x{9FFF}]") - count(HAN_RUN)
+
+
 def detect_language(text: Column) -> Column:
     """zh if at least three characters and a twentieth of the text are Han, else en."""
     han = F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]"))

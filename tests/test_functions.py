@@ -24,6 +24,11 @@ def test_tokens(spark):
     assert value(spark, T.search_tokens, "Hi 数据湖 v2", None) == [["hi", "v2", "数", "据", "湖", "数据", "据湖"], []]
 
 
+def test_counted_tokens_equal_listed_ones(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    assert rows.filter(T.count_search_tokens(F.col("text")) != F.size(T.search_tokens(F.col("text")))).count() == 0
+
+
 def test_small_functions(spark):
     assert value(spark, T.detect_language, "这是中文", "no", None) == ["zh", "en", None]
     assert value(spark, lambda c: T.date_number(c), "2024-3-5", "May 2023", "x", None) == [20240305.0, 20230101.0, None, None]
