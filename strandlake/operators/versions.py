@@ -1,5 +1,9 @@
 """Version groups: documents that are states of one another, by title and shared features of their bodies.
 
+Two documents are linked if their bodies are equal, or if their title keys are equal or alike and their bodies share
+enough features; an empty title key is like no other. Titles are the column ``title`` (the given tables' file names
+drop other scripts and end in row numbers, so they don't stand before the title as in the reference).
+
 Pairs are found by an exact prefix filter: with the features of each body in one global order (rarest first), two
 sets of a Jaccard similarity of t share a feature among the first n - ceil(t n) + 1 of each. Equal bodies stand as
 one representative, so that copies make no pairs among themselves. Components come from repeated grouped minima.
@@ -8,13 +12,16 @@ one representative, so that copies make no pairs among themselves. Components co
 from __future__ import annotations
 
 import math
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.common import materialize, spread_join
 from strandlake.functions import keys
+from strandlake.functions.text import version_title_key
 
 
 def body_features(df: DataFrame, body: str = "body") -> DataFrame:
@@ -72,19 +79,46 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return roots.unionByName(links.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct().join(roots.select("doc_id"), "doc_id", "left_anti"))
 
 
+def alike(a: str, b: str, least: float = 0.85) -> bool:
+    """Whether two title keys are equal or reach this ratio, in either order (the ratio depends on it)."""
+    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    return a == b or SequenceMatcher(None, a, b).ratio() >= least or SequenceMatcher(None, b, a).ratio() >= least
+
+
+def alike_titles(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which some title keys (doc_id, titles) are alike; an equal body may have several."""
+
+    @F.pandas_udf("boolean")
+    def any_alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([not set(a).isdisjoint(b) or any(alike(x, y) for x in a for y in b) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+    left = titles.select(F.col("doc_id").alias("a"), F.col("titles").alias("titles_a"))
+    right = titles.select(F.col("doc_id").alias("b"), F.col("titles").alias("titles_b"))
+    return pairs.join(left, "a").join(right, "b").filter(any_alike("titles_a", "titles_b")).select(*pairs.columns)
+
+
 def version_members(df: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """doc_id, its component's smallest id and size, for documents similar to another (equal bodies included)."""
+    """doc_id, its component's smallest id and size, for documents similar to another (equal bodies included).
+
+    Without a column ``title``, bodies alone decide.
+    """
     body = F.sha2(F.coalesce("body", F.lit("")), 256)
-    known = materialize(df.filter(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select("doc_id", body.alias("text")))
+    titled = "title" in df.columns
+    title = version_title_key(F.coalesce("title", F.lit(""))) if titled else F.lit("")
+    known = materialize(df.filter(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select("doc_id", body.alias("text"), title.alias("title_key")))
     copies = known.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = df.join(copies.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     pairs = similar_pairs(body_features(firsts), threshold)
+    if titled:
+        titles = known.filter("title_key <> ''").groupBy("text").agg(F.collect_set("title_key").alias("titles"))
+        pairs = alike_titles(pairs, titles.join(copies, "text").select(F.col("first").alias("doc_id"), "titles"))
     linked = components(pairs.select("a", "b"))
-    whole = spread_join(known, copies, "text", "copies", "doc_id").select("doc_id", "first", "copies")
+    whole = spread_join(known.select("doc_id", "text"), copies, "text", "copies", "doc_id").select("doc_id", "first", "copies")
     rooted = whole.join(linked.select(F.col("doc_id").alias("first"), "root"), "first", "left")
     rooted = rooted.filter("root is not null or copies > 1").select("doc_id", F.coalesce("root", "first").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    return spread_join(rooted, sizes, "root", "members", "doc_id").select("doc_id", keys.digest("version_", 16, F.col("root")).alias("version_group_id"), "root", "members")
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), keys.version_group(F.collect_list(F.col("doc_id").cast("string"))).alias("version_group_id"))
+    return spread_join(rooted, sizes, "root", "members", "doc_id").select("doc_id", "version_group_id", "root", "members")
 
 
 def least_prefix(n: int, threshold: float) -> int:

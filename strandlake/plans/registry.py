@@ -137,8 +137,8 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents similar to another by shared words and stretches, in groups."""
-    return versions.version_members(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "body"))
+    """Documents of like titles similar to another by shared words and stretches, in groups."""
+    return versions.version_members(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "title", "body"))
 
 
 # --- chunks --------------------------------------------------------------------------------------------------------

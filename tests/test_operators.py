@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,15 @@ def test_version_groups_equal_brute_force(spark):
     assert {(r.a, r.b) for r in versions.similar_pairs(versions.body_features(df), 0.3).collect()} == expected
 
 
+def test_version_groups_need_like_titles(spark):
+    body = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [("a", "Guide to tables", body), ("b", "Guide to tables v2", body + "!"), ("c", "Payroll notes", body + "?"), ("d", "", body + "."), ("e", "Guides to tables", body + ";"), ("f", "Another", "one text"), ("g", None, "one text")]
+    got = versions.version_members(spark.createDataFrame(rows, "doc_id string, title string, body string")).collect()
+    assert {(r.doc_id, r.members) for r in got} == {("a", 3), ("b", 3), ("e", 3), ("f", 2), ("g", 2)}
+    expected = {"version_" + hashlib.sha256(m.encode()).hexdigest()[:16] for m in ("a|b|e", "f|g")}
+    assert {r.version_group_id for r in got} == expected
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101)], "a int, b int")
     roots = {r.doc_id: r.root for r in versions.components(edges).collect()}
