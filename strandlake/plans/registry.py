@@ -329,13 +329,24 @@ def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def section_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section and freshness boosts of every user message against the chunks of its space's newest section types."""
+    """Section and freshness boosts of every user message's best chunks of its space (BM25 over their bodies).
+
+    Messages of one space and content are searched once.
+    """
     asked = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null and space_id is not null")
-    asked = asked.select(F.col("message_id").alias("query_id"), F.col("content").alias("question"), "space_id").dropDuplicates(["query_id"])
-    best = read_table(spark, sf_dir, "chunks").filter("chunk_id is not null and section_type is not null").groupBy("space_id", "section_type").agg(F.max("updated_at").alias("updated_at"), F.min("chunk_id").alias("chunk_id"))
-    rows = asked.join(best, "space_id").withColumn("base", F.lit(0.5)).withColumn("updated_number", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")))
-    boosted = retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
-    return boosted.select("query_id", "chunk_id", "section_type", "matched_section_intent", "intent_score", "freshness_score")
+    asked = asked.select("message_id", F.col("content").alias("question"), "space_id").dropDuplicates(["message_id"])
+    chunks = read_table(spark, sf_dir, "chunks").filter("chunk_id is not null").dropDuplicates(["chunk_id"])
+    boosted = _boosted_chunks(asked.groupBy("space_id", "question").agg(F.min("message_id").alias("query_id")), chunks)
+    rows = asked.join(boosted.drop("query_id"), ["space_id", "question"]).withColumnRenamed("message_id", "query_id")
+    return rows.select("query_id", "chunk_id", "section_type", "matched_section_intent", "intent_score", "freshness_score")
+
+
+def _boosted_chunks(asked: DataFrame, chunks: DataFrame, k: int = 25) -> DataFrame:
+    """The best ``k`` chunks of each question (query_id, question, space_id) in its space, with their own sections and dates."""
+    hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body"), asked, k, "raw_body", "space_id").withColumnRenamed("doc_id", "chunk_id")
+    own = chunks.select("chunk_id", "section_type", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")).alias("updated_number"))
+    rows = retrieval.normalize_by_max(hits, "bm25_score", "base").join(own, "chunk_id").join(asked, "query_id")
+    return retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
 
 
 @register()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandlake.common import first_by_hash, spread_join
 from strandlake.operators import catalog, chunking, evaluate, retrieval, versions
+from strandlake.plans import registry
 from strandlake.sources import readers
 from strandlake.streaming import rate
 
@@ -63,6 +64,14 @@ def test_boosts_and_plans(spark):
     assert plans[0].complex and len(plans[0].subqueries) == 3 and plans[1].refused and not plans[2].refused
 
 
+def test_boosts_take_every_chunk_of_the_space(spark):
+    chunks = spark.sql("""select * from values ('c1', 's', 'education', 'kafka course', timestamp'2024-01-01'), ('c2', 's', 'education', 'kafka kafka', timestamp'2024-03-01'),
+        ('c3', 's', null, 'about kafka streams', timestamp'2024-02-01'), ('c4', 't', 'education', 'kafka', timestamp'2025-01-01'), ('c5', 's', 'award', 'other', timestamp'2026-01-01') as t(chunk_id, space_id, section_type, raw_body, updated_at)""")
+    got = {r.chunk_id: r for r in registry._boosted_chunks(spark.createDataFrame([(1, "latest kafka course", "s")], "query_id int, question string, space_id string"), chunks).collect()}
+    assert set(got) == {"c1", "c2", "c3"} and got["c1"].matched_section_intent and not got["c3"].matched_section_intent
+    assert round(got["c2"].freshness_score - got["c2"].intent_score, 6) == 0.08 and got["c1"].freshness_score == got["c1"].intent_score
+
+
 def test_diversify_and_balance(spark):
     rows = spark.createDataFrame([(1, "a", "g1", "s1", 0.9, "secondary"), (1, "b", "g1", "s1", 0.5, "primary"), (1, "c", "g2", "s2", 0.1, "primary"), (1, "d", "g3", "s1", 0.8, "primary")], "query_id int, chunk_id string, grp string, space_id string, score double, pr string")
     assert {r.chunk_id for r in retrieval.diversify(rows, "grp", "score", priority="pr").collect()} == {"b", "c", "d"}
