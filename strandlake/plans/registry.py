@@ -474,9 +474,9 @@ def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many results of the hybrid ranking each channel brought."""
-    hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 10)
-    fused = retrieval.reciprocal_rank_fusion(_ranked_by_title(spark, sf_dir, hits).filter("vector_rank <= 5"), hits)
+    """How many results of a hybrid ranking each channel brought, both channels ranking all documents by themselves."""
+    documents, asked = _documents(spark, sf_dir), _questions(spark, sf_dir)
+    fused = retrieval.reciprocal_rank_fusion(retrieval.title_top_k(documents, asked, 5), retrieval.bm25(documents, asked, 10))
     channels = F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("bm25_rank").isNotNull(), "bm25")))
     return fused.select("query_id", F.explode(channels).alias("channel")).groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("results"))
 

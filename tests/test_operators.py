@@ -47,6 +47,19 @@ def test_bm25_edges(spark):
     assert retrieval.bm25(docs.limit(0), asked).count() == 0
 
 
+def test_title_channel_ranks_all_documents(spark):
+    docs = spark.createDataFrame([(1, "red fox", "red"), (2, "red fox den", "nothing"), (3, None, "red fox"), (4, "fox fox", "blue")], "doc_id bigint, title string, text string")
+    asked = spark.createDataFrame([(7, "Red fox"), (8, "zebra")], "query_id bigint, question string")
+    assert sets(retrieval.title_top_k(docs, asked, 3).select("query_id", "doc_id", "shared", "vector_rank")) == [(7, 1, 2, 1), (7, 2, 2, 2), (7, 4, 1, 3)]
+
+
+def test_channels_bring_their_own_documents(spark, tmp_path):
+    rows = [(50, "red fox", "unrelated words"), (51, "red fox den", "nothing"), (52, "other", "red fox"), (53, "fox", "")]
+    spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.channel: r.results for r in registry.channel_counts(spark, str(tmp_path)).collect()}
+    assert got == {"vector": 3, "bm25": 1}
+
+
 def test_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1), (3, [1.0, 0.0], 1), (4, [0.0, 0.0], 0), (5, None, 0)], "vec_id bigint, embedding array<float>, label int")
     asked = spark.createDataFrame([(1, [2.0, 0.0])], "query_id bigint, embedding array<float>")
