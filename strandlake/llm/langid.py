@@ -10,8 +10,9 @@ factors at these places and its results are remembered by word. Each word's evid
 and names occur in texts of any language), the sentences of a document are decoded together with a cost for each
 change of language, and neighbouring sentences of one language form a stretch.
 
-Defined results: null and blank texts, and texts without a full sentence (code, markup, bare headings), have no
-stretch and no language; ties go to the first language of LANGUAGES; repeated rows give repeated results; a table
+Defined results: null and blank texts, and others without a word, have no stretch and no language; texts without a
+full sentence (code, markup, bare headings) have those of their words, which p4_found leaves out, as it does records
+of named fields (csv); ties go to the first language of LANGUAGES; repeated rows give repeated results; a table
 without samples gives every language the same probability. Positions are code points of the stored text.
 """
 
@@ -184,10 +185,14 @@ def decode(scores: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def stretches(model: PieceModel, texts: list[str | None]) -> list[list[dict]]:
-    """The stretches of each text: begin, end, language, confidence and number of full sentences."""
+def stretches(model: PieceModel, texts: list[str | None], any_words: bool = False) -> list[list[dict]]:
+    """The stretches of each text: begin, end, language, confidence and number of full sentences.
+
+    A text without a full sentence has none, or, with ``any_words``, those of its words.
+    """
     documents = [sentences_of(t) if t and not t.isspace() else [] for t in texts]
-    documents = [d if any([s[3] for s in d]) else [] for d in documents]
+    if not any_words:
+        documents = [d if any([s[3] for s in d]) else [] for d in documents]
     rows: list[int] = []
     cuts: list[int] = []
     for document in documents:
@@ -238,7 +243,7 @@ def confirmed(model: PieceModel, labelled: list[tuple[str | None, str | None]])
     return [(label, text) for (label, text), parts in zip(labelled, found, strict=True) if label and text and {p["lang"] for p in parts} == {label}]
 
 
-def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | None = None, folder: str | None = None) -> Callable[[Column], Column]:
+def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | None = None, folder: str | None = None, any_words: bool = False) -> Callable[[Column], Column]:
     """A column function text -> stretches, trained on ``samples`` (lang, sample_text): a fixed table of a few hundred rows.
 
     ``more`` (label, text), of at most MORE_DOCUMENTS rows, adds words that the short samples lack.
@@ -259,7 +264,7 @@ def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | Non
         if own is None or len(own.table) > CACHE_ENTRIES:
             _models.clear()
             own = _models[key] = PieceModel(*shared.value)
-        return pd.Series(stretches(own, texts.tolist()), dtype=object)
+        return pd.Series(stretches(own, texts.tolist(), any_words), dtype=object)
 
     return of
 
@@ -276,19 +281,24 @@ def label_column(label: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair)), first), F.when(first.isin(*LANGUAGES), first))
 
 
-def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, doc_key, label and text of both tables; records of named fields (csv) hold no sentences."""
+def labelled_texts(spark: SparkSession, sf_dir: str, records: bool = True) -> DataFrame:
+    """src, doc_key, label and text of both tables, with or without records of named fields (csv), which hold no sentences."""
     documents = read_table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("doc_key"), label_column(F.col("lang")).alias("label"), "text")
-    catalog = read_table(spark, sf_dir, "catalog_documents").filter("coalesce(file_type, '') <> 'csv'")
+    catalog = read_table(spark, sf_dir, "catalog_documents")
+    if not records:
+        catalog = catalog.filter("coalesce(file_type, '') <> 'csv'")
     return documents.unionByName(catalog.select(F.lit("catalog_documents").alias("src"), F.col("doc_id").alias("doc_key"), label_column(F.col("language")).alias("label"), F.col("body").alias("text")))
 
 
-def with_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, doc_key, label, stretches of each text and ``languages``, those with a full sentence."""
-    texts = labelled_texts(spark, sf_dir)
+def with_languages(spark: SparkSession, sf_dir: str, every: bool = True) -> DataFrame:
+    """src, doc_key, label, stretches of each text and ``languages``, those with a full sentence.
+
+    ``every`` row and word, or only texts that can hold a full sentence.
+    """
+    texts = labelled_texts(spark, sf_dir, records=every)
     chosen = first_by_hash(texts.filter((F.col("src") == "documents") & F.col("label").isNotNull()).select("doc_key"), "doc_key", MORE_DOCUMENTS)
     more = texts.filter((F.col("src") == "documents") & (F.length("text") <= MORE_CHARS)).join(chosen, "doc_key", "left_semi").orderBy("doc_key")
-    of = stretches_udf(spark, read_table(spark, sf_dir, "language_samples"), more)
+    of = stretches_udf(spark, read_table(spark, sf_dir, "language_samples"), more, any_words=every)
     found = texts.select("src", "doc_key", "label", of("text").alias("stretches"))
     whole = F.filter("stretches", lambda s: s["full_sentences"] > 0)
     return found.withColumn("languages", F.array_distinct(F.transform(whole, lambda s: s["lang"])))
@@ -311,6 +321,6 @@ def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of each row whose label is missing or wrong, or whose text is in several languages."""
-    made = with_languages(spark, sf_dir)
+    made = with_languages(spark, sf_dir, every=False)
     right = (F.size("languages") == 1) & (F.col("languages")[0] == F.col("label"))
     return made.filter(~F.coalesce(right, F.lit(False))).select("src", "doc_key", F.explode("languages").alias("lang"))

@@ -113,6 +113,19 @@ def test_held_out_samples(model):
     assert right >= 0.95 * len(held)
 
 
+def test_words_without_a_full_sentence_have_a_language(model):
+    heading, code, blank, numbers = langid.stretches(model[0], ["Prüfung der Daten", '{"chunk_size": 7686}', " ", "12 34"], any_words=True)
+    assert [s["lang"] for s in heading] == ["de"] and heading[0]["full_sentences"] == 0 and 0 < heading[0]["confidence"] <= 1
+    assert len(code) == 1 and blank == numbers == []
+
+
+def test_every_row_has_a_document(spark, small):
+    made = langid.p4_documents(spark, small).select("src", "doc_key", "lang", "confidence").collect()
+    texts = {(r.src, r.doc_key): r.text for r in langid.labelled_texts(spark, small).collect()}
+    total = sum(spark.read.parquet(f"{small}/{t}.parquet").count() for t in ("documents", "catalog_documents"))
+    assert len(made) == total == len(texts) and all((r.lang is None) == (r.confidence is None) == (not langid.sentences_of(texts[r.src, r.doc_key] or "")) for r in made)
+
+
 def test_mixed_and_empty_texts(model):
     m, _ = model
     text = "We measured the recall before touching the search index again. Die Prüfung der Daten dauerte lange, weil viele Einträge unvollständig waren."
