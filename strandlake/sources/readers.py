@@ -52,9 +52,10 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join(p for p in paragraphs if p)
 
 
-def scan_folder(spark: SparkSession, path: str, least_chars: int = 80, most_chars: int = 12_000) -> DataFrame:
-    """Files below a folder with their texts and a status: ready, needs_ocr, too_large, parse_error or short.
+def scan_folder(spark: SparkSession, path: str, least_chars: int = 80, most_chars: int | None = None) -> DataFrame:
+    """Files below a folder with their texts and a status: ready, needs_ocr, too_large, parse_error, short or truncated.
 
+    Texts are whole unless ``most_chars`` is given; those that it cuts are truncated.
     Sizes and names are tested on the listing, before any content is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -78,9 +79,10 @@ def scan_folder(spark: SparkSession, path: str, least_chars: int = 80, most_char
                         status = "needs_ocr"
                 except Exception as error:  # noqa: BLE001
                     text, status = "", f"parse_error: {type(error).__name__}"
-                text = text[:most_chars]
                 if status == "ready" and len(text.strip()) < least_chars:
                     status = "short"
+                if most_chars is not None and len(text) > most_chars:
+                    text, status = text[:most_chars], "truncated"
                 rows.append((file_path, kind, size, text, status))
             yield pd.DataFrame(rows, columns=["path", "file_type", "size_bytes", "body", "parse_status"])
 

@@ -184,3 +184,11 @@ def test_sentence_chunks_and_contexts(spark):
     assert rows[0].chunk_body.startswith("One two. Three four!") and {r.doc_id for r in rows} == {1}
     pool = spark.createDataFrame([(1, "a", "p1", "g1", 0.9), (1, "b", "p1", "g2", 0.8), (1, "c", "p2", "g2", 0.7), (1, "d", "p3", "g1", 0.6)], "query_id int, chunk_id string, parent_chunk_id string, semantic_group_id string, score double")
     assert [r.chunk_id for r in retrieval.select_contexts(pool).orderBy("place").collect()] == ["a", "c"]
+
+
+def test_scanned_texts_are_whole(spark, tmp_path):
+    (tmp_path / "long.md").write_text("word " * 4000)
+    row = readers.scan_folder(spark, str(tmp_path)).first()
+    assert (len(row.body), row.parse_status) == (20_000, "ready")
+    row = readers.scan_folder(spark, str(tmp_path), most_chars=12_000).first()
+    assert (len(row.body), row.parse_status) == (12_000, "truncated")
