@@ -365,13 +365,14 @@ def adaptive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def subquery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question's words as subqueries of two halves, their results merged by hits and best score."""
+    """Each question and the two halves of its words as subqueries, their results merged by hits and best score."""
     asked = _questions(spark, sf_dir).withColumn("words", F.split("question", r"\s+"))
     half = F.greatest(F.lit(1), F.floor(F.size("words") / 2).cast("int"))
-    parts = asked.select("query_id", F.posexplode(F.array(F.col("question"), F.array_join(F.slice("words", F.lit(1), half), " "))).alias("part", "question"))
-    numbered = parts.withColumn("query_id", F.col("query_id") * 2 + F.col("part"))
+    halves = (F.slice("words", F.lit(1), half), F.slice("words", half + 1, F.size("words")))
+    parts = asked.select("query_id", F.posexplode(F.array(F.col("question"), *(F.array_join(h, " ") for h in halves))).alias("part", "question"))
+    numbered = parts.withColumn("query_id", F.col("query_id") * 3 + F.col("part"))
     hits = retrieval.bm25(_documents(spark, sf_dir), numbered.select("query_id", "question"), 10)
-    back = hits.withColumn("query_id", F.floor(F.col("query_id") / 2))
+    back = hits.withColumn("query_id", F.floor(F.col("query_id") / 3))
     return retrieval.merge_subqueries(back, "bm25_score").filter("place <= 5").select("query_id", "doc_id", "hits", "bm25_score")
 
 

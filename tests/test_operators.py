@@ -60,6 +60,12 @@ def test_channels_bring_their_own_documents(spark, tmp_path):
     assert got == {"vector": 3, "bm25": 1}
 
 
+def test_both_halves_are_subqueries(spark, tmp_path):
+    rows = [(50, "red fox blue whale", ""), (51, "a", "red fox"), (52, "b", "blue whale"), (100, "zebra", "")]
+    spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sets(registry.subquery_merge(spark, str(tmp_path)).select("query_id", "doc_id", "hits")) == [(50, 51, 2), (50, 52, 2)]
+
+
 def test_vectors(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1), (3, [1.0, 0.0], 1), (4, [0.0, 0.0], 0), (5, None, 0)], "vec_id bigint, embedding array<float>, label int")
     asked = spark.createDataFrame([(1, [2.0, 0.0])], "query_id bigint, embedding array<float>")
