@@ -59,7 +59,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """doc_id and the smallest id of its component, for edges (a, b): large-star and small-star by turns.
 
     Each round links every node to the least of its neighbourhood; both steps are grouped minima and joins, rounds
-    are cut by checkpoints, and the loop ends when no link changes.
+    are cut by checkpoints, and the loop ends when no link changes; links that haven't settled are an error.
     """
     links = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
@@ -75,6 +75,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components haven't settled in {most_rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "doc_id")
     return roots.unionByName(links.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct().join(roots.select("doc_id"), "doc_id", "left_anti"))
 

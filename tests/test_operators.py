@@ -140,6 +140,12 @@ def test_components_of_a_chain(spark):
     assert all(roots[k] == 0 for k in range(31)) and roots[101] == 100 and roots[100] == 100
 
 
+def test_unsettled_components_are_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        versions.components(edges, most_rounds=1)
+
+
 def test_rate_and_stream(spark, tmp_path):
     rows = spark.sql("select 1 as u, timestamp'2024-01-01 00:00:10' as ts union all select 1, timestamp'2024-01-01 00:00:50' union all select 2, timestamp'2024-01-01 00:00:50'")
     assert {(r.u, r.requests, r.allowed) for r in rate.rate_buckets(rows, "u", "ts", most=1).collect()} == {(1, 2, False), (2, 1, True)}
