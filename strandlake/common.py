@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder for checkpoints: the session's ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (tests, one machine) gets a temporary folder; on a cluster that is an error,
+    since executors share no machine-local folder.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -31,6 +41,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder, in a folder for each value of ``by``, and read back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def salt(*keys: str | Column, salts: int) -> Column:
     """A stable salt in [0, salts) from the given columns."""
     return F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
@@ -51,6 +69,20 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, row_id:
     return marked.join(spread, [key, "__salt"], how).drop("__salt")
 
 
+def spread_pairs(rows: DataFrame, key: str, row_id: str, condition: str, *, hot: int = 2_000, salts: int = 64) -> DataFrame:
+    """Pairs (a, b) of ``rows`` with equal ``key`` that meet ``condition`` (an expression on a.* and b.*).
+
+    A key of more than ``hot`` rows is split: its a rows go to one of ``salts`` parts by ``row_id``, and its b rows to
+    all of them, so that no task holds all pairs of a large key. Columns come back as structs ``a`` and ``b``.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot).select(key, F.lit(salts).alias("__parts"))
+    marked = rows.join(sizes, key, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    left = marked.select(F.col(key).alias("__key"), F.pmod(F.xxhash64(row_id), F.col("__parts")).cast("int").alias("__part"), whole.alias("a"))
+    right = marked.select(F.col(key).alias("__key"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), whole.alias("b"))
+    return left.join(right, ["__key", "__part"]).filter(condition).select("a", "b")
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Path of a public tokenizer file; the folder is a parameter, or ``TOKENIZER_DIR``, or the installed package."""
     folder = folder or os.environ.get("TOKENIZER_DIR")
@@ -61,12 +93,12 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return os.path.join(folder, name)
 
 
-def first_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
+def first_by_hash(df: DataFrame, key: str, most: int, count: int | None = None) -> DataFrame:
     """A bounded, repeatable sample: about the first ``most`` rows, and no more, by a hash of ``key``.
 
-    The rows are counted first and cut by a bound on the hash, so that every task sends the driver only its part of
+    The rows are counted first (unless ``count``, their number or more, is known) and cut by a bound on the hash, so that every task sends the driver only its part of
     the sample, and not ``most`` rows of its own.
     """
-    number, count = F.xxhash64(key), df.count()
+    number, count = F.xxhash64(key), df.count() if count is None else count
     bound = int(min(1.0, (1.2 * most + 50) / max(1, count)) * 2**64) - 2**63
     return df.filter(number <= F.lit(min(bound, 2**63 - 1))).orderBy(number, key).limit(most)
