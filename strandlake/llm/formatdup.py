@@ -6,8 +6,12 @@ seen once and seen again; merging parts ORs the filters and adds to "again" what
 their filters can only be too large, never too small). Rows whose hash isn't in the merged "again" filter are
 certainly alone and are emitted at once; only the others are shuffled and grouped exactly by a strong hash.
 
-A filter has at most MAX_BITS bits: beyond ROWS_PER_SLICE rows the hash space is cut into slices, each with
-filters of its own, so that what is broadcast stays below 16 MB however many rows there are.
+A filter consists of blocks, and all bits of a hash lie in one block, so tasks build and merge blocks independently:
+each task sends only the blocks that it has rows of, compressed (about 7 bytes a row, whatever the number of tasks),
+and each block is merged in one grouped task. What is broadcast for testing is at most MAX_BITS bits: beyond
+ROWS_PER_SLICE rows the hash space is cut into slices. The keys (some 60 bytes a row) are then written once more, in a
+folder for each slice, and each slice's files are tested against that slice's filter alone. So the bodies are read
+once, and the keys three times, however many rows and slices there are.
 
 Defined results: null and blank bodies are nobody's copies and stand alone; equal bodies count as copies;
 doc_ids are compared as strings, and the smallest of a group is its first; other columns don't matter.
@@ -16,7 +20,7 @@ doc_ids are compared as strings, and the smallest of a group is its first; other
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,12 +30,13 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.common import materialize, read_table, spread_join
+from strandlake.common import materialize, read_table, spread_join, written
 
-BITS_PER_ROW, HASHES, MAX_BITS, MIN_BITS, SEGMENT_BYTES = 16, 4, 1 << 27, 1 << 16, 1 << 18
+BITS_PER_ROW, HASHES, BLOCK_BITS, MAX_BITS = 12, 4, 1 << 18, 1 << 28
+BLOCK_BYTES = BLOCK_BITS // 8
 ROWS_PER_SLICE = MAX_BITS // BITS_PER_ROW
-#: Rows that one filter covers at least: building filters of few rows would move more bytes than the rows have.
-ROWS_PER_FILTER = 1 << 20
+#: Rows that one task takes at least when filters are built or keys are written by slice.
+ROWS_PER_TASK = 1 << 20
 
 
 def bare(text: Column) -> Column:
@@ -48,71 +53,77 @@ def record_form(body: Column, file_type: Column) -> Column:
     return F.when(F.length(bare(body)) > 0, form)
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions of each 64-bit hash, HASHES columns, by double hashing."""
-    h = hashes.astype(np.int64).view(np.uint64)
-    first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return ((first[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(bits - 1)).astype(np.int64)
-
-
-class RepeatFilters:
-    """The Bloom filters of hashes seen once (or more) and of hashes seen again."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits = bits
-        self.once, self.again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-
-    @staticmethod
-    def has(filter_: np.ndarray, positions: np.ndarray) -> np.ndarray:
-        return ((filter_[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1).all(axis=1)
+def slice_of(h: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slice"), h), F.lit(slices)).cast("int")
 
-    @staticmethod
-    def put(filter_: np.ndarray, positions: np.ndarray) -> None:
-        flat = positions.ravel()
-        np.bitwise_or.at(filter_, flat >> 3, (1 << (flat & 7)).astype(np.uint8))
 
-    def add(self, hashes: np.ndarray) -> None:
-        values, counts = np.unique(hashes, return_counts=True)
-        positions = _positions(values, self.bits)
-        repeated = (counts > 1) | self.has(self.once, positions)
-        self.put(self.again, positions[repeated])
-        self.put(self.once, positions)
+def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each 64-bit hash, by its upper half."""
+    return ((hashes.astype(np.int64).view(np.uint64) >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
 
 
-def merge(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Merged (once, again) of the same stretch of several filters."""
-    once, again = (np.frombuffer(x, np.uint8).copy() for x in parts[0])
-    for other_once, other_again in parts[1:]:
+def _positions(hashes: np.ndarray) -> np.ndarray:
+    """HASHES bit positions of each 64-bit hash within its block, by double hashing."""
+    h = hashes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return ((first[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """A block with the bits of the given hashes set."""
+    flags = np.zeros(BLOCK_BITS, bool)
+    flags[_positions(hashes).ravel()] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def build_blocks(hashes: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, once, again) of the blocks that one part of the rows has hashes of."""
+    if not len(hashes):
+        return
+    values, counts = np.unique(hashes, return_counts=True)
+    block = _block_of(values, blocks)
+    order = np.argsort(block, kind="stable")
+    values, counts, block = values[order], counts[order], block[order]
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    for begin, end in zip(starts, [*starts[1:], len(block)], strict=True):
+        own = values[begin:end]
+        yield int(block[begin]), _bits(own), _bits(own[counts[begin:end] > 1])
+
+
+def merge(parts: Iterable[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Merged (once, again) of one block of several parts."""
+    once, again = np.zeros(BLOCK_BYTES, np.uint8), np.zeros(BLOCK_BYTES, np.uint8)
+    for other_once, other_again in parts:
         o = np.frombuffer(other_once, np.uint8)
         again |= np.frombuffer(other_again, np.uint8) | (once & o)
         once |= o
     return once, again
 
 
-def repeat_filter(hashes: DataFrame, bits: int, parts: int) -> bytes:
-    """The merged "again" filter of a one-column table of 64-bit hashes. At most MAX_BITS / 8 bytes."""
-    size = min(SEGMENT_BYTES, bits // 8)
+def has(again: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a merged filter (its blocks one after another)."""
+    at = _block_of(hashes, len(again) // BLOCK_BYTES)[:, None] * BLOCK_BITS + _positions(hashes)
+    return ((again[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def repeat_blocks(keys: DataFrame, blocks: int) -> DataFrame:
+    """The merged "again" blocks (slice, block, again: compressed) of a table (slice, h)."""
+    pack = lambda x: pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    unpack = lambda x: pa.decompress(x, decompressed_size=BLOCK_BYTES, codec="zstd", asbytes=True)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = RepeatFilters(bits)
-        for batch in batches:
-            filters.add(batch.column(0).to_numpy(zero_copy_only=False))
-        pack = lambda x: pa.compress(x.tobytes(), codec="zstd", asbytes=True)
-        for k in range(bits // 8 // size):
-            cut = slice(k * size, (k + 1) * size)
-            if filters.once[cut].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(filters.once[cut])], pa.binary()), pa.array([pack(filters.again[cut])], pa.binary())], ["segment", "once", "again"])
+        table = pa.Table.from_batches(list(batches), pa.schema([("slice", pa.int32()), ("h", pa.int64())]))  # 12 bytes a row of the part
+        slices, hashes = table.column("slice").to_numpy(), table.column("h").to_numpy()
+        for k in np.unique(slices):
+            rows = [(int(k), block, pack(once), pack(again)) for block, once, again in build_blocks(hashes[slices == k], blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "block", "once", "again"])
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        unpack = lambda x: pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True)
-        _, again = merge([(unpack(o), unpack(a)) for o, a in zip(rows["once"], rows["again"], strict=True)])
-        return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "again": [again.tobytes()]})
+        _, again = merge((unpack(o), unpack(a)) for o, a in zip(rows["once"], rows["again"], strict=True))
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "block": rows["block"].iloc[:1], "again": [pack(again)]})
 
-    built = hashes.coalesce(parts).mapInArrow(build, "segment int, once binary, again binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in built.groupBy("segment").applyInPandas(merged, "segment int, again binary").collect():
-        whole[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.again, np.uint8)
-    return whole.tobytes()
+    built = keys.mapInArrow(build, "slice int, block int, once binary, again binary")
+    return built.groupBy("slice", "block").applyInPandas(merged, "slice int, block int, again binary")
 
 
 def seen_again(shared: Broadcast) -> Callable[[Column], Column]:
@@ -120,27 +131,29 @@ def seen_again(shared: Broadcast) -> Callable[[Column], Column]:
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        again = np.frombuffer(shared.value, np.uint8)
-        return pd.Series(RepeatFilters.has(again, _positions(h.to_numpy(np.int64), len(again) * 8)))
+        return pd.Series(has(np.frombuffer(shared.value, np.uint8), h.to_numpy(np.int64)))
 
     return test
 
 
-def split_repeats(keys: DataFrame) -> DataFrame:
-    """``keys`` (with a 64-bit ``h``, null for rows that can't be copies) plus ``maybe_copy``."""
-    spark, rows = keys.sparkSession, keys.filter("h is not null").count()
+def split_repeats(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys`` (with a 64-bit ``h``, null for rows that can't be copies) plus ``maybe_copy``. ``rows`` is their number, or more."""
+    spark = keys.sparkSession
     slices = max(1, math.ceil(rows / ROWS_PER_SLICE))
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(max(1, rows / slices) * BITS_PER_ROW))))
-    parts = max(min(8, rows // 20_000 + 1), math.ceil(rows / slices / ROWS_PER_FILTER))
-    slice_of = F.pmod(F.xxhash64(F.lit("slice"), "h"), F.lit(slices))
-    done = []
+    blocks = max(1, math.ceil(rows / slices * BITS_PER_ROW / BLOCK_BITS))
+    tasks = max(min(8, rows // 20_000 + 1), math.ceil(rows / ROWS_PER_TASK))
+    able = keys.filter("h is not null").withColumn("slice", slice_of(F.col("h"), slices))
+    if slices > 1:  # one folder for each slice, so that a slice's filter meets the files of that slice only
+        able = written(able.coalesce(tasks), "slice")
+    again = materialize(repeat_blocks(able.select("slice", "h").coalesce(tasks), blocks))
+    done = [keys.filter("h is null").withColumn("maybe_copy", F.lit(False))]
     for k in range(slices):
-        own = keys if slices == 1 else keys.filter(slice_of == k)
-        shared = spark.sparkContext.broadcast(repeat_filter(own.filter("h is not null").select("h"), bits, parts))
-
-        done.append(own.withColumn("maybe_copy", F.col("h").isNotNull() & seen_again(shared)(F.coalesce("h", F.lit(0).cast("bigint")))))
-    if slices > 1:
-        done.append(keys.filter("h is null").withColumn("maybe_copy", F.lit(False)))
+        whole = np.zeros(blocks * BLOCK_BYTES, np.uint8)
+        for row in again.filter(F.col("slice") == k).select("block", "again").toLocalIterator():  # MAX_BITS bits at most
+            whole[row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = np.frombuffer(pa.decompress(bytes(row.again), decompressed_size=BLOCK_BYTES, codec="zstd", asbytes=True), np.uint8)
+        test = seen_again(spark.sparkContext.broadcast(whole.tobytes()))
+        own = able.filter(F.col("slice") == k) if slices > 1 else able
+        done.append(own.withColumn("maybe_copy", test("h")).select(*keys.columns, "maybe_copy"))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -148,7 +161,7 @@ def copy_keys(df: DataFrame) -> DataFrame:
     """doc_id, ``h`` (64 bits of the canonical form) and ``form`` (its sha256), with ``maybe_copy``; written once."""
     form = record_form(F.col("body"), F.col("file_type"))
     made = df.select("doc_id", form.alias("f")).select("doc_id", F.when(F.col("f").isNotNull(), F.xxhash64("f")).alias("h"), F.unhex(F.sha2("f", 256)).alias("form"))
-    return split_repeats(materialize(made))
+    return split_repeats(materialize(made), df.count())  # of a Parquet table, the count reads no column
 
 
 def collapse(keys: DataFrame) -> tuple[DataFrame, DataFrame]:

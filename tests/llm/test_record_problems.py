@@ -35,26 +35,38 @@ def test_copies_of_a_fixture(spark):
 
 
 def test_slices_and_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(formatdup, "ROWS_PER_SLICE", 400)
+    monkeypatch.setattr(formatdup, "ROWS_PER_SLICE", 90)
     df = spark.range(1000).select(F.col("id").cast("string").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Hot!").otherwise(F.concat(F.lit("text "), F.floor(F.col("id") / 2))).alias("body"), F.lit("txt").alias("file_type"))
-    alone, groups = formatdup.collapse(formatdup.copy_keys(df))
+    keys = formatdup.copy_keys(df)
+    alone, groups = formatdup.collapse(keys)
     made = sorted(r.n_copies for r in alone.unionByName(groups.select("first_doc_id", "n_copies")).collect())
     expected = Counter("hot" if k % 3 == 0 else f"text{k // 2}" for k in range(1000))
     assert made == sorted(expected.values())
 
 
+def test_many_slices_read_every_key_once(spark, monkeypatch):
+    scanned = []
+    test = formatdup.seen_again
+    monkeypatch.setattr(formatdup, "ROWS_PER_SLICE", 100)
+    monkeypatch.setattr(formatdup, "seen_again", lambda shared: scanned.append(len(shared.value)) or test(shared))
+    keys = spark.range(2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"), F.col("id").alias("form"))
+    made = formatdup.split_repeats(keys, 2000)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # twenty slices, one filter and one scan of its own folder each, none of the others' rows
+    assert len(scanned) == 20 and plan.count("PartitionFilters: [isnotnull(slice") == 20
+    assert made.count() == 2000 and made.filter("maybe_copy").count() < 100
+
+
 @given(st.lists(st.lists(st.integers(0, 50), max_size=40), min_size=1, max_size=5))
 @settings(max_examples=40, deadline=None)
 def test_merged_filters_miss_no_repeat(parts):
-    made = []
+    blocks, made = 3, {}
     for part in parts:
-        filters = formatdup.RepeatFilters(1 << 12)
-        filters.add(np.array(part, dtype=np.int64) * 7919)
-        made.append((filters.once.tobytes(), filters.again.tobytes()))
-    _, again = formatdup.merge(made)
+        for block, once, again in formatdup.build_blocks(np.array(part, dtype=np.int64) * 7919 << 30, blocks):
+            made.setdefault(block, []).append((once.tobytes(), again.tobytes()))
+    whole = np.concatenate([formatdup.merge(made.get(k, []))[1] for k in range(blocks)])
     repeated = [v for v, n in Counter(v for part in parts for v in part).items() if n > 1]
-    positions = formatdup._positions(np.array(repeated, dtype=np.int64) * 7919, 1 << 12)
-    assert formatdup.RepeatFilters.has(again, positions).all()
+    assert formatdup.has(whole, np.array(repeated, dtype=np.int64) * 7919 << 30).all()
 
 
 def test_empty_table(spark):
