@@ -10,6 +10,12 @@ factors at these places and its results are remembered by word. Each word's evid
 and names occur in texts of any language), the sentences of a document are decoded together with a cost for each
 change of language, and neighbouring sentences of one language form a stretch.
 
+Confidence: a sentence's probability of being in a language is its evidence divided by a temperature that grows with
+its number of words (words don't testify independently); the temperature's two parameters are fitted on samples that
+the model of the other samples scores. A stretch's confidence is the mean of its sentences' probabilities of its
+language, weighted by their words, and so falls with every doubtful sentence. A document's is the same over its whole
+text, the stretches in other languages counting as not in its language.
+
 Defined results: null and blank texts, and others without a word, have no stretch and no language; texts without a
 full sentence (code, markup, bare headings) have those of their words, which p4_found leaves out, as it does records
 of named fields (csv); ties go to the first language of LANGUAGES; repeated rows give repeated results; a table
@@ -44,6 +50,8 @@ ITERATIONS, COMMON, MOST_EVIDENCE, CHANGE_COST, FULL_WORDS, FULL_HAN = 4, 0.1, 4
 #: MORE_CHARS), and those wholly in the language that their label names are added to the samples.
 MORE_DOCUMENTS, MORE_CHARS = 3000, 2000
 CACHE_ENTRIES = 150_000
+#: Candidates for the temperature scale * words ** power, and words of the held-out pieces that they are judged on.
+SCALES, POWERS, PIECE_WORDS = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0), (0.0, 0.15, 0.3, 0.45, 0.6), (1, 2, 3, 5, 8)
 
 _RUN = re.compile(r"[぀-ヿ㐀-鿿々]+|[^\W\d_぀-ヿ㐀-鿿々]+")
 _END = re.compile(r"[。！？]+[\"'”’)\]）」』]*|[.!?]+[\"'”’)\]]*(?=\s|$)|\n+")
@@ -54,7 +62,8 @@ _CODE = re.compile(r"[{}()\[\]=;<>_*+\"|\\]")
 class PieceModel:
     """Piece probabilities of each language over one vocabulary, and the scores of words under them."""
 
-    def __init__(self, pieces: list[str], weights: np.ndarray | None = None) -> None:
+    def __init__(self, pieces: list[str], weights: np.ndarray | None = None, temperature: tuple[float, float] = (1.0, 0.0)) -> None:
+        self.temperature = temperature
         self.index = {p: k for k, p in enumerate(pieces)}
         self.bytes = [self.index.get(f"<0x{b:02X}>", 0) for b in range(256)]
         plain = [p for p in pieces if not re.fullmatch(r"<.*>", p)]
@@ -131,6 +140,13 @@ class PieceModel:
         self.logs = np.log(self.probabilities)
         return self
 
+    def posterior(self, evidence: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Probabilities of the languages for rows of summed evidence of so many words."""
+        scale, power = self.temperature
+        cooled = evidence / (scale * np.maximum(words, 1) ** power)[:, None]
+        likely = np.exp(cooled - cooled.max(axis=1, keepdims=True))
+        return likely / likely.sum(axis=1, keepdims=True)
+
     def row_of(self, run: str) -> int:
         """Row of ``table`` with the bounded evidence of a run."""
         row = self.known.get(run)
@@ -150,6 +166,33 @@ class PieceModel:
         return self.matrix
 
 
+def held_out_pieces(samples: list[tuple[str | None, str | None]], pieces: list[str], folds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(evidence, words, language) of short pieces of the samples, each scored by a model of the other folds."""
+    evidence, words, truth = [], [], []
+    known = [(label, _RUN.findall(text)) for label, text in samples if label in LANGUAGES and text]
+    for fold in range(folds):
+        model = PieceModel(pieces).train([(label, " ".join(runs)) for k, (label, runs) in enumerate(known) if k % folds != fold])
+        for label, runs in known[fold::folds]:
+            for length in PIECE_WORDS:
+                for begin in range(0, len(runs) - length + 1, 3 * length):
+                    rows = [model.row_of(r) for r in runs[begin : begin + length]]
+                    evidence.append(model.evidence()[rows].sum(axis=0))
+                    words.append(length)
+                    truth.append(LANGUAGES.index(label))
+    return np.array(evidence).reshape(len(truth), len(LANGUAGES)), np.array(words, np.int64), np.array(truth, np.int64)
+
+
+def fit_temperature(evidence: np.ndarray, words: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """The candidate temperature under which the held-out pieces' true languages are most likely."""
+    model = PieceModel([])
+
+    def loss(candidate: tuple[float, float]) -> float:
+        model.temperature = candidate
+        return -float(np.log(np.maximum(model.posterior(evidence, words)[np.arange(len(truth)), truth], 1e-12)).mean())
+
+    return min(((s, p) for s in SCALES for p in POWERS), key=loss) if len(truth) else (1.0, 0.0)
+
+
 def sentences_of(text: str) -> list[tuple[int, int, list[str], bool]]:
     """(begin, end, runs, whether a full sentence may be in it) of each sentence with words."""
     out = []
@@ -212,24 +255,25 @@ def stretches(model: PieceModel, texts: list[str | None], any_words: bool = Fals
         at += len(document)
         own = likely[here]
         path = own if len(document) < 2 or (own == own[0]).all() else decode(said[here])
-        results.append(_joined(document, path, scores[here]))
+        results.append(_joined(model, document, path, scores[here]))
     return results
 
 
-def _joined(document: list, path: np.ndarray, scores: np.ndarray) -> list[dict]:
+def _joined(model: PieceModel, document: list, path: np.ndarray, scores: np.ndarray) -> list[dict]:
     """Neighbouring sentences of one language as one stretch."""
     if not document:
         return []
     begins = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
-    sums = np.add.reduceat(scores, begins, axis=0)
+    words = np.array([len(s[2]) for s in document])
+    sure = model.posterior(scores, words)[np.arange(len(path)), path]
+    confidence = np.add.reduceat(sure * words, begins) / np.add.reduceat(words, begins)
     out = []
-    for k, (begin, total) in enumerate(zip(begins, sums, strict=True)):
+    for k, begin in enumerate(begins):
         end = begins[k + 1] if k + 1 < len(begins) else len(document)
         language = int(path[begin])
-        posterior = np.exp(total - total.max())
         out.append({
             "start_pos": document[begin][0], "end_pos": document[end - 1][1], "lang": LANGUAGES[language], "full_sentences": sum(bool(s[3]) for s in document[begin:end]),
-            "confidence": round(float(posterior[language] / posterior.sum()), 4),
+            "confidence": round(float(confidence[k]), 4),
         })
     return out
 
@@ -243,7 +287,7 @@ def confirmed(model: PieceModel, labelled: list[tuple[str | None, str | None]])
     return [(label, text) for (label, text), parts in zip(labelled, found, strict=True) if label and text and {p["lang"] for p in parts} == {label}]
 
 
-def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | None = None, folder: str | None = None, any_words: bool = False) -> Callable[[Column], Column]:
+def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | None = None, folder: str | None = None, any_words: bool = False, calibrated: bool = True) -> Callable[[Column], Column]:
     """A column function text -> stretches, trained on ``samples`` (lang, sample_text): a fixed table of a few hundred rows.
 
     ``more`` (label, text), of at most MORE_DOCUMENTS rows, adds words that the short samples lack.
@@ -256,7 +300,8 @@ def stretches_udf(spark: SparkSession, samples: DataFrame, more: DataFrame | Non
     model = PieceModel(pieces).train(labelled)
     if more is not None:
         model = PieceModel(pieces).train(labelled + confirmed(model, [(r.label, r.text) for r in more.select("label", "text").collect()]))
-    shared, key = spark.sparkContext.broadcast((pieces, model.probabilities)), uuid.uuid4().hex
+    temperature = fit_temperature(*held_out_pieces(labelled, pieces)) if calibrated else (1.0, 0.0)
+    shared, key = spark.sparkContext.broadcast((pieces, model.probabilities, temperature)), uuid.uuid4().hex
 
     @F.pandas_udf("array<struct<start_pos bigint, end_pos bigint, lang string, full_sentences int, confidence double>>")
     def of(texts: pd.Series) -> pd.Series:
@@ -298,7 +343,7 @@ def with_languages(spark: SparkSession, sf_dir: str, every: bool = True) -> Data
     texts = labelled_texts(spark, sf_dir, records=every)
     chosen = first_by_hash(texts.filter((F.col("src") == "documents") & F.col("label").isNotNull()).select("doc_key"), "doc_key", MORE_DOCUMENTS)
     more = texts.filter((F.col("src") == "documents") & (F.length("text") <= MORE_CHARS)).join(chosen, "doc_key", "left_semi").orderBy("doc_key")
-    of = stretches_udf(spark, read_table(spark, sf_dir, "language_samples"), more, any_words=every)
+    of = stretches_udf(spark, read_table(spark, sf_dir, "language_samples"), more, any_words=every, calibrated=every)  # p4_found gives no confidence
     found = texts.select("src", "doc_key", "label", of("text").alias("stretches"))
     whole = F.filter("stretches", lambda s: s["full_sentences"] > 0)
     return found.withColumn("languages", F.array_distinct(F.transform(whole, lambda s: s["lang"])))
@@ -313,10 +358,13 @@ def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language (that of most of its characters), its confidence and whether it is mixed."""
     made = with_languages(spark, sf_dir)
     own = lambda name: F.filter("stretches", lambda s: s["lang"] == name)
-    length = lambda name: F.aggregate(own(name), F.lit(0).cast("bigint"), lambda n, s: n + s["end_pos"] - s["start_pos"])
+    total = lambda name, part: F.aggregate(own(name), F.lit(0.0), lambda n, s: n + part(s))
+    length = lambda s: (s["end_pos"] - s["start_pos"]).cast("double")
     names = F.array_distinct(F.transform("stretches", lambda s: s["lang"]))
-    best = F.array_max(F.transform(names, lambda n: F.struct(length(n).alias("chars"), F.array_max(F.transform(own(n), lambda s: s["confidence"])).alias("confidence"), n.alias("lang"))))
-    return made.select("src", "doc_key", "label", best["lang"].alias("lang"), best["confidence"].alias("confidence"), (F.size("languages") > 1).alias("mixed"))
+    best = F.array_max(F.transform(names, lambda n: F.struct(total(n, length).alias("chars"), total(n, lambda s: length(s) * s["confidence"]).alias("sure"), n.alias("lang"))))
+    every = F.aggregate("stretches", F.lit(0.0), lambda n, s: n + length(s))
+    confidence = F.round(best["sure"] / every, 4)
+    return made.select("src", "doc_key", "label", best["lang"].alias("lang"), confidence.alias("confidence"), (F.size("languages") > 1).alias("mixed"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
