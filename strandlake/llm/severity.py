@@ -5,8 +5,11 @@ The ratings of a document become a severity grade for each category: 0 none of i
 with one weight vector for all thresholds of a category; x are hashed character n-grams of one sentence, in a
 form in which spellings meant to hide a word are undone. A document is as severe as its most severe sentence, so
 training alternates between choosing the sentence that carries a document's grade and fitting the model, each
-document being judged by a model of the others, so that wrong ratings find no support. The
-expected severity, the sum of P(grade >= k), is the score; a category is found where P(grade >= 2) is at least half.
+document being judged by a model of the others, so that wrong ratings find no support. Since that fit weighs the few
+carriers up, its intercepts don't fit the corpus: slope and thresholds are fitted once more on the documents' scores by
+models of the others, every sampled document counting for as many as it stands for. The expected severity, the sum of
+these P(grade >= k), is the score. A category is found where P(grade >= 2) is at least half with the balanced intercepts,
+under which a miss counts for more than a false find, as it should where findings are reviewed.
 
 Training reads a bounded sample (MOST_RATED rated documents of each category, MOST_CLEAN clean ones and MOST_UNRATED
 that nobody rated, nearly all of which are clean, of up to MOST_CHARS characters, the first by a hash of the id);
@@ -27,8 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.common import first_by_hash, read_table
-from strandlake.llm.unify import unify_text
+from strandlake.common import first_by_hash, materialize, read_table
+from strandlake.llm.unify import INVISIBLE, one_script
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 GRADES = 3
@@ -44,48 +47,82 @@ FOLDS, TRUSTED, DOUBTED = 3, 0.3, 0.02
 #: Digits and signs that stand for letters inside words.
 STAND_INS = str.maketrans("0134578@$", "oieastbas")
 _HIDDEN = re.compile(r"(?<![\w.])(?=[a-z0-9@$]*[a-z])(?=[a-z0-9@$]*[0-9@$])[a-z0-9@$]{4,}(?!\w)")
+_MAY_HIDE = re.compile(r"[a-z][0-9@$]|[0-9@$][a-z]")
 _STARS = re.compile(r"(?<=[a-z])\*+(?=[a-z])")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-*_·]){2,}\w(?!\w)")
 _IN_HAN = re.compile(r"(?<=[぀-鿿])[ \-.*_·•]+(?=[぀-鿿])")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:][0-9]+)*")
-_REPEAT = re.compile(r"([^\W\d])\1+")
-_SENTENCE_END = re.compile(r"[。！？!?]+|\.+(?=\s|$)|\n+")
+_UNSEEN = re.compile(f"[{INVISIBLE}\u200c\u200d\ufe00-\ufe0f]")
+_OTHER_LETTER = re.compile(r"[\u0370-\u03ff\u0400-\u052f]")
+_MIXED_WORD = re.compile(r"[a-z][\u0370-\u03ff\u0400-\u052f]|[\u0370-\u03ff\u0400-\u052f][a-z]")
 UNIT, DOCUMENT = "\x1e", "\x1d"
+#: Characters that end a sentence wherever they stand; a full stop ends one before white space.
+ENDS = "\n!?。"
 
 
 def plain_form(text: str) -> str:
     """Lower case, one alphabet, numbers as 0, hidden spellings undone, sentences ended by UNIT."""
-    text = unicodedata.normalize("NFKC", unify_text(text)[0] or "").lower()
-    text = _STARS.sub("", _HIDDEN.sub(lambda m: m.group().translate(STAND_INS), text))
-    text = _SPACED.sub(lambda m: re.sub(r"[ .\-*_·]", "", m.group()), text)
-    text = _IN_HAN.sub("", text)
-    text = _REPEAT.sub(r"\1", _NUMBER.sub("0", text))
-    return _SENTENCE_END.sub(UNIT, text).replace(DOCUMENT, " ")
-
-
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, unit) of each n-gram of the plain forms, unit -> document, and n-grams per unit."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text)).lower()
+        others = len(_OTHER_LETTER.findall(text))
+        # look-alike letters matter in words of two alphabets, and in a text that is mostly in another one
+        if others and (_MIXED_WORD.search(text) or 4 * others < len(text)):
+            text = one_script(text)[0]
+        text = _IN_HAN.sub("", text)
+    else:
+        text = text.lower()
+    if "*" in text:
+        text = _STARS.sub("", text)
+    if _MAY_HIDE.search(text):
+        text = _HIDDEN.sub(lambda m: m.group().translate(STAND_INS), text)
+    text = _NUMBER.sub("0", _SPACED.sub(lambda m: re.sub(r"[ .\-*_·]", "", m.group()), text))
+    for end in ENDS:
+        text = text.replace(end, UNIT)
+    text = text.replace(". ", f"{UNIT} ").replace(f".{UNIT}", UNIT).removesuffix(".")
+    return text.replace(DOCUMENT, " ")
+
+
+_letters: list[np.ndarray] = []
+
+
+def without_repeats(codes: np.ndarray) -> np.ndarray:
+    """The codes without letters that repeat the one before."""
+    if not _letters:
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        table = np.zeros(0x110000, bool)
+        table[[ord(c) for c in re.findall(r"[^\W\d]", every)]] = True
+        _letters.append(table)
+    again = (codes[1:] == codes[:-1]) & _letters[0][codes[1:]]
+    return codes[np.concatenate([[True], ~again])]
+
+
+def features(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, unit) of each n-gram of the plain forms, of the ``kept`` buckets alone if given; unit -> document; n-grams per unit."""
     joined = "".join(f" {t}{DOCUMENT}" for t in texts).replace(UNIT, f" {UNIT} ")
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    codes = without_repeats(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
     document_end = codes == ord(DOCUMENT)
     ends = document_end | (codes == ord(UNIT))
-    unit = np.cumsum(ends) - ends
-    units = int(unit[-1]) + 1 if len(unit) else 0
-    document = np.zeros(units, np.int64)
-    starts = np.flatnonzero(document_end[:-1])
-    document[unit[starts + 1]] = 1
-    document = np.cumsum(document)
+    stops = np.flatnonzero(ends)
+    # units before each place and, for an n-gram, at its last character: equal if it lies within one unit
+    before = np.cumsum(ends, dtype=np.int32) - ends
+    document = np.cumsum(document_end[stops]) - document_end[stops]
+    length = np.diff(stops, prepend=-1) - 1
+    size = sum(np.maximum(0, length - order + 1) for order in ORDERS)
     buckets, owners = [], []
-    rolling = codes.astype(np.uint32)
+    rolling = codes.copy()
     for order in range(2, max(ORDERS) + 1):
-        rolling = rolling[:-1] * np.uint32(0x01000193) ^ codes[order - 1 :]
+        rolling = rolling[:-1] * np.uint32(0x01000193)
+        rolling ^= codes[order - 1 :]
         if order in ORDERS:
-            inside = (unit[: len(rolling)] == unit[order - 1 :]) & ~ends[order - 1 :]
             mixed = (rolling ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            buckets.append(((mixed ^ (mixed >> np.uint32(15))) & np.uint32(BUCKETS - 1))[inside])
-            owners.append(unit[: len(rolling)][inside])
-    bucket, owner = np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
-    return bucket, owner, document, np.maximum(1, np.bincount(owner, minlength=units))
+            mixed ^= mixed >> np.uint32(15)
+            mixed &= np.uint32(BUCKETS - 1)
+            at = np.arange(len(mixed)) if kept is None else np.flatnonzero(kept[mixed])
+            last = at + order - 1
+            inside = (before[at] == before[last]) & ~ends[last]
+            buckets.append(mixed[at[inside]])
+            owners.append(before[at[inside]])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners).astype(np.int64), document.astype(np.int64), np.maximum(1, size)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,17 +166,45 @@ class CumulativeLink:
             self.thresholds = np.maximum.accumulate(self.thresholds + np.arange(GRADES) * 1e-3)
 
 
+def calibrate(scores: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """(slope, thresholds) of P(grade >= k) = sigmoid(slope * score - t_k) that fit weighted documents best.
+
+    Adam on the slope, the first threshold and the logarithms of the gaps between thresholds, which keeps them in order.
+    """
+    link, share = CumulativeLink(1), weight / weight.sum()
+    at = np.array([0.0, 3.0, *np.zeros(GRADES - 1)])
+    first, second = np.zeros_like(at), np.zeros_like(at)
+    for step in range(1, 801):
+        gaps = np.exp(at[2:])
+        link.thresholds = at[1] + np.concatenate([[0.0], np.cumsum(gaps)])
+        by_score, by_threshold = link.gradient(at[0] * scores, grades)
+        slopes = (by_threshold * share[:, None]).sum(axis=0)
+        tail = np.cumsum(slopes[::-1])[::-1]
+        slope = np.concatenate([[(by_score * share * scores).sum(), tail[0]], tail[1:] * gaps])
+        first += 0.1 * (slope - first)
+        second += 0.01 * (slope**2 - second)
+        at += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return float(at[0]), at[1] + np.concatenate([[0.0], np.cumsum(np.exp(at[2:]))])
+
+
 class SeverityModel:
     """All categories over hashed features; ``weights`` is [BUCKETS, categories] in single precision."""
 
     def __init__(self) -> None:
         self.weights = np.zeros((BUCKETS, len(CATEGORIES)), np.float32)
         self.thresholds = np.full((len(CATEGORIES), GRADES), 30.0)
+        #: Slope of each category's calibrated scores, and the score from which it is found.
+        self.slopes, self.least = np.ones(len(CATEGORIES)), np.full(len(CATEGORIES), np.inf)
+
+    def train(self, texts: list[str], grades: np.ndarray, stands_for: np.ndarray | None = None, rated: np.ndarray | None = None) -> SeverityModel:
+        """``grades`` [documents, categories]; all 0 means clean. ``stands_for``: how many documents each one stands for.
 
-    def train(self, texts: list[str], grades: np.ndarray) -> SeverityModel:
-        """``grades`` [documents, categories]; all 0 means clean."""
+        A document outside ``rated`` counts as clean, but where a model of the others finds a category in it, its grade
+        is unknown and it has next to no say in the intercepts of that category.
+        """
         if not len(texts) or not grades.any() or grades.any(axis=1).all():
             return self
+        judged = np.ones(len(texts), bool) if rated is None else rated
         rated = grades.any(axis=1)
         forms = [plain_form(t) for t in texts]
         chunks = [(k, forms[k : k + CHUNK]) for k in range(0, len(forms), CHUNK)]
@@ -197,29 +262,40 @@ class SeverityModel:
                 for c, model in enumerate(fit(~mine)):
                     found = np.bincount(owner, model.weights[bucket] * value, minlength=len(document))
                     new[c] = np.where(mine[document], found, new[c])
-                    borne_out = model.at_least(found[_best_units(found, document, len(texts))])[:, 1] >= TRUSTED
-                    new_trust[:, c] = np.where(mine, np.where(borne_out, 1, DOUBTED), new_trust[:, c])
+                    found_here = model.at_least(found[_best_units(found, document, len(texts))])[:, 1] >= TRUSTED
+                    new_trust[:, c] = np.where(mine, np.where(found_here, 1, DOUBTED), new_trust[:, c])
             scores, trust = new, new_trust
         models = fit(np.ones(len(texts), bool))
         place = np.flatnonzero(kept)
+        stands_for = np.ones(len(texts)) if stands_for is None else stands_for
         for c, model in enumerate(models):
-            self.weights[place, c] = model.weights
-            self.thresholds[c] = model.thresholds
+            if grades[:, c].any():
+                best = scores[c][_best_units(scores[c], document, len(texts))]  # by models of the other folds
+                slope, self.thresholds[c] = calibrate(best, grades[:, c], stands_for * np.where(grades[:, c] > 0, trust[:, c], np.where(judged | (trust[:, c] < 1), 1, DOUBTED)))
+                self.slopes[c], self.least[c] = max(slope, 0.0), model.thresholds[1]
+                self.weights[place, c] = model.weights
         return self
 
-    def reach(self, texts: list[str | None]) -> np.ndarray:
-        """P(grade >= k) of each document and category, [documents, categories, GRADES]."""
-        out = np.zeros((len(texts), len(CATEGORIES), GRADES))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The score of each document's most severe sentence, [documents, categories]; -inf for blank texts."""
+        out = np.full((len(texts), len(CATEGORIES)), -np.inf)
         some = [k for k, t in enumerate(texts) if t and not t.isspace()]
         if some:
-            bucket, owner, document, size = features([plain_form(texts[k]) for k in some])
+            bucket, owner, document, size = features([plain_form(texts[k]) for k in some], self.weights.any(axis=1))
+            starts = np.searchsorted(document, np.arange(len(some)))
             for c in range(len(CATEGORIES)):
-                scores = np.bincount(owner, self.weights[bucket, c], minlength=len(document)) / np.sqrt(size)
-                best = np.full(len(some), -np.inf)
-                np.maximum.at(best, document, scores)
-                out[some, c] = sigmoid(best[:, None] - self.thresholds[c])
+                out[some, c] = np.maximum.reduceat(np.bincount(owner, self.weights[bucket, c], minlength=len(document)) / np.sqrt(size), starts)
         return out
 
+    def reach(self, scores: np.ndarray) -> np.ndarray:
+        """P(grade >= k) in the corpus, [documents, categories, GRADES]; 0 for blank texts."""
+        with np.errstate(invalid="ignore"):
+            made = sigmoid((self.slopes * scores)[:, :, None] - self.thresholds)
+        return np.where(np.isfinite(scores)[:, :, None], made, 0.0)
+
+    def found(self, scores: np.ndarray) -> np.ndarray:
+        return scores >= self.least
+
 
 def _best_units(scores: np.ndarray, document: np.ndarray, documents: int) -> np.ndarray:
     order = np.lexsort((np.arange(len(scores)), -scores, document))
@@ -237,28 +313,35 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train_model(documents: DataFrame, labels: DataFrame) -> SeverityModel:
     """A model from a bounded sample of the rated documents, chosen by their ids before any text is read."""
-    known = graded(labels)
-    sample = first_by_hash(known.filter("+".join(CATEGORIES) + " = 0"), "doc_id", MOST_CLEAN)
+    known = materialize(graded(labels))
+    counts = known.agg(F.count(F.lit(1)).alias("rated"), F.sum((F.expr("+".join(CATEGORIES)) == 0).cast("int")).alias("clean"), *(F.sum((F.col(c) > 0).cast("int")).alias(c) for c in CATEGORIES)).first()
+    number = lambda c: counts[c] or 0
+    unrated = max(0, documents.count() - number("rated"))
+    sample = first_by_hash(known.filter("+".join(CATEGORIES) + " = 0"), "doc_id", MOST_CLEAN, number("clean"))
     for c in CATEGORIES:
-        sample = sample.unionByName(first_by_hash(known.filter(F.col(c) > 0), "doc_id", MOST_RATED))
-    unrated = documents.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    sample = sample.unionByName(first_by_hash(unrated, "doc_id", MOST_UNRATED).select("doc_id", *(F.lit(0).alias(c) for c in CATEGORIES)))
+        sample = sample.unionByName(first_by_hash(known.filter(F.col(c) > 0), "doc_id", MOST_RATED, number(c)))
+    others = documents.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti")
+    sample = sample.withColumn("rated", F.lit(True)).unionByName(first_by_hash(others, "doc_id", MOST_UNRATED, unrated).select("doc_id", *(F.lit(0).alias(c) for c in CATEGORIES), F.lit(False).alias("rated")))
     texts = documents.filter(F.length("text").between(1, MOST_CHARS)).select("doc_id", "text")
-    rows = texts.join(sample.dropDuplicates(["doc_id"]), "doc_id").toPandas().sort_values("doc_id")
-    return SeverityModel().train(rows["text"].tolist(), rows[list(CATEGORIES)].to_numpy(np.int64).reshape(len(rows), len(CATEGORIES)))
+    rows = texts.join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").toPandas().sort_values("doc_id")  # MOST_* ids
+    grades = rows[list(CATEGORIES)].to_numpy(np.int64).reshape(len(rows), len(CATEGORIES))
+    rated, clean = rows["rated"].to_numpy(bool), ~grades.any(axis=1)
+    stands_for = np.ones(len(rows))
+    for stratum, size in ((~rated, unrated), (rated & clean, number("clean")), (rated & ~clean, number("rated") - number("clean"))):
+        stands_for[stratum] = max(1.0, size / max(1, stratum.sum()))
+    return SeverityModel().train(rows["text"].tolist(), grades, stands_for, rated)
 
 
 def severity_udf(spark: SparkSession, model: SeverityModel) -> Callable[[Column], Column]:
     """A column function text -> expected severity and found of each category."""
-    shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(", ".join(f"{c} double" for c in CATEGORIES) + ", found array<string>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        own = SeverityModel()
-        own.weights, own.thresholds = shared.value
-        reach = np.concatenate([own.reach(texts.iloc[k : k + CHUNK].tolist()) for k in range(0, len(texts), CHUNK)]) if len(texts) else np.zeros((0, len(CATEGORIES), GRADES))
-        out = pd.DataFrame(reach.sum(axis=2).round(6), columns=list(CATEGORIES))
-        out["found"] = [[c for c, r in zip(CATEGORIES, row, strict=True) if r[1] >= 0.5] for row in reach]
+        own = shared.value
+        scores = np.concatenate([own.scores(texts.iloc[k : k + CHUNK].tolist()) for k in range(0, len(texts), CHUNK)]) if len(texts) else np.zeros((0, len(CATEGORIES)))
+        out = pd.DataFrame(own.reach(scores).sum(axis=2).round(6), columns=list(CATEGORIES))
+        out["found"] = [[c for c, yes in zip(CATEGORIES, row, strict=True) if yes] for row in own.found(scores)]
         return out
 
     return of

@@ -168,7 +168,53 @@ def test_severity_on_separable_texts():
     grades = np.zeros((100, 3), np.int64)
     grades[80:, 0] = 3
     model = severity.SeverityModel().train(clean + bad, grades)
-    reach = model.reach(["you are a worthless moron 7, drop dead", "the index was rebuilt", None, "", "  "])
+    scores = model.scores(["you are a worthless moron 7, drop dead", "the index was rebuilt", None, "", "  "])
+    reach = model.reach(scores)
+    assert model.found(scores)[:, 0].tolist() == [True, False, False, False, False] and not model.found(scores)[:, 1:].any()
     assert reach[0, 0, 1] > 0.5 > reach[1, 0, 1] and not reach[2:].any()
     assert (np.diff(reach, axis=2) <= 1e-9).all()  # P(grade >= k) falls with k
     assert not severity.SeverityModel().train([], np.zeros((0, 3), np.int64)).weights.any()
+
+
+def test_calibrated_severity_of_a_corpus():
+    """Whatever the sample's share of severe documents, the mean of P(grade >= k) is the corpus' share."""
+    rng = np.random.default_rng(3)
+    scores, grades = np.concatenate([rng.normal(0, 0.4, 400), rng.normal(5, 1.5, 100)]), np.concatenate([np.zeros(400, np.int64), rng.integers(1, 4, 100)])
+    weight = np.concatenate([np.full(400, 25.0), np.ones(100)])  # 1 % of the corpus
+    slope, thresholds = severity.calibrate(scores, grades, weight)
+    reach = severity.sigmoid(slope * scores[:, None] - thresholds)
+    for k in range(3):
+        assert abs((reach[:, k] * weight).sum() / weight.sum() - (weight[grades > k].sum() / weight.sum())) < 2e-3
+    assert np.median(reach[:400].sum(axis=1)) < 0.02 and np.median(reach[400:].sum(axis=1)) > 1
+
+
+def test_severity_features_of_kept_buckets():
+    texts = [severity.plain_form(t) for t in ("one two. three!! four", "", "aaa bbb? 数据。模型")]
+    bucket, owner, document, size = severity.features(texts)
+    kept = np.zeros(severity.BUCKETS, bool)
+    kept[bucket[::3]] = True
+    some, some_owner, same_document, same_size = severity.features(texts, kept)
+    assert (same_document == document).all() and (same_size == size).all()
+    assert sorted(zip(some, some_owner)) == sorted((b, o) for b, o in zip(bucket, owner) if kept[b])
+    assert (np.bincount(owner, minlength=len(document)) == np.where(np.bincount(owner, minlength=len(document)) > 0, size, 0)).all()
+
+
+def test_confidence_is_calibrated_on_held_out_pieces(spark, small):
+    import sentencepiece
+
+    from strandlake.common import tokenizer_path
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    pieces = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
+    samples = [(r.lang, r.sample_text) for r in spark.read.parquet(f"{small}/language_samples.parquet").orderBy("sample_id").collect()]
+    fitted = langid.fit_temperature(*langid.held_out_pieces(samples[::2], pieces))
+    evidence, words, truth = langid.held_out_pieces(samples[1::2], pieces)  # samples that the temperature never saw
+    posterior = langid.PieceModel([], temperature=fitted).posterior(evidence, words)
+    right, sure = posterior.argmax(axis=1) == truth, posterior.max(axis=1)
+    assert sure[right].mean() > sure[~right].mean() + 0.2
+    assert abs(sure.mean() - right.mean()) < 0.1 and right[sure > 0.95].mean() > 0.95
+
+
+def test_confidences_differ(spark, small):
+    made = [r.confidence for r in langid.p4_documents(spark, small).filter("lang is not null").select("confidence").collect()]
+    assert min(made) < 0.9 and max(made) <= 1 and len(set(made)) > 20
