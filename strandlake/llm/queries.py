@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of the problems and their queries.
 QUERIES = {
-    "unify": ("p1_forms", "p1_found"),
+    "unify": ("p1_forms", "p1_classes", "p1_found"),
     "formatdup": ("p3_records", "p3_found"),
     "encode": ("p6_ids",),
     "langid": ("p4_documents", "p4_segments", "p4_found"),

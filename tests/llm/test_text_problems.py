@@ -1,5 +1,7 @@
 """Unifying, personal information, languages, severity: small cases with nulls, empties, ties and long texts."""
 
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,17 @@ def test_unify_cases():
     assert form(long) == "Durante " * 50_000
 
 
+def test_words_of_two_scripts_are_read_in_one():
+    form = lambda t: unify.unify_text(t)[0]
+    twins = [("ρassword", "password"), ("αlpha", "alpha"), ("κind", "kind"), ("ɡood", "good"), ("ıntel", "intel"), ("υser", "user"), ("օne", "one"), ("Ꭺpple", "Apple"), ("\u00b5m", "\u03bcm"), ("ﬁle", "file"), ("ꜱᴏurce", "source"), ("Տtate", "State"), ("ΡАRΤ", "PART"), ("Ꭱead", "Read")]
+    for a, b in twins:
+        assert form(a) == form(b), (a, b)
+    # near look-alikes alone, or in a word of their own script, are letters of that script; Turkish keeps its dotless i
+    for text in ("α", "αβγ", "και", "ένα κείμενο", "քառակուսի", "ısı ğ", "Ωm", "ɡ"):
+        assert form(text) == unicodedata.normalize("NFC", text), text
+    assert form("α") != form("a") and form("ısı ğ") != form("isi ğ")
+
+
 def test_unify_is_idempotent_on_the_tables(spark, small):
     rows = spark.read.parquet(f"{small}/catalog_documents.parquet").select("body").collect()
     for (body,) in rows:
@@ -36,6 +49,19 @@ def test_p1_pairs_on_a_fixture(spark, tmp_path):
     assert got == [("a", "b"), ("a", "e"), ("c", "d")]
 
 
+def test_p1_classes_and_a_hot_form(spark, tmp_path, monkeypatch):
+    rows = [(f"d{k:03}", "T", ("text о", "text o", "tеxt o")[k % 3], 1) for k in range(60)] + [("e", None, None, 1), ("f", "T", "other", 1)]
+    spark.createDataFrame(rows, "doc_id string, title string, body string, form int").write.parquet(str(tmp_path / "catalog_documents.parquet"))
+    made = {r.doc_id: r for r in queries()["p1_classes"](spark, str(tmp_path)).collect()}
+    assert set(made) == {r[0] for r in rows} - {"e"}
+    assert (made["d004"].class_id, made["d004"].stored_id, made["d004"].members, made["d004"].copies) == ("d000", "d001", 60, 20) and made["f"].class_id == "f"
+    plain = unify.spread_pairs
+    monkeypatch.setattr(unify, "spread_pairs", lambda *a: plain(*a, hot=10, salts=8))
+    pairs = [tuple(r) for r in queries()["p1_found"](spark, str(tmp_path)).collect()]
+    expected = {(a[0], b[0]) for a in rows[:60] for b in rows[:60] if a[0] < b[0] and a[2] != b[2]}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
 def brute_path(tagger, classes):
     e = tagger.emissions(classes).transpose(0, 2, 1)[:, 0]
     moves = pii_model.moves_of(tagger.p)
