@@ -41,6 +41,16 @@ def version_group(members: Column) -> Column:
     return digest("version_", 16, F.array_join(F.array_sort(members), "|"))
 
 
+def owner_document_id(owner: Column, draft: Column) -> Column:
+    """The id of a published upload."""
+    return digest("owner_", 24, owner, draft, between=":")
+
+
+def owner_chunk_id(doc_id: Column, version: Column, chunk: Column, text: Column) -> Column:
+    """The id of a chunk of a version of a published upload."""
+    return F.concat(doc_id, F.lit("_v"), version.cast("string"), F.lit("_"), digest("", 16, chunk, text, between=":"))
+
+
 def rate_key(client: Column, at: Column) -> Column:
     """The bucket of a client and minute."""
     return F.sha2(F.concat_ws(":", client.cast("string"), F.floor(F.unix_millis(at) / 60000).cast("string")), 256)

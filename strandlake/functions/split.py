@@ -3,66 +3,66 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+#: The tokens of the chunk budget.
 BUDGET_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+#:_/-]*|[㐀-鿿]|[^\sA-Za-z0-9㐀-鿿]")
-#: Separators by rank; in the first list they are patterns, so that ". " is any character and a blank.
+#: Separators by rank. Those of PATTERNS are patterns, so that its ". " is any character and a blank;
+#: those of parts of a budget and of children are literal.
 PATTERNS = ("\\n#{1,6} ", "\\n\\n", "\\n", "。", ". ", " ", "")
-LITERALS = ("\n\n", "\n", "。", ". ", " ", "")
+BUDGET_LITERALS = ("\n\n", "\n", "。", ". ", " ", "")
+CHILD_LITERALS = ("\n\n", "\n", ". ", " ", "")
 
 
 def token_length(text: str) -> int:
     return len(BUDGET_TOKEN.findall(text))
 
 
-def _merge(pieces: Sequence[str], size: int, overlap: int, measure: Callable[[str], int]) -> list[str]:
+def _merge(pieces: Sequence[str], size: int, overlap: int, measure: Callable[[str], int]) -> Iterator[str]:
     """Neighbouring pieces joined up to ``size``, each chunk starting with the end of the one before."""
-    chunks, held, total = [], [], 0
-    for piece in pieces:
-        length = measure(piece)
-        if held and total + length > size:
-            chunks.append("".join(p for p, _ in held).strip())
-            while held and (total > overlap or (total > 0 and total + length > size)):
-                total -= held.pop(0)[1]
-        held.append((piece, length))
+    lengths = [measure(p) for p in pieces]
+    begin = total = 0
+    for at, length in enumerate(lengths):
+        if at > begin and total + length > size:
+            yield "".join(pieces[begin:at]).strip()
+            while begin < at and (total > overlap or (total > 0 and total + length > size)):
+                total -= lengths[begin]
+                begin += 1
         total += length
-    if held:
-        chunks.append("".join(p for p, _ in held).strip())
-    return [c for c in chunks if c]
+    yield "".join(pieces[begin:]).strip()
+
+
+def _pieces(text: str, pattern: str) -> list[str]:
+    """The text cut before each match of the separator, or into its characters if that is empty."""
+    if not pattern:
+        return list(text)
+    marks = [0, *(m.start() for m in re.finditer(pattern, text)), len(text)]
+    return [text[a:b] for a, b in zip(marks, marks[1:], strict=False) if b > a]
+
+
+def _split(text: str, patterns: Sequence[str], size: int, overlap: int, measure: Callable[[str], int]) -> Iterator[str]:
+    rank = next((k for k, p in enumerate(patterns) if not p or re.search(p, text)), len(patterns) - 1)
+    rest, held = patterns[rank + 1 :] if patterns[rank] else (), []
+    for piece in _pieces(text, patterns[rank]):
+        if measure(piece) < size:
+            held.append(piece)
+            continue
+        yield from _merge(held, size, overlap, measure)
+        held = []
+        if rest:
+            yield from _split(piece, rest, size, overlap, measure)
+        else:
+            yield piece
+    yield from _merge(held, size, overlap, measure)
 
 
-def split_recursive(text: str, size: int, overlap: int = 0, *, measure: Callable[[str], int] = token_length, patterns: bool = True) -> list[str]:
+def split_recursive(text: str, size: int, overlap: int = 0, *, measure: Callable[[str], int] = token_length, literals: Sequence[str] | None = None) -> list[str]:
     """Split at the first separator that occurs, join up to ``size``, and split what is longer at the next ones.
 
-    Separators stay at the begin of what follows them.
+    Separators stay at the begin of what follows them; they are PATTERNS, or the given ``literals``.
     """
-    todo: list[tuple[str, tuple[str, ...]]] = [(text, PATTERNS if patterns else LITERALS)]
-    out: list[str] = []
-    while todo:
-        part, separators = todo.pop(0)
-        rank = next((k for k, s in enumerate(separators) if not s or re.search(s if patterns else re.escape(s), part)), len(separators) - 1)
-        separator, rest = separators[rank], separators[rank + 1 :]
-        if separator:
-            cuts = [m.start() for m in re.finditer(separator if patterns else re.escape(separator), part)]
-            marks = [0, *cuts, len(part)]
-            pieces = [part[a:b] for a, b in zip(marks, marks[1:], strict=False) if b > a]
-        else:
-            pieces = list(part)
-        fits: list[str] = []
-        following: list[tuple[str, tuple[str, ...]]] = []
-        for piece in pieces:
-            if measure(piece) < size or not rest:
-                fits.append(piece)
-                continue
-            # what fits comes before the long piece, so it is put in front of the queue with no separator left
-            following += [(c, ("\0done",)) for c in _merge(fits, size, overlap, measure)] if fits else []
-            following.append((piece, rest))
-            fits = []
-        following += [(c, ("\0done",)) for c in _merge(fits, size, overlap, measure)] if fits else []
-        todo = following + todo
-        while todo and todo[0][1] == ("\0done",):
-            out.append(todo.pop(0)[0])
-    return out
+    patterns = PATTERNS if literals is None else tuple(map(re.escape, literals))
+    return [p for p in _split(text, patterns, size, overlap, measure) if p.strip()]
 
 
 def split_paragraphs(text: str, size: int, overlap: int = 0) -> list[str]:

@@ -7,6 +7,9 @@ which only sees texts with an ampersand.
 from __future__ import annotations
 
 import html
+import re
+import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,15 +22,15 @@ SPACES = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x
 BUDGET_TOKEN = rf"[A-Za-z0-9][A-Za-z0-9.+#:_/-]*|[\x{{3400}}-\x{{9FFF}}]|[^{SPACES}A-Za-z0-9\x{{3400}}-\x{{9FFF}}]"
 LATIN_TERM = r"[a-z0-9][a-z0-9.+#:_/-]*"
 HAN_RUN = r"[\x{3400}-\x{9FFF}]+"
-#: Domain ends that make a bare host an address of the web.
-WEB_ENDS = "com org net edu gov io dev app ai co me info biz au cn uk technology tech cloud online site store xyz digital solutions agency studio design work jobs space".split()
+#: Domain ends that make a bare host an address of the web, and the grammar of mail and web addresses.
+WEB_ENDS = (
+    "com", "org", "net", "edu", "gov", "io", "dev", "app", "ai", "co", "me", "info", "biz", "au", "cn", "uk", "technology", "tech", "cloud", "online", "site", "store", "xyz",
+    "digital", "solutions", "agency", "studio", "design", "work", "jobs", "space",
+)
 LABEL = r"[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?"
 EMAIL = rf"(?iu)(?<![A-Z0-9_.+\-'])[A-Z0-9_%+\-']+(?:\.[A-Z0-9_%+\-']+)*@{LABEL}(?:\.{LABEL})*\.[A-Z]{{2,63}}(?![A-Z0-9_-]|\.[A-Z0-9])"
-_TAIL = r"A-Z0-9._~%!$&'()*+,;=:@/"
-URL = (
-    rf"(?iu)(?<![@A-Z0-9_])(?:https?://(?:localhost|\[[0-9A-F:.]+\]|[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?)(?::\d{{1,5}})?|(?:{LABEL}\.)+(?:{'|'.join(WEB_ENDS)}))"
-    rf"(?![A-Z0-9_-])(?:/[{_TAIL}-]*)?(?:\?[{_TAIL}?-]*)?(?:#[{_TAIL}?-]*)?"
-)
+PATH = r"(?:/[A-Z0-9._~%!$&'()*+,;=:@/-]*)?(?:\?[A-Z0-9._~%!$&'()*+,;=:@/?-]*)?(?:#[A-Z0-9._~%!$&'()*+,;=:@/?-]*)?"
+URL = rf"(?iu)(?<![@A-Z0-9_])(?:https?://(?:localhost|\[[0-9A-F:.]+\]|[A-Z0-9](?:[A-Z0-9.-]*[A-Z0-9])?)(?::\d{{1,5}})?|(?:{LABEL}\.)+(?:{'|'.join(WEB_ENDS)}))(?![A-Z0-9_-]){PATH}"
 CLOSING = r"[.,;:!?)\]}'\"’”]*"
 
 
@@ -83,14 +86,19 @@ def clean_flat(text: Column) -> Column:
     return strip_unicode(F.regexp_replace(text, rf"[{SPACES}]+", " "))
 
 
-def clean_public(text: Column, *, urls: bool = False, emails: bool = False) -> Column:
-    """As published texts are cleaned: no handling of markup; web addresses by scheme only."""
+#: A mail address and the punctuation after a web address on the published side.
+PUBLIC_EMAIL = r"[\p{L}\p{N}.!#$%&'*+/=?^_`{|}~-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+PUBLIC_CLOSING = ".,;:!?，。；：！？)）"
+
+
+def clean_public(text: Column, *, whitespace: bool = True, urls: bool = False, emails: bool = False) -> Column:
+    """As published texts are cleaned: no handling of markup; web addresses by scheme only, punctuation after them stays."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
     if urls:
-        text = F.regexp_replace(text, rf"(?i)https?://[^{SPACES}<>]+", "")
+        text = F.regexp_replace(text, rf"(?i)https?://(?=[^{SPACES}<>])[^{SPACES}<>]*?([{PUBLIC_CLOSING}]*)(?=[{SPACES}<>]|$)", "$1")
     if emails:
-        text = F.regexp_replace(text, r"[\p{L}\p{N}.!#$%&'*+/=?^_`{|}~-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+", "")
-    return normalize_whitespace(text)
+        text = F.regexp_replace(text, PUBLIC_EMAIL, "")
+    return normalize_whitespace(text) if whitespace else strip_unicode(text)
 
 
 def count_tokens(text: Column) -> Column:
@@ -153,11 +161,18 @@ def slugify(name: Column) -> Column:
     return F.when(F.length(slug) > 0, slug).otherwise(F.lit("space"))
 
 
+def file_stem(path: Column) -> Column:
+    """The last part of a path without its ending."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
 def version_title_key(title: Column) -> Column:
-    """A title without what tells versions apart: numbers after "v", words such as copy or final, punctuation."""
-    low = F.regexp_replace(F.lower(title), r"(?:^|(?<=[^a-z0-9]))v?\d+(?:\.\d+)*(?=[^a-z0-9]|$)", " ")
-    low = F.regexp_replace(low, r"(?:^|(?<=[^a-z]))(?:copy|final|latest|version|draft|new|old|rev|revised)\d*(?=[^a-z]|$)", " ")
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+    """A title without what tells versions apart: numbers (after "v" or "version", too), words such as copy or final, punctuation."""
+    low = F.regexp_replace(F.lower(title), r"(?U)\b(?:v(?:ersion)?\s*)?\d+(?:\.\d+)*\b", " ")
+    # Words that tell versions apart
+    low = F.regexp_replace(low, r"(?U)\b(?:copy|final|latest|master|old|new|updated|中文|英文|cn|en)\b", " ")
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}_]+", " "))
 
 
 def has_marker(text: Column, markers: tuple[str, ...]) -> Column:
@@ -169,21 +184,63 @@ def has_marker(text: Column, markers: tuple[str, ...]) -> Column:
     return found
 
 
+#: Private data that the local check names, and kinds that block publication, in their order of precedence.
+LOCAL_PII = {"email": r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "phone": r"(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)"}
+PUBLIC_PII = {
+    "email": r"(?:[^\W_]|[.!#$%&'*+/=?^_`{|}~-])+@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)+",
+    "national_id": r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])",
+    "phone": r"(?<![0-9])(?:1[3-9][0-9]{9}|0?4[0-9]{8}|(?:\+?[0-9]{1,3}[ -]?)?(?:\(?[0-9]{2,4}\)?[ -])[0-9]{3,4}[ -][0-9]{3,4})(?![0-9])",
+    "address": r"(?:家庭住址|家庭地址|住址|home address|residential address)\s*[：:]\s*[^\n]+",
+}
+#: A telephone number of so many digits is none.
+MOST_PHONE_DIGITS = 16
+
+
+def local_pii(text: Column) -> Column:
+    """All mail addresses and Chinese mobile numbers with their values: (kind, value), mail first."""
+    text = F.coalesce(text, F.lit(""))
+    of = lambda kind: F.transform(F.regexp_extract_all(text, F.lit(LOCAL_PII[kind]), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return F.concat(of("email"), of("phone"))
+
+
 def local_pii_kinds(text: Column) -> Column:
     """Kinds of private data that the local check names: email, phone (Chinese mobile numbers)."""
-    text = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(F.when(text.rlike(EMAIL), "email"), F.when(text.rlike(r"(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)"), "phone")))
+    return F.array_distinct(F.transform(local_pii(text), lambda f: f["kind"]))
+
+
+_PUBLIC = {kind: re.compile(pattern, re.I) for kind, pattern in PUBLIC_PII.items()}
+
+
+def spans_of(text: str | None) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of the blocking findings of one text; a kind gives way to those before it."""
+    found: list[tuple[int, int, str]] = []
+    for kind, pattern in _PUBLIC.items():
+        added = []
+        for match in pattern.finditer(text or ""):
+            begin, end = match.span()
+            if kind == "phone" and sum(c in "0123456789" for c in match.group()) > MOST_PHONE_DIGITS:
+                continue
+            at = bisect_left(found, (end,))  # findings don't overlap, so only the last one that begins before the end can
+            if not at or found[at - 1][1] <= begin:
+                added.append((begin, end, kind))
+        found = sorted(found + added)
+    return found
+
+
+def public_pii_spans(text: Column) -> Column:
+    """Where the data that blocks publication stands (start_pos, end_pos, kind), in code points and in order."""
+
+    @F.pandas_udf("array<struct<start_pos int, end_pos int, kind string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(spans_of)
+
+    return spans(text)
 
 
 def public_pii_kinds(text: Column) -> Column:
     """Kinds that block publication: email, national_id, phone, address."""
-    text = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(
-        F.when(text.rlike(r"[\p{L}\p{N}.!#$%&'*+/=?^_`{|}~-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"), "email"),
-        F.when(text.rlike(r"(?<!\d)\d{17}[\dXx](?!\d)"), "national_id"),
-        F.when(text.rlike(r"(?<!\d)(?:1[3-9]\d{9}|0?4\d{8}|(?:\+?\d{1,3}[ -]?)?(?:\(?\d{2,4}\)?[ -])\d{3,4}[ -]\d{3,4})(?!\d)"), "phone"),
-        F.when(text.rlike(r"(?iu)(?:家庭住址|家庭地址|住址|home address|residential address)\s*[：:]\s*[^\n]+"), "address"),
-    ))
+    kinds = F.transform(public_pii_spans(F.coalesce(text, F.lit(""))), lambda s: s["kind"])
+    return F.array_intersect(F.array(*map(F.lit, PUBLIC_PII)), kinds)
 
 
 #: Elements that end a line of text, and named entities come out by ``unescape_entities``.
@@ -201,21 +258,28 @@ def html_to_text(markup: Column) -> Column:
     return normalize_whitespace(unescape_entities(F.regexp_replace(text, r"<[^>]+>", "")))
 
 
+#: Tokens of the size estimate, and scripts without blanks, of which two characters count as one.
+ESTIMATE = rf"[\x{{3400}}-\x{{9FFF}}]|[\p{{L}}\p{{N}}]+|[^{SPACES}\p{{L}}\p{{N}}_]"
+UNSPACED = r"[\x{0E00}-\x{0E7F}\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{3130}-\x{318F}\x{31F0}-\x{31FF}\x{AC00}-\x{D7AF}]+"
+
+
 def estimated_tokens(text: Column) -> Column:
-    """A rough size: Han characters singly, words of letters as one, runs of kana, Hangul or Thai by halves."""
+    """A rough size: Han characters that begin a word singly, words of letters as one, runs of kana, Hangul or Thai by halves; 0 for null."""
     text = F.coalesce(text, F.lit(""))
-    dense = r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0E00}-\x{0E7F}]+"
-    halves = F.aggregate(F.regexp_extract_all(text, F.lit(dense), F.lit(0)), F.lit(0), lambda n, run: (n + F.ceil(F.length(run) / 2)).cast("int"))
-    rest = F.regexp_replace(text, dense, " ")
-    return F.regexp_count(rest, F.lit(r"[\x{4E00}-\x{9FFF}]")) + F.regexp_count(F.regexp_replace(rest, r"[\x{4E00}-\x{9FFF}]", " "), F.lit(r"[\p{L}\p{N}_]+")) + halves
+    halves = F.aggregate(F.regexp_extract_all(text, F.lit(UNSPACED), F.lit(0)), F.lit(0), lambda n, run: (n + F.ceil(F.length(run) / 2)).cast("int"))
+    return F.regexp_count(F.regexp_replace(text, UNSPACED, " "), F.lit(ESTIMATE)) + halves
 
 
-def is_resume(name: Column) -> Column:
-    """Whether a name or title marks a résumé."""
-    return F.coalesce(F.lower(name).rlike(r"(?<![a-z])(?:r[eé]sum[eé]|cv|curriculum vitae)(?![a-z])|简历"), F.lit(False))
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t).casefold() if not unicodedata.combining(c)), na_action="ignore")
+
 
+def folded_identity(text: Column) -> Column:
+    """A name in compatibility form, without case and marks."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _folded(text)).otherwise(F.lower(text))
 
-def recommended_profile(file_type: Column, title: Column, body: Column) -> Column:
-    """The chunk mode that a document's kind and size call for."""
-    size = estimated_tokens(body)
-    return F.when(is_resume(title), "resume_semantic").when(F.lower(file_type).isin("csv", "json") & (size <= 500), "general").when(size > 2000, "parent_child").otherwise("general")
+
+def is_resume(name: Column) -> Column:
+    """Whether a name or title marks a résumé."""
+    return F.coalesce(folded_identity(name).rlike(r"(?<![a-z0-9])(?:resume|cv|curriculum[\s_-]+vitae)(?![a-z0-9])|简历"), F.lit(False))

@@ -34,7 +34,9 @@ def test_small_functions(spark):
     assert value(spark, lambda c: T.date_number(c), "2024-3-5", "May 2023", "x", None) == [20240305.0, 20230101.0, None, None]
     assert value(spark, T.slugify, "My  Space!", "中文", "") == ["my-space", "space", "space"]
     assert value(spark, T.valid_http_url, "https://a.example/x", "ftp://a.example", "x", None) == [True, False, False, False]
-    assert value(spark, T.version_title_key, "Guide v2.1 FINAL", "guide_copy") == ["guide", "guide"]
+    keys_ = value(spark, T.version_title_key, "Guide v2.1 FINAL", "guide_copy", "Guide version 3 (updated, EN)", "指南 中文 master", "Etüde no. 4", None)
+    assert keys_ == ["guide", "guide_copy", "guide", "指南", "etüde no", None]  # an underscore is part of a word
+    assert value(spark, T.file_stem, "a/b/guide.v2.md", ".profile", "c:\\x\\y.txt", "plain") == ["guide.v2", ".profile", "y", "plain"]
     assert value(spark, T.is_mojibake, "Ã©tÃ©", "été", None) == [True, False, False]
     assert value(spark, T.public_pii_kinds, "住址：某路 1", "call 0412 345 678", None) == [["address"], ["phone"], []]
 
@@ -47,15 +49,15 @@ def test_keys(spark):
 
 def test_split_keeps_everything():
     text = "# A\nword " + " ".join(f"w{k}" for k in range(300)) + "\n\n中文。" * 50
-    for patterns in (True, False):
-        pieces = split.split_recursive(text, 40, 0, patterns=patterns)
+    for literals in (None, split.BUDGET_LITERALS, split.CHILD_LITERALS):
+        pieces = split.split_recursive(text, 40, 0, literals=literals)
         assert "".join("".join(pieces).split()) == "".join(text.split())
         assert all(split.token_length(p) <= 41 for p in pieces)
     assert split.split_recursive("", 10) == [] and split.split_recursive("   ", 10) == []
 
 
 def test_split_overlap_and_modes():
-    pieces = split.split_recursive("a b c d e f g h", 4, 2, patterns=False)
+    pieces = split.split_recursive("a b c d e f g h", 4, 2, literals=split.CHILD_LITERALS)
     assert pieces[0] == "a b c d" and pieces[1].startswith("c d")
     assert split.split_paragraphs("a b\n\nc d\n\ne f g h i", 5) == ["a b\n\nc d", "e f g h i"]
     assert [p[:3] for p in split.split_markdown("intro\n# A\nx\n## B\ny", 50)] == ["int", "# A", "## "]
@@ -68,5 +70,21 @@ def test_pattern_separator_cuts_before_last_letter():
 def test_html_and_sizes(spark):
     page = "<html><head><title>x</title></head><body><h2>Head</h2><p>a &amp; b<br>c</p><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>2</td></tr></table><script>z</script></body></html>"
     assert value(spark, T.html_to_text, page, None, "plain") == ["## Head\n\na & b\nc\n\n- one\n\n- two\n\n1 | 2", None, "plain"]
-    assert value(spark, T.estimated_tokens, "two words 数据 カタカナ", None) == [6, 0]
-    assert value(spark, T.is_resume, "my CV 2024", "简历草稿", "curve", None) == [True, True, False, False]
+    # a Han character after letters belongs to their word; signs count, underscores don't
+    assert value(spark, T.estimated_tokens, "two words 数据 カタカナ", None, "abc数据", "数据abc", "a_b, c!", "한국어") == [6, 0, 1, 3, 5, 2]
+    assert value(spark, T.is_resume, "my CV 2024", "简历草稿", "curve", None, "Résumé", "ＣＶ final", "cv2024", "curriculum_-vitae", "resumes") == [True, True, False, False, True, True, False, True, False]
+
+
+def test_public_cleaning(spark):
+    clean = lambda c: T.clean_public(c, urls=True, emails=True)
+    assert value(spark, clean, "see https://a.example/x?y=1, then http://b.example/x。", "mail ü.b@c.example now", "a\r\nb\t\tc <b>", None, "https://") == ["see , then 。", "mail now", "a\nb c <b>", None, "https://"]
+    assert value(spark, T.clean_flat, "<p>a&amp;b</p>\n c", None) == ["a&b c", None]
+
+
+def test_pii_spans(spark):
+    text = "住址：某路 1 号\nmail a.b@c.example, id 11010119900307123X, call 0412 345 678 or 13912345678"
+    found = [(text[a:b], kind) for a, b, kind in T.spans_of(text)]
+    assert found == [("住址：某路 1 号", "address"), ("a.b@c.example", "email"), ("11010119900307123X", "national_id"), ("0412 345 678", "phone"), ("13912345678", "phone")]
+    assert T.spans_of(None) == T.spans_of("") == [] and T.spans_of("home address: x@y.example") == [(14, 25, "email")]  # mail comes first
+    local = value(spark, T.local_pii, "A@b.example and +86 13912345678", None, "113912345678")
+    assert [[tuple(f) for f in row] for row in local] == [[("email", "A@b.example"), ("phone", "+86 13912345678")], [], []]
