@@ -29,8 +29,33 @@ def case_metrics(rankings: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
-def mean_metrics(cases: DataFrame) -> DataFrame:
-    return cases.agg(F.count(F.lit(1)).alias("cases"), *(F.round(F.avg(c), 6).alias(c) for c in ("hit", "recall", "reciprocal_rank", "ndcg")))
+def benchmark(cases: DataFrame, rankings: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """One row for all cases (query_id, answerable): means over the answerable ones, and how many others found nothing.
+
+    Without answerable cases the means are 0; without others the accuracy of not answering is 1.
+    """
+    measured = case_metrics(rankings, relevant, k)
+    ranked = rankings.select("query_id").distinct().withColumn("__any", F.lit(True))
+    made = cases.select("query_id", "answerable").join(measured, "query_id", "left").join(ranked, "query_id", "left")
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("answerable"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), F.lit(0.0)), 6).alias(c)
+    silent = F.when(~F.col("answerable"), F.when(F.col("__any").isNull(), 1.0).otherwise(0.0))
+    return made.agg(
+        F.count(F.lit(1)).alias("cases"), F.sum(F.col("answerable").cast("int")).cast("bigint").alias("answerable"), *(mean(c) for c in ("hit", "recall", "reciprocal_rank", "ndcg")),
+        F.round(F.coalesce(F.avg(silent), F.lit(1.0)), 6).alias("no_answer_accuracy"),
+    )
+
+
+def section_metrics(results: DataFrame, questions: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Hit rates and mean reciprocal rank of ranked résumé chunks, one row.
+
+    ``questions``: query_id, expected_section_type and, where one is expected, expected_entity, a text that the entity's
+    title or body contains, case ignored; ``results``: query_id, place, section_type, entity_title, body.
+    """
+    names = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lower(F.coalesce("expected_entity", F.lit(""))))
+    right = results.join(questions, "query_id").filter((F.col("section_type") == F.col("expected_section_type")) & (names("entity_title") | names("body")))
+    first = questions.select("query_id").join(right.groupBy("query_id").agg(F.min("place").alias("first")), "query_id", "left")
+    hits = [F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6).alias(f"hit_at_{k}") for k in cutoffs]
+    return first.agg(F.count(F.lit(1)).alias("questions"), *hits, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
 def privacy_violations(rankings: DataFrame, documents: DataFrame) -> DataFrame:

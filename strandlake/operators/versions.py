@@ -1,8 +1,8 @@
 """Version groups: documents that are states of one another, by title and shared features of their bodies.
 
-Two documents are linked if their bodies are equal, or if their title keys are equal or alike and their bodies share
-enough features; an empty title key is like no other. Titles are the column ``title`` (the given tables' file names
-drop other scripts and end in row numbers, so they don't stand before the title as in the reference).
+Two documents of one space are linked if their bodies are equal, or if their title keys are equal or alike and their
+bodies share enough features; an empty title key is like no other. ``catalog.version_inputs`` gives the documents that
+groups are made of and their titles.
 
 Pairs are found by an exact prefix filter: with the features of each body in one global order (rarest first), two
 sets of a Jaccard similarity of t share a feature among the first n - ceil(t n) + 1 of each. Equal bodies stand as
@@ -11,43 +11,51 @@ one representative, so that copies make no pairs among themselves. Components co
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.common import materialize, spread_join
+from strandlake.common import materialize, spread_join, spread_pairs
 from strandlake.functions import keys
 from strandlake.functions.text import version_title_key
 
 
-def body_features(df: DataFrame, body: str = "body") -> DataFrame:
-    """doc_id and the distinct hashes of words of 2 to 40 characters and of 12-character stretches every 6 characters."""
+def body_features(df: DataFrame, body: str = "body", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, the kept columns and the distinct hashes of words of 2 to 40 characters and of 12-character stretches every 6 characters."""
     low = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), r"\s+", " "))
     words = F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w).between(2, 40))
     tight = F.regexp_replace(low, r"\s+", "")
     # stretches from every 6th character: those from every 12th, and from every 12th after the first 6
     stretches = F.concat(*(F.regexp_extract_all(t, F.lit(r"(?s).{12}"), F.lit(0)) for t in (tight, F.substring(tight, 7, 1 << 30))))
-    return df.select("doc_id", F.array_distinct(F.transform(F.concat(words, stretches), lambda f: F.xxhash64(f))).alias("features")).filter(F.size("features") > 0)
+    return df.select("doc_id", *keep, F.array_distinct(F.transform(F.concat(words, stretches), lambda f: F.xxhash64(f))).alias("features")).filter(F.size("features") > 0)
 
 
-def similar_pairs(sets: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """Pairs (a, b, similarity) of sets (doc_id, features) with a Jaccard similarity of at least ``threshold``."""
-    exploded = sets.select("doc_id", F.size("features").alias("n"), F.explode("features").alias("f"))
+#: Titles are alike from this ratio on, bodies from this similarity on.
+LEAST_RATIO, LEAST_SIMILARITY = 0.85, 0.78
+
+
+def similar_pairs(sets: DataFrame, threshold: float = LEAST_SIMILARITY) -> DataFrame:
+    """Pairs (a, b, similarity) of sets (doc_id, features) with a Jaccard similarity of at least ``threshold``.
+
+    With ``shortest`` and ``longest``, the bounds of a set's title lengths, only pairs whose titles can be alike are made.
+    A feature of many sets is split, so that no task holds all pairs of a common one.
+    """
+    titled = "longest" in sets.columns
+    extra = ("shortest", "longest") if titled else ()
+    exploded = sets.select("doc_id", F.size("features").alias("n"), *extra, F.explode("features").alias("f"))
     frequency = exploded.groupBy("f").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # features of one set only can't be shared; the rest in order of rarity
     shared = exploded.join(frequency, "f")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "f"))
+    ordered = materialize(shared.groupBy("doc_id", "n", *extra).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "f"))), lambda s: s["f"]).alias("common")))
     kept = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    alone = shared.withColumn("place", place)
-    ordered = materialize(alone.groupBy("doc_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "f"))), lambda s: s["f"]).alias("common")))
-    prefix = ordered.select("doc_id", "n", F.explode(F.slice("common", 1, F.greatest(F.lit(1), kept))).alias("f"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    longer = (F.col("a.n") * threshold <= F.col("b.n")) & (F.col("b.n") * threshold <= F.col("a.n"))
-    candidates = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.doc_id") < F.col("b.doc_id")) & longer).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    prefix = ordered.select("doc_id", "n", *extra, F.explode(F.slice("common", 1, F.greatest(F.lit(1), kept))).alias("f"))
+    likely = f"a.doc_id < b.doc_id and a.n * {threshold} <= b.n and b.n * {threshold} <= a.n"
+    if titled:
+        low, high = "greatest(a.shortest, b.shortest)", "least(a.longest, b.longest)"
+        likely += f" and {high} > 0 and ({high} >= {low} or 2 * {high} >= {LEAST_RATIO} * ({high} + {low}))"
+    candidates = spread_pairs(prefix, "f", "doc_id", likely).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     left = ordered.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("common").alias("f_a"))
     right = ordered.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("f_b"))
     checked = candidates.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("f_a", "f_b")))
@@ -81,7 +89,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return roots.unionByName(links.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct().join(roots.select("doc_id"), "doc_id", "left_anti"))
 
 
-def alike(a: str, b: str, least: float = 0.85) -> bool:
+def alike(a: str, b: str, least: float = LEAST_RATIO) -> bool:
     """Whether two title keys are equal or reach this ratio, in either order (the ratio depends on it)."""
     if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return False
@@ -100,29 +108,27 @@ def alike_titles(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(any_alike("titles_a", "titles_b")).select(*pairs.columns)
 
 
-def version_members(df: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """doc_id, its component's smallest id and size, for documents similar to another (equal bodies included).
+def version_members(df: DataFrame, threshold: float = LEAST_SIMILARITY) -> DataFrame:
+    """doc_id, its group's id, its component's smallest id and size, for documents linked to another (equal bodies included).
 
-    Without a column ``title``, bodies alone decide.
+    Without a column ``title``, bodies alone decide; without ``space_id``, all documents are of one space. The newest
+    member of each group is found by ``catalog.latest_versions``.
     """
-    body = F.sha2(F.coalesce("body", F.lit("")), 256)
+    space = F.coalesce("space_id", F.lit("")) if "space_id" in df.columns else F.lit("")
     titled = "title" in df.columns
     title = version_title_key(F.coalesce("title", F.lit(""))) if titled else F.lit("")
-    known = materialize(df.filter(F.length(F.trim(F.coalesce("body", F.lit("")))) > 0).select("doc_id", body.alias("text"), title.alias("title_key")))
-    copies = known.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = df.join(copies.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    pairs = similar_pairs(body_features(firsts), threshold)
+    body = F.coalesce("body", F.lit(""))
+    known = materialize(df.filter(F.length(F.trim(body)) > 0).select("doc_id", F.sha2(F.concat_ws("\u0000", space, body), 256).alias("text"), title.alias("title_key")))
+    copies = known.groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.length("title_key")).alias("shortest"), F.max(F.length("title_key")).alias("longest"))
+    bounds = copies.select(F.col("first").alias("doc_id"), *(("shortest", "longest") if titled else ()))
+    features = body_features(df, keep=(space.alias("space"),)).withColumn("features", F.transform("features", lambda f: F.xxhash64("space", f))).drop("space")
+    pairs = similar_pairs(features.join(bounds, "doc_id"), threshold)
     if titled:
         titles = known.filter("title_key <> ''").groupBy("text").agg(F.collect_set("title_key").alias("titles"))
         pairs = alike_titles(pairs, titles.join(copies, "text").select(F.col("first").alias("doc_id"), "titles"))
     linked = components(pairs.select("a", "b"))
-    whole = spread_join(known.select("doc_id", "text"), copies, "text", "copies", "doc_id").select("doc_id", "first", "copies")
+    whole = spread_join(known.select("doc_id", "text"), copies.select("text", "first", "copies"), "text", "copies", "doc_id").select("doc_id", "first", "copies")
     rooted = whole.join(linked.select(F.col("doc_id").alias("first"), "root"), "first", "left")
     rooted = rooted.filter("root is not null or copies > 1").select("doc_id", F.coalesce("root", "first").alias("root"))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), keys.version_group(F.collect_list(F.col("doc_id").cast("string"))).alias("version_group_id"))
     return spread_join(rooted, sizes, "root", "members", "doc_id").select("doc_id", "version_group_id", "root", "members")
-
-
-def least_prefix(n: int, threshold: float) -> int:
-    """Length of the prefix that two sets of this similarity must share a feature in."""
-    return n - math.ceil(n * threshold - 1e-9) + 1

@@ -3,12 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.operators.retrieval import answer_intent
+
+#: What an intent asks of the answer, in our own words.
+INSTRUCTIONS = {
+    "exhaustive": "Name every distinct thing that the evidence supports, twelve at most; say so if it can't show that the list is complete.",
+    "ranked": "Name the three to five most relevant things, and for each what in the evidence puts it there.",
+    "fact": "Answer this question only, from the evidence given.",
+}
+
 
 def contexts(rows: DataFrame, most: int = 12) -> DataFrame:
-    """One text for each question: its first ``most`` rows by place as numbered sources, joined by empty lines."""
+    """One text for each question: its first ``most`` rows by place as numbered sources (with their category, where there is one), joined by empty lines."""
     cut = rows.filter(F.col("place") <= most)
-    piece = F.concat(F.lit("[Source "), F.col("place").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")), F.lit("]\n"), F.coalesce("body", F.lit("")))
+    category = F.when(F.length("category") > 0, F.concat(F.lit(" | category: "), "category")).otherwise("") if "category" in rows.columns else F.lit("")
+    piece = F.concat(F.lit("[Source "), F.col("place").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")), category, F.lit("]\n"), F.coalesce("body", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("place", piece.alias("piece"))))
     return cut.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda s: s["piece"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("sources"))
+
+
+def recent_turns(asked: DataFrame, history: DataFrame, turns: int = 12) -> DataFrame:
+    """query_id and the last messages of its session up to its own time, oldest first, deliveries counted once.
+
+    Only sessions of asked messages are read further; each question keeps its last ``turns`` rows.
+    """
+    once = history.groupBy("message_id").agg(F.min("session_id").alias("session_id"), F.min("msg_role").alias("msg_role"), F.min("content").alias("content"), F.min("sent_at").alias("sent_at"))
+    own = asked.select("query_id").join(once.select(F.col("message_id").alias("query_id"), "session_id", F.col("sent_at").alias("asked_at")), "query_id")
+    before = once.join(own, "session_id").filter((F.col("sent_at") < F.col("asked_at")) | ((F.col("sent_at") == F.col("asked_at")) & (F.col("message_id") < F.col("query_id"))))
+    number = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("sent_at").desc(), F.col("message_id").desc()))
+    return before.withColumn("from_end", number).filter(F.col("from_end") <= turns).select("query_id", "from_end", "msg_role", "content")
+
+
+def chat_prompts(asked: DataFrame, sources: DataFrame, turns: DataFrame) -> DataFrame:
+    """The prompt of each question: instruction by intent, recent messages, numbered evidence, the question; empty parts are left out."""
+    piece = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+    evidence = sources.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", piece.alias("p")))), lambda s: s["p"]), "\n\n").alias("evidence"), F.count(F.lit(1)).alias("sources"))
+    line = F.concat(F.coalesce("msg_role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")))
+    recent = turns.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("from_end")).alias("o"), line.alias("l")))), lambda s: s["l"]), "\n").alias("recent"), F.count(F.lit(1)).alias("turns"))
+    made = asked.join(evidence, "query_id", "left").join(recent, "query_id", "left")
+    intent = answer_intent(F.col("question"))
+    instruction = F.when(intent == "exhaustive", INSTRUCTIONS["exhaustive"]).when(intent == "ranked", INSTRUCTIONS["ranked"]).otherwise(INSTRUCTIONS["fact"])
+    part = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(label), c))
+    whole = F.concat_ws("\n\n", instruction, part("Recent conversation:\n", F.col("recent")), part("Retrieved evidence:\n", F.col("evidence")), part("Question: ", F.col("question")))
+    return made.select("query_id", whole.alias("prompt"), F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("turns", F.lit(0)).alias("turns"))

@@ -6,8 +6,6 @@ and search all documents; vector searches likewise. Floats are rounded to six pl
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,36 +17,7 @@ from strandlake.operators import catalog, chunking, evaluate, retrieval, version
 from strandlake.plans import prompt
 from strandlake.streaming import rate
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-#: SQL pieces with {x} for a column; the class of white space is spelled out as in functions.text.
-_SPACES = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_BUDGET = rf"[A-Za-z0-9][A-Za-z0-9.+#:_/-]*|[\x{{3400}}-\x{{9fff}}]|[^{_SPACES}A-Za-z0-9\x{{3400}}-\x{{9fff}}]"
-_TOKENS = "len(regexp_extract_all({x}, '" + _BUDGET + "'))"
-_SEARCH = r"""list_concat(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9.+#:_/-]*'),
-  flatten(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '[\x{3400}-\x{9fff}]+'), lambda r: list_concat(list_transform(range(1, len(r) + 1), lambda k: substr(r, k::bigint, 1)), list_transform(range(1, len(r)), lambda k: substr(r, k::bigint, 2))))))"""
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql:
-            SQL[query.__name__] = sql
-        return query
-
-    return add
-
-
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
-
-
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _documents(spark, sf_dir).filter("doc_id % 50 = 0 and length(title) > 0")
-    return asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
-
+from strandlake.plans.base import _BUDGET, _SEARCH, _SPACES, _TOKENS, QUERIES, SQL, Query, _documents, _questions, register
 
 # --- texts -------------------------------------------------------------------------------------------------------
 
@@ -137,8 +106,8 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of like titles similar to another by shared words and stretches, in groups."""
-    return versions.version_members(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "title", "body"))
+    """Active uploads of one space and like titles, similar to another by shared words and stretches, in groups."""
+    return versions.version_members(catalog.version_inputs(read_table(spark, sf_dir, "catalog_documents")))
 
 
 # --- chunks --------------------------------------------------------------------------------------------------------
@@ -156,31 +125,34 @@ def chunk_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 g as (select doc_id, count(*) as chunks, round_even(avg(length(b)), 0)::bigint as average_length, min(length(b))::integer as min_length, max(length(b))::integer as max_length, sum({_TOKENS.replace('{x}', 'b')})::bigint as tokens, sum((length(b) < 100)::integer)::bigint as short_chunks from c group by 1)
 select *, short_chunks >= 0.25 * chunks as many_short, max_length > 1600 as too_long from g""")
 def chunk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_metrics(chunking.fixed_windows(_documents(spark, sf_dir).select("doc_id", "text"), "text"))
+    made = chunking.chunk_metrics(chunking.fixed_windows(_documents(spark, sf_dir).select("doc_id", "text"), "text"))
+    return made.select("doc_id", "chunks", "average_length", "min_length", "max_length", "tokens", "short_chunks", "many_short", "too_long")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "catalog_documents").select("doc_id", "title", "body")
 
 
 @register()
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.split_bodies(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "body"))
+    made = chunking.split_bodies(_bodies(spark, sf_dir).drop("title"))
     return made.select("doc_id", "chunk_index", keys.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_body")).alias("chunk_id"), F.length("chunk_body").alias("chars"))
 
 
 @register()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "catalog_documents").filter("file_type = 'md'").select("doc_id", "body")
-    return chunking.split_bodies(rows, mode="markdown", size=200, overlap=0).select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
+    return chunking.split_bodies(_bodies(spark, sf_dir), mode="markdown", size=200, overlap=0).select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
 
 
 @register()
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.split_bodies(read_table(spark, sf_dir, "portfolio_docs").select("doc_id", "body"), mode="paragraph", size=120, overlap=0)
-    return made.select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
+    return chunking.split_bodies(_bodies(spark, sf_dir), mode="paragraph", size=120, overlap=0).select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"))
 
 
 @register()
 def chunk_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.hierarchy(read_table(spark, sf_dir, "catalog_documents").select("doc_id", "body"))
-    return made.drop("parent_body", "raw_body")
+    made = chunking.hierarchy(_bodies(spark, sf_dir))
+    return made.select("doc_id", "parent_index", "parent_chunk_id", "child_index", "chunk_id", "token_count", "character_count")
 
 
 @register("""select doc_id, '[' || concat_ws(' | ', case when trim(coalesce(title, '')) <> '' then 'Document: ' || title end, case when trim(coalesce(project, '')) <> '' then 'Project: ' || project end, case when trim(coalesce(source, '')) <> '' then 'Source: ' || source end, case when trim(coalesce(updated_at, '')) <> '' then 'Updated: ' || updated_at end) || ']' as prefix from catalog_documents""")
@@ -198,40 +170,16 @@ def resume_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.sentence_chunks(read_table(spark, sf_dir, "portfolio_docs").select("doc_id", "body"))
+    made = chunking.packed_chunks(_bodies(spark, sf_dir))
     return made.select("doc_id", "chunk_index", F.sha2("chunk_body", 256).alias("chunk_hash"), T.count_tokens(F.col("chunk_body")).alias("tokens"))
 
 
-@register()
-def recommended_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "catalog_documents")
-    mode = T.recommended_profile(F.col("file_type"), F.col("title"), F.col("body"))
-    return rows.select("doc_id", T.estimated_tokens(F.col("body")).alias("estimated_tokens"), T.is_resume(F.col("title")).alias("is_resume"), mode.alias("mode"))
-
-
 @register()
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured text of every document, markup in it or not."""
     return _documents(spark, sf_dir).filter("text is not null").select("doc_id", F.sha2(T.html_to_text(F.col("text")), 256).alias("text_hash"))
 
 
-@register()
-def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of every question's best documents of the catalog, chosen greedily by parent and group."""
-    rows = read_table(spark, sf_dir, "catalog_documents").select("doc_id", "title", "body")
-    asked = rows.filter("title is not null and pmod(xxhash64(doc_id), 50) = 0").select(F.xxhash64("doc_id").alias("query_id"), F.col("title").alias("question"))
-    hits = retrieval.bm25(rows.withColumn("text", F.concat_ws(" ", "title", "body")), asked, 20)
-    chunks = read_table(spark, sf_dir, "chunks").filter("chunk_id is not null").select("chunk_id", "doc_id", "parent_chunk_id", "semantic_group_id").dropDuplicates(["chunk_id"])
-    pool = retrieval.top_k(hits.join(chunks, "doc_id").withColumnRenamed("bm25_score", "score"), "score", 50, "candidate", "chunk_id")
-    return retrieval.select_contexts(pool).select("query_id", "chunk_id", "place")
-
-
-@register()
-def recommended_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.recommended_chunking(F.col("file_type"), F.col("title"), F.col("body"))
-    return read_table(spark, sf_dir, "catalog_documents").select("doc_id", made.alias("r")).select("doc_id", "r.*")
-
-
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
 _BM25 = f"""
@@ -343,7 +291,7 @@ def section_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boosted_chunks(asked: DataFrame, chunks: DataFrame, k: int = 25) -> DataFrame:
     """The best ``k`` chunks of each question (query_id, question, space_id) in its space, with their own sections and dates."""
-    hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body"), asked, k, "raw_body", "space_id").withColumnRenamed("doc_id", "chunk_id")
+    hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body"), asked, k, "raw_body", "space_id").withColumnRenamed("doc_id", "chunk_id").drop("space_id")
     own = chunks.select("chunk_id", "section_type", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")).alias("updated_number"))
     rows = retrieval.normalize_by_max(hits, "bm25_score", "base").join(own, "chunk_id").join(asked, "query_id")
     return retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
@@ -356,13 +304,6 @@ def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("query_id", "refused", "fresh", "complex", F.array_join("subqueries", " || ").alias("subqueries"))
 
 
-@register()
-def adaptive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _questions(spark, sf_dir)
-    hits = retrieval.normalize_by_max(retrieval.bm25(_documents(spark, sf_dir), asked, 10), "bm25_score", "score")
-    return retrieval.adaptive_decision(hits, retrieval.plan_questions(asked))
-
-
 @register()
 def subquery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question and the two halves of its words as subqueries, their results merged by hits and best score."""
@@ -482,12 +423,18 @@ def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", F.explode(channels).alias("channel")).groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("results"))
 
 
-@register()
+_UPSERT = """inc as (select *, upper(title) as t2, 'discovered' as s2, updated_at || '~' as u2, case when hash_key % 3 = 1 then doc_id || '+' else doc_id end as id2 from (select *, ('0x' || substr(sha256(doc_id), 1, 7))::bigint as hash_key from catalog_documents) where hash_key % 3 > 0)"""
+
+
+@register(f"""with {_UPSERT} select d.doc_id, coalesce(i.t2, d.title) as title, d.status, coalesce(i.u2, d.updated_at) as updated_at, d.processing_profile_hash from catalog_documents d left join inc i on i.id2 = d.doc_id
+union all select id2, t2, s2, u2, null from inc where hash_key % 3 = 1""")
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of the catalog written over itself a second time as a later parse: the kept columns stay."""
-    rows = read_table(spark, sf_dir, "catalog_documents")
-    incoming = rows.withColumn("title", F.upper("title")).withColumn("status", F.lit("discovered")).withColumn("updated_at", F.concat(F.col("updated_at"), F.lit("~")))
-    return catalog.upsert(rows, incoming).select("doc_id", "title", "status", "updated_at")
+    """Two thirds of the catalog come in again as a later parse, half of them under new ids: kept columns stay, new rows come whole."""
+    rows = read_table(spark, sf_dir, "catalog_documents").withColumn("is_latest", F.col("is_latest").cast("int"))
+    number = F.conv(F.substring(F.sha2("doc_id", 256), 1, 7), 16, 10).cast("bigint")
+    again = rows.withColumn("__n", number).filter("__n % 3 > 0").withColumn("title", F.upper("title")).withColumn("status", F.lit("discovered")).withColumn("updated_at", F.concat(F.col("updated_at"), F.lit("~")))
+    incoming = again.withColumn("doc_id", F.when(F.col("__n") % 3 == 1, F.concat("doc_id", F.lit("+"))).otherwise(F.col("doc_id"))).withColumn("processing_profile_hash", F.lit(None).cast("string")).drop("__n")
+    return catalog.upsert(rows, incoming).select("doc_id", "title", "status", "updated_at", "processing_profile_hash")
 
 
 @register("""select c.doc_id, count(*) as chunks, min(d.space_id) as space_id from chunks c join catalog_documents d using (doc_id) group by 1""")
@@ -509,8 +456,7 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = read_table(spark, sf_dir, "portfolio_docs").withColumn("visibility", F.lit("public"))
-    accepted, rejected = catalog.normalize_documents(raw)
+    accepted, rejected = catalog.normalize_documents(read_table(spark, sf_dir, "portfolio_docs"), "public")
     columns = ("doc_id", "title", "content_hash", "language", "visibility")
     return accepted.select(*columns, F.lit(True).alias("accepted")).unionByName(rejected.select(*columns, F.lit(False).alias("accepted")))
 
@@ -543,6 +489,10 @@ def rate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("user_id", "event_id", keys.rate_key(F.col("user_id"), F.col("ts").cast("timestamp")).alias("bucket_key"))
 
 
+# the other modules register their queries when they are imported
+from strandlake.plans import documents, search, snapshots  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -78,7 +78,9 @@ def test_vectors(spark):
 def test_boosts_and_plans(spark):
     rows = spark.createDataFrame([(1, "latest Kafka internship and SQL", "uses kafka and sql", "internship", 20240101.0, 0.5), (1, "latest Kafka internship and SQL", None, "profile", None, 0.5)], "query_id int, question string, searchable string, section_type string, updated_number double, score double")
     got = retrieval.freshness_boost(retrieval.section_boost(retrieval.keyword_boost(rows), "rank_score"), "intent_score").orderBy("section_type").collect()
-    assert [(r.rank_score, r.intent_score, r.freshness_score) for r in got] == [(0.62, 0.74, 0.82), (0.5, 0.47, 0.47)]
+    assert [(r.rank_score, r.intent_score, r.freshness_score) for r in got] == [(0.62, 0.74, 0.74), (0.5, 0.47, 0.47)]  # one date alone makes nothing fresher
+    dated = spark.createDataFrame([(1, "newest", d, 0.5) for d in (20240101.0, 20240102.0, None, 20240101.0)], "query_id int, question string, updated_number double, score double")
+    assert sorted(r.freshness_score for r in retrieval.freshness_boost(dated, "score").collect()) == [0.5, 0.5, 0.5, 0.58]
     plans = retrieval.plan_questions(spark.createDataFrame([(1, "compare Spark jobs and Flink jobs"), (2, "my passport"), (3, None)], "query_id int, question string")).orderBy("query_id").collect()
     assert plans[0].complex and len(plans[0].subqueries) == 3 and plans[1].refused and not plans[2].refused
 
@@ -162,8 +164,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"title": "t"}')
     with pytest.raises(ValueError):
         readers.read_json_array(spark, str(tmp_path / "b.json"))
-    (tmp_path / "c.csv").write_text("project,hours\nX,3\nY,\n")
-    assert {r.body for r in readers.read_csv_records(spark, str(tmp_path / "c.csv")).collect()} == {"project: X | hours: 3", "project: Y"}
+    (tmp_path / "c d.csv").write_text("project,hours\nX,3\nY,\n")
+    got = {(r.title, r.body) for r in readers.read_csv_records(spark, str(tmp_path / "c d.csv")).collect()}
+    assert got == {("c d row 1", "project: X | hours: 3"), ("c d row 2", "project: Y | hours: ")}
     folder = tmp_path / "files"
     folder.mkdir()
     (folder / "long.md").write_text("word " * 40)
@@ -181,21 +184,80 @@ def test_first_by_hash_is_bounded_and_repeatable(spark):
 
 
 def test_resume_units(spark):
-    text = "Nora H.\n\nEducation\n\nNorth University 2019 - 2023\n\nCourses: statistics\n\nProjects\n\nLoom | 2022\n\n- built it\n\nShop\n\nTech stack: Kafka\n\nProfile\n\nFirst.\n\nSecond.\n\nSkills\n\nProgramming and development\n\nJava\n\nAlso: Go"
+    text = "Nora H.\n\nEDUCATION\n\nNorth University 2019 - 2023\n\nCourses: statistics\n\nProjects\n\nLoom | 2022\n\n- built it\n\nShop\n\nTech stack: Kafka\n\nProfile\n\nFirst.\n\nSecond.\n\nSkills\n\nProgramming and development\n\nJava\n\nAlso: Go"
     df = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "doc_id string, body string")
     got = [(r.section_type, r.entity_title, r.retrieval_priority) for r in chunking.resume_units(df).orderBy("chunk_index").collect()]
     assert got == [("profile", "基本信息", "primary"), ("education", "North University 2019 - 2023", "primary"), ("project", "Loom | 2022", "primary"), ("project", "Shop", "primary"), ("summary", "Profile 1", "primary"), ("summary", "Profile 2", "secondary"), ("skill", "Programming and development", "primary"), ("skill", "Additional skill variants", "secondary")]
     long = spark.createDataFrame([("d", "Projects\n\nLoom | 2022\n\n" + "word " * 900)], "doc_id string, body string")
+    labels = {r.label for r in chunking.resume_units(df).collect()}
+    assert "Education" in labels and "EDUCATION" not in labels  # canonical, whatever the text writes
     rows = chunking.resume_units(long, 300).collect()
     assert len(rows) > 2 and all(r.raw_body.startswith("Loom | 2022") for r in rows) and len({r.semantic_group_id for r in rows}) == 1
 
 
-def test_sentence_chunks_and_contexts(spark):
-    df = spark.createDataFrame([(1, "One two. Three four! 五六。七八。" + "x " * 50), (2, None)], "doc_id int, body string")
-    rows = chunking.sentence_chunks(df, 6).collect()
-    assert rows[0].chunk_body.startswith("One two. Three four!") and {r.doc_id for r in rows} == {1}
-    pool = spark.createDataFrame([(1, "a", "p1", "g1", 0.9), (1, "b", "p1", "g2", 0.8), (1, "c", "p2", "g2", 0.7), (1, "d", "p3", "g1", 0.6)], "query_id int, chunk_id string, parent_chunk_id string, semantic_group_id string, score double")
-    assert [r.chunk_id for r in retrieval.select_contexts(pool).orderBy("place").collect()] == ["a", "c"]
+def test_packed_chunks(spark):
+    df = spark.createDataFrame([(1, "One two. Three four! 五六。七八。" + "x " * 50), (2, None), (3, "  "), (4, "aa bb\n\ncc dd\n\nee ff gg")], "doc_id int, body string")
+    rows = chunking.packed_chunks(df, 6, 0).orderBy("doc_id", "chunk_index").collect()
+    assert {r.doc_id for r in rows} == {1, 4} and rows[0].chunk_body == "One two.\n\nThree four!"
+    assert [r.chunk_body for r in rows if r.doc_id == 4] == ["aa bb\n\ncc dd", "ee ff gg"]
+    over = [r.chunk_body for r in chunking.packed_chunks(df.filter("doc_id = 4"), 6, 5).orderBy("chunk_index").collect()]
+    assert over == ["aa bb\n\ncc dd", "dd\n\nee ff gg"]  # a quarter of six tokens at most
+
+
+def test_contexts_by_parent_and_group(spark):
+    schema = "query_id int, chunk_id string, doc_id string, space_id string, parent_chunk_id string, semantic_group_id string, section_type string, score double, question string"
+    row = lambda c, p, g, score, doc="d", q=1, kind="document", ask="what is it": (q, c, doc, "s", p, g, kind, score, ask)
+    pool = [row("a", "p1", "g1", 0.9), row("b", "p1", "g2", 0.8), row("c", "p2", "g2", 0.7), row("d", "p3", "g1", 0.6), row("e", None, None, 0.5), row("f", None, None, 0.4), row("g", "p1", "g1", 0.3, "other")]
+    pool += [row(f"x{k}", None, None, 1 - k / 100, q=2, ask="list all projects", kind=("project", "award")[k % 2]) for k in range(30)]
+    pool += [row(f"y{k}", None, None, 1 - k / 100, q=3, ask="best projects", kind="project") for k in range(30)]
+    got = retrieval.select_contexts(spark.createDataFrame(pool, schema)).orderBy("query_id", "place").collect()
+    chosen = {q: [r.chunk_id for r in got if r.query_id == q] for q in (1, 2, 3)}
+    assert chosen[1] == ["a", "c", "e", "f", "g"]  # missing parents and groups are nobody's, keys count within a document
+    assert chosen[2] == [f"x{k}" for k in range(0, 24, 2)] and chosen[3] == [f"y{k}" for k in range(5)]
+
+
+def test_records_and_uploads(spark, tmp_path):
+    import io
+    import zipfile
+
+    paragraphs = [("Heading1", "Loom guide"), ("", "First & last."), ("", "")]
+    xml = "".join(f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t.replace("&", "&amp;")}</w:t></w:r></w:p>' for s, t in paragraphs)
+    word = io.BytesIO()
+    with zipfile.ZipFile(word, "w") as file:
+        file.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{xml}</w:body></w:document>')
+    for name, content in {
+        "a.json": b'\xef\xbb\xbf[{"title": "one", "body": "x"}, {"title": "two", "metadata": {"visibility": "public"}}]', "b.json": b'{"title": "only"}', "c.json": b"{", "d.csv": b"title,body,n\nT,B,1\n,,2\n",
+        "e.md": b"# Head\r\ntext\x00", "f.docx": word.getvalue(), "g.docx": b"PK no", "h.exe": b"x", "i.txt": b" \n", "j.pdf": b"%PDF-1.7", "k.pdf": b"no", "l.csv": b"a,b\n1, 2 \n\n3,\n",
+    }.items():
+        (tmp_path / name).write_bytes(content)
+    records = {(r.source, r.row_no, r.title, r.body, r.visibility, r.error) for r in readers.read_records(spark, str(tmp_path)).collect()}
+    assert {r for r in records if r[0] < "e"} == {
+        ("a.json", 1, "one", "x", None, None), ("a.json", 2, "two", None, "public", None), ("b.json", 1, "only", None, None, None), ("c.json", None, None, None, None, "invalid_file"),
+        ("d.csv", 1, "T", "B", None, None), ("d.csv", 2, "d row 2", "title:  | body:  | n: 2", None, None),
+    }
+    assert ("h.exe", None, None, None, None, "unsupported_file") in records and ("f.docx", 1, "f", "Loom guide\n\nFirst & last.", None, None) in records
+    uploads = {r.file_name: (r.title, r.body, r.error) for r in readers.read_uploads(spark, str(tmp_path)).collect()}
+    assert uploads["e.md"] == ("Head", "# Head\ntext", None) and uploads["f.docx"] == ("Loom guide", "# Loom guide\n\nFirst & last.", None)
+    assert uploads["l.csv"][1] == "a: 1\nb: 2\n\na: 3\nb:"
+    assert {k: v[2] for k, v in uploads.items() if v[2]} == {"a.json": "unsupported_file", "b.json": "unsupported_file", "c.json": "unsupported_file", "g.docx": "invalid_file", "h.exe": "unsupported_file", "i.txt": "empty_file", "j.pdf": "needs_ocr", "k.pdf": "invalid_file"}
+
+
+def test_benchmark_cases(spark, tmp_path):
+    import json
+
+    case = {"case_id": "a", "language": "en", "scope": "all", "should_answer": True, "expected_doc_ids": ["d"], "relevance": {"d": 3}, "question": "q"}
+    write = lambda *cases: (tmp_path / "b.json").write_text(json.dumps(list(cases))) and str(tmp_path / "b.json")
+    assert readers.read_benchmark(spark, write(case, case | {"case_id": "b", "should_answer": False, "expected_doc_ids": []})).count() == 2
+    for fault in ({"language": "fr"}, {"scope": "x"}, {"expected_doc_ids": []}, {"case_id": "z"}):
+        with pytest.raises(ValueError):
+            readers.read_benchmark(spark, write(case | {"case_id": "z"}, case | fault))
+
+
+def test_sizes_are_tested_on_the_listing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_TEXT_BYTES", 100)
+    (tmp_path / "big.md").write_text("word " * 40)
+    (tmp_path / "fits.md").write_text("word " * 17)
+    assert {(r.path.rsplit("/", 1)[1], r.parse_status, bool(r.body)) for r in readers.scan_folder(spark, str(tmp_path)).collect()} == {("big.md", "too_large", False), ("fits.md", "ready", True)}
 
 
 def test_scanned_texts_are_whole(spark, tmp_path):
@@ -204,3 +266,158 @@ def test_scanned_texts_are_whole(spark, tmp_path):
     assert (len(row.body), row.parse_status) == (20_000, "ready")
     row = readers.scan_folder(spark, str(tmp_path), most_chars=12_000).first()
     assert (len(row.body), row.parse_status) == (12_000, "truncated")
+
+
+def test_bm25_by_joins_equals_bm25_in_tasks(spark, small, monkeypatch):
+    documents, asked = registry._documents(spark, small), registry._questions(spark, small)
+    spaces = documents.withColumn("space_id", F.coalesce("space_id", F.lit("none")))
+    within = asked.withColumn("space_id", F.explode(F.array(*(F.lit(r[0]) for r in spaces.select("space_id").distinct().collect()))))
+    run = lambda: (sets(retrieval.bm25(documents, asked, 5).select("query_id", "doc_id", "bm25_score")), sets(retrieval.bm25(spaces, within, 3, within="space_id").select("query_id", "space_id", "doc_id", "bm25_score", "bm25_rank")))
+    in_tasks = run()
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 1)
+    assert run() == in_tasks and all(in_tasks)
+    monkeypatch.undo()
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 7)  # many small blocks
+    assert run() == in_tasks
+
+
+def test_vector_blocks_and_ties(spark, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.integers(-1, 2, 4)], int(k % 3), "s" if k % 2 else "t") for k in range(60)] + [(100, None, 0, "s"), (101, [1.0], 0, "s")]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, space_id string").repartition(5)
+    asked = spark.createDataFrame([(k, [float(x) for x in rng.integers(-1, 2, 4)], "s") for k in range(9)], "query_id bigint, embedding array<float>, space_id string")
+    whole = {r[0]: r for r in rows[:60]}
+
+    def cosine(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / size), 6) if size else 0.0
+
+    def expected(k, key, allowed=lambda r: True):
+        out = []
+        for q in asked.collect():
+            scored = sorted(((-cosine(q.embedding, r[1]), r[0]) for r in whole.values() if allowed(r)))
+            for _, group in itertools.groupby(sorted(scored, key=lambda s: key(whole[s[1]])), key=lambda s: key(whole[s[1]])):
+                out += [(q.query_id, v, -s) for s, v in sorted(group)[:k]]
+        return sorted(out)
+
+    for blocks, cells in ((64_000_000, 4_000_000), (40, 20)):
+        monkeypatch.setattr(retrieval, "MOST_BYTES", blocks)
+        monkeypatch.setattr(retrieval, "MOST_CELLS", cells)
+        plain = lambda **kw: sets(retrieval.vector_top_k(vectors, asked, 4, **kw).select("query_id", "vec_id", "score"))
+        assert plain() == expected(4, lambda r: 0)
+        assert plain(group="label") == expected(4, lambda r: r[2])
+        assert plain(within="space_id") == expected(4, lambda r: 0, lambda r: r[3] == "s")
+
+
+def test_select_results(spark):
+    schema = "query_id int, chunk_id string, visibility string, space_id string, score double, intent_score double, raw_body string, parent_body string, retrieval_priority string, semantic_group_id string"
+    rows = [
+        (1, "a", "public", "x", 0.9, 0.5, "child", "parent", "primary", "g1"), (1, "b", None, "x", 0.8, 0.7, "child", "", "primary", "g1"), (1, "c", "private", "x", 0.99, 0.99, "p", None, None, None), (1, "d", "public", "y", 0.7, None, "d", None, None, ""),
+        (1, "e", "public", "z", 0.95, 0.9, "e", None, None, None), (1, "f", "public", "x", 0.6, 0.95, "f", None, "secondary", "g2"), (1, "h", "public", None, 0.3, 0.3, "h", None, None, None), (2, "a", "private", "x", 0.1, 0.1, "a", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    chosen = lambda **kw: [r.chunk_id for r in retrieval.select_results(df, **kw).orderBy("query_id", "place").collect()]
+    assert chosen(k=9) == ["e", "b", "d", "h", "f"]  # one row a group, secondary rows last, private ones never
+    assert chosen(k=9, spaces=("x",)) == ["b", "f"] and chosen(k=9, spaces=("y", "x")) == ["d", "b", "f"] and chosen(k=1, spaces=("y", "x")) == ["d"]
+    assert chosen(k=9, threshold=0.7) == ["e", "b", "d"] and chosen(k=9, scope="all") == ["c", "e", "b", "d", "h", "f", "a"] and chosen(k=9, spaces=("portfolio",)) == ["h"]
+    bodies = {r.chunk_id: (r.body, r.matched_body, r.parent_expanded) for r in retrieval.select_results(df.filter("chunk_id in ('a', 'd')"), 5).collect()}
+    assert bodies == {"a": ("parent", "child", True), "d": ("d", "d", False)}
+    assert retrieval.select_results(df.limit(0), 3).count() == 0
+
+
+def test_modes_of_retrieval(spark):
+    chunks = spark.createDataFrame(
+        [(f"c{k}", f"d{k}", "s", f"p{k}", None, "document", "primary", "public", f"{word} notes about {word} number {k}", f"{word} page", 20240101.0 + k) for k, word in enumerate(("kafka", "spark", "flink", "redis", "docker") * 6)],
+        "chunk_id string, doc_id string, space_id string, parent_chunk_id string, semantic_group_id string, section_type string, retrieval_priority string, visibility string, raw_body string, title string, updated_number double",
+    )
+    asked = spark.createDataFrame([(1, "kafka notes", "s"), (2, "compare redis and docker", "s"), (3, "zzz", "s"), (4, "kafka", "none")], "query_id int, question string, space_id string")
+    for search in (retrieval.baseline_search, retrieval.fulltext_search, retrieval.hybrid_search):
+        got = search(chunks, asked, 3).collect()
+        assert {r.title for r in got if r.query_id == 1} == {"kafka page"} and not [r for r in got if r.query_id == 4]
+        assert all(r.title in ("redis page", "docker page") for r in got if r.query_id == 2)
+    found = {r.query_id: r for r in retrieval.adaptive_search(chunks, asked, 3).collect()}
+    assert found[2].path == "hybrid-rerank" and "complex-query" in found[2].reasons
+    without = retrieval.adaptive_search(chunks, asked, 3, scorer=None).filter("query_id = 2").collect()
+    assert {(r.path, r.fallback) for r in without} == {("vector", "no reranker")}
+    clear = spark.createDataFrame([(1, 0.9), (1, 0.5), (2, 0.9), (2, 0.89), (3, 0.3)], "query_id int, score double")
+    plans = retrieval.plan_questions(spark.createDataFrame([(k, "a question") for k in range(1, 5)], "query_id int, question string"))
+    reasons = {r.query_id: r.reasons for r in retrieval.adaptive_decision(clear, plans).collect()}
+    assert reasons == {1: "", 2: "low-confidence", 3: "low-confidence", 4: "low-confidence"}
+    assert {r.reasons for r in retrieval.adaptive_decision(clear, plans, forced=True).filter("query_id = 1").collect()} == {"user-requested"}
+    preview = retrieval.preview_search(chunks, spark.createDataFrame([(9, "kafka", "d0")], "query_id int, question string, doc_id string"), 3).collect()
+    assert [r.chunk_id for r in preview] == ["c0"]
+    plans = {r.query_id: r.subqueries for r in retrieval.plan_questions(spark.createDataFrame([(1, " compare Spark jobs, and Flink jobs? "), (2, "sandy shore summary"), (3, "对比白石引擎和夜航助手手册")], "query_id int, question string")).collect()}
+    assert plans == {1: ["compare Spark jobs, and Flink jobs?", "compare Spark jobs", "Flink jobs"], 2: ["sandy shore summary"], 3: ["对比白石引擎和夜航助手手册", "对比白石引擎", "夜航助手手册"]}
+
+
+def test_benchmark_and_section_metrics(spark):
+    cases = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False)], "query_id int, answerable boolean")
+    rankings = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (3, "x", 1)], "query_id int, doc_id string, place int")
+    relevant = spark.createDataFrame([(1, "a", 3), (2, "b", 1)], "query_id int, doc_id string, relevance int")
+    row = evaluate.benchmark(cases, rankings, relevant, 3).first()
+    assert (row.cases, row.answerable, row.hit, row.recall, row.reciprocal_rank, row.no_answer_accuracy) == (4, 2, 0.5, 0.5, 0.25, 0.5)
+    assert evaluate.benchmark(cases.limit(0), rankings, relevant, 3).first().no_answer_accuracy == 1.0
+    results = spark.createDataFrame([(1, 1, "skill", "S", "b"), (1, 2, "project", "Loom", "b"), (2, 1, "project", "x", "uses loom"), (3, 1, "award", "x", "y")], "query_id int, place int, section_type string, entity_title string, body string")
+    questions = spark.createDataFrame([(1, "project", "loom"), (2, "project", "Loom"), (3, "skill", None)], "query_id int, expected_section_type string, expected_entity string")
+    row = evaluate.section_metrics(results, questions).first()
+    assert (row.questions, row.hit_at_1, row.hit_at_3, row.mrr) == (3, round(1 / 3, 6), round(2 / 3, 6), 0.5)
+
+
+def test_publication_snapshots(spark, tmp_path):
+    from strandlake.operators import publish
+
+    drafts = spark.createDataFrame([("u1", "o", " T ", "", "", "en", "Body one", 0, "", "https://a.example"), ("u2", "o", "U", "s", "c", "zh", "Body two", 3, "x", "ftp://b")], "draft_id string, owner_id string, title string, summary string, category string, language string, body string, version int, space_id string, url string")
+    chunks = chunking.preview_chunks(drafts.select(F.col("draft_id").alias("doc_id"), "title", "body"), F.lit("parent_child")).withColumn("draft_id", F.col("doc_id"))
+    documents, rows = publish.publication(drafts, chunks, "2026-01-01")
+    first = documents.orderBy("title").first()
+    assert (first.title, first.category, first.space_id, first.publication_version, first.source_url) == ("T", "portfolio", "portfolio", 1, "https://a.example")
+    assert first.doc_id == "owner_" + hashlib.sha256(b"o:u1").hexdigest()[:24] and {r.chunk_id.rsplit("_", 1)[0] for r in rows.collect()} == {first.doc_id + "_v1", documents.orderBy("title").collect()[1].doc_id + "_v3"}
+    now, held = publish.commit(documents, rows, documents.withColumn("publication_version", F.lit(2)), rows.withColumn("chunk_id", F.concat("chunk_id", F.lit("+"))))
+    assert sorted(r.publication_version for r in now.collect()) == [2, 3] and sorted(r.chunk_id.endswith("+") for r in held.collect()) == [False, True]
+    public = spark.createDataFrame([("a", "A", "one", "public", "x"), ("b", "B", "two", "public", "y")], "doc_id string, title string, body string, visibility string, content_hash string")
+    public, _ = catalog.normalize_documents(public.drop("content_hash", "visibility"), "public")
+    made, known = publish.add_public(public, spark.createDataFrame([("c", "C", "two"), ("e", "E", "three"), ("d", "D", "three"), ("f", "F", "")], "doc_id string, title string, body string"))
+    assert {r.doc_id for r in made.collect()} == {"a", "b", "d"} and {r.doc_id for r in known.collect()} == {"c"}
+    left, archive = publish.archive(public, public.limit(0), spark.createDataFrame([("a",), ("z",)], "doc_id string"), "2026")
+    assert {r.doc_id for r in left.collect()} == {"b"} and [(r.doc_id, r.archived_at) for r in archive.collect()] == [("a", "2026")]
+    seeds = spark.createDataFrame([("s1", "S", "text", None), ("s2", "", "text", None), ("s3", "Ã©", "other", "private"), ("s3", "V", "third", None)], "doc_id string, title string, body string, visibility string")
+    rows, faults = publish.seed(seeds)
+    assert {tuple(r) for r in faults.collect()} == {("s1", "duplicate_hash"), ("s2", "duplicate_hash"), ("s2", "empty_text"), ("s3", "mojibake"), ("s3", "not_public"), ("s3", "duplicate_id")}
+    state = spark.createDataFrame([("s1", "old", "repo_seed", "2020", "2020"), ("gone", "g", "repo_seed", "2020", "2020"), ("mine", "m", "owner_upload", "2020", "2020")], "doc_id string, title string, source_origin string, created_at string, updated_at string")
+    synced = publish.sync_seed(state, rows.filter("doc_id = 's1'"), "2026")
+    assert {tuple(r) for r in synced.select("doc_id", "title", "created_at", "updated_at").collect()} == {("s1", "S", "2020", "2026"), ("mine", "m", "2020", "2020")}
+    index = spark.createDataFrame([("c1", "s", "T", "red fox fox"), ("c2", "t", None, "数据湖")], "chunk_id string, space_id string, title string, raw_body string")
+    publish.rebuild_index(index, str(tmp_path / "index"))
+    publish.rebuild_index(index.filter("chunk_id = 'c1'"), str(tmp_path / "index"))
+    terms = spark.read.parquet(str(tmp_path / "index" / "terms")).collect()
+    assert [(r.chunk_id, r.length, sorted((h.term, h.tf) for h in r.hits)) for r in terms] == [("c1", 4, [("fox", 2), ("red", 1), ("t", 1)])]
+    assert len(spark.read.parquet(str(tmp_path / "index" / "chunks")).first().embedding) == 64
+
+
+def test_catalog_changes(spark):
+    rows = spark.createDataFrame([("a", "Body", "h", "en", "active", "1"), ("b", "Other", "h", "en", "active", "1")], "doc_id string, body string, content_hash string, language string, status string, updated_at string")
+    made = {r.doc_id: r for r in catalog.replace_bodies(rows, spark.createDataFrame([("a", "new &amp; text"), ("b", " "), ("z", "x")], "doc_id string, body string")).collect()}
+    assert (made["a"].body, made["a"].content_hash, made["b"].body, made["b"].content_hash) == ("new & text", hashlib.sha256(b"new & text").hexdigest(), "Other", "h") and len(made) == 2
+    changed = catalog.update_rows(rows, spark.createDataFrame([("a", "excluded"), ("z", "x"), ("b", None)], "doc_id string, status string"), "2")
+    assert sets(changed.select("doc_id", "status", "updated_at")) == [("a", "excluded", "2"), ("b", "active", "2")]
+    assert sets(catalog.matching(rows, {"language": "zh", "status": "active"}).select("doc_id")) == [("a",), ("b",)]  # language isn't filtered
+    wide = rows.withColumn("title", F.lit("T_1")).withColumn("summary", F.lit("")).withColumn("source_path", F.lit(None).cast("string")).withColumn("relative_path", F.lit("É"))
+    assert [catalog.matching(wide, {}, w).count() for w in ("t_1", "t%1", "é", " OTHER ", "  ")] == [2, 2, 0, 1, 2]
+    raw = spark.createDataFrame([("s", "x/docs/a.md", "T", "text", "ready"), ("s", "x/b.docx", None, "more", "needs_ocr"), ("s", "c", "", "", "ready")], "source string, relative_path string, title string, body string, parse_status string")
+    made = {r.file_name: r for r in catalog.catalog_rows(raw, "now").collect()}
+    assert set(made) == {"a.md", "b.docx"} and made["a.md"].doc_id == "local_" + hashlib.sha256(b"s|x\\docs\\a.md").hexdigest()[:24]
+    assert (made["a.md"].project, made["a.md"].chunk_strategy, made["a.md"].status, made["b.docx"].status, made["b.docx"].chunk_size, made["b.docx"].title) == ("x", "markdown", "discovered", "needs_ocr", 320, "Untitled document")
+    accepted, rejected = catalog.normalize_documents(spark.createDataFrame([("a", "x", "secret"), ("b", "x", None), ("c", None, None)], "doc_id string, body string, visibility string").withColumn("title", F.lit(None).cast("string")).withColumn("metadata", F.create_map(F.lit("visibility"), F.lit("public"))))
+    assert sets(accepted.select("doc_id", "visibility")) == [("b", "public")] and sets(rejected.select("doc_id")) == [("a",), ("c",)]
+
+
+def test_recent_turns(spark):
+    from strandlake.plans import prompt
+
+    history = spark.sql("select id as message_id, 's' as session_id, 'user' as msg_role, concat('m', id) as content, timestamp_seconds(id * 60) as sent_at from range(20) union all select 3, 's', 'user', 'm3', timestamp_seconds(180) union all select 100, 'other', 'user', 'x', timestamp_seconds(0)")
+    turns = prompt.recent_turns(spark.createDataFrame([(15, "q", "s"), (0, "q", "s")], "query_id bigint, question string, space_id string"), history, 12)
+    assert sorted((r.query_id, r.from_end, r.content) for r in turns.collect()) == [(15, k, f"m{15 - k}") for k in range(1, 13)]
