@@ -61,12 +61,15 @@ def kind_of(line: str) -> str | None:
 def pack(units: Iterable[str], most: int) -> list[str]:
     """Units joined by empty lines up to ``most`` tokens; longer ones are cut at sentences, or every 3 * most characters."""
     out: list[str] = []
+    held = 0  # tokens of the last piece; those of pieces joined by empty lines add up
     for unit in units:
         for piece in filter(None, _fitting(unit.strip(), most)):
-            if out and tokens(f"{out[-1]}\n\n{piece}") <= most:
-                out[-1] = f"{out[-1]}\n\n{piece}"
+            size = tokens(piece)
+            if out and held + size <= most:
+                out[-1], held = f"{out[-1]}\n\n{piece}", held + size
             else:
                 out.append(piece)
+                held = size
     return out
 
 

@@ -18,18 +18,17 @@ def token_length(text: str) -> int:
     return len(BUDGET_TOKEN.findall(text))
 
 
-def _merge(pieces: Sequence[str], size: int, overlap: int, measure: Callable[[str], int]) -> Iterator[str]:
-    """Neighbouring pieces joined up to ``size``, each chunk starting with the end of the one before."""
-    lengths = [measure(p) for p in pieces]
+def _merge(pieces: Sequence[tuple[str, int]], size: int, overlap: int) -> Iterator[str]:
+    """Neighbouring (piece, length) joined up to ``size``, each chunk starting with the end of the one before."""
     begin = total = 0
-    for at, length in enumerate(lengths):
+    for at, (_, length) in enumerate(pieces):
         if at > begin and total + length > size:
-            yield "".join(pieces[begin:at]).strip()
+            yield "".join([p for p, _ in pieces[begin:at]]).strip()
             while begin < at and (total > overlap or (total > 0 and total + length > size)):
-                total -= lengths[begin]
+                total -= pieces[begin][1]
                 begin += 1
         total += length
-    yield "".join(pieces[begin:]).strip()
+    yield "".join([p for p, _ in pieces[begin:]]).strip()
 
 
 def _pieces(text: str, pattern: str) -> list[str]:
@@ -44,16 +43,17 @@ def _split(text: str, patterns: Sequence[str], size: int, overlap: int, measure:
     rank = next((k for k, p in enumerate(patterns) if not p or re.search(p, text)), len(patterns) - 1)
     rest, held = patterns[rank + 1 :] if patterns[rank] else (), []
     for piece in _pieces(text, patterns[rank]):
-        if measure(piece) < size:
-            held.append(piece)
+        length = measure(piece)
+        if length < size:
+            held.append((piece, length))
             continue
-        yield from _merge(held, size, overlap, measure)
+        yield from _merge(held, size, overlap)
         held = []
         if rest:
             yield from _split(piece, rest, size, overlap, measure)
         else:
             yield piece
-    yield from _merge(held, size, overlap, measure)
+    yield from _merge(held, size, overlap)
 
 
 def split_recursive(text: str, size: int, overlap: int = 0, *, measure: Callable[[str], int] = token_length, literals: Sequence[str] | None = None) -> list[str]:
@@ -67,13 +67,17 @@ def split_recursive(text: str, size: int, overlap: int = 0, *, measure: Callable
 
 def split_paragraphs(text: str, size: int, overlap: int = 0) -> list[str]:
     """Paragraphs joined up to ``size``; what is longer is split further."""
-    groups: list[str] = []
-    for paragraph in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if paragraph and groups and token_length(f"{groups[-1]}\n\n{paragraph}") <= size:
-            groups[-1] += f"\n\n{paragraph}"
-        elif paragraph:
-            groups.append(paragraph)
-    return [piece for group in groups for piece in split_recursive(group, size, overlap)]
+    groups: list[list[str]] = []
+    held = 0  # tokens of the last group; those of its paragraphs add up
+    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+        length = token_length(paragraph)
+        if groups and held + length <= size:
+            groups[-1].append(paragraph)
+            held += length
+        else:
+            groups.append([paragraph])
+            held = length
+    return [piece for group in groups for piece in split_recursive("\n\n".join(group), size, overlap)]
 
 
 def split_markdown(text: str, size: int, overlap: int = 0) -> list[str]:

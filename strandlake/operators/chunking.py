@@ -78,11 +78,12 @@ def context_prefix(title: Column, project: Column, section: Column, source: Colu
     return F.concat(F.lit("["), F.concat_ws(" | ", *parts), F.lit("]"))
 
 
-def chunk_tree(df: DataFrame, profile: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(parents, children) of documents (doc_id, title, body; project, source, updated where known) cut by a profile.
+def chunk_tree(df: DataFrame, profile: Column | None = None) -> DataFrame:
+    """Parents and children of documents (doc_id, title, body; project, source, updated where known) cut by a profile.
 
-    The profile is a column (see functions.profiles) or the general one. Bodies are cleaned first. Children carry their
-    parent's body and semantic group; a child of the general profile equals its parent.
+    The profile is a column (see functions.profiles) or the general one. Bodies are cleaned first. A parent has no
+    child_index and no parent_chunk_id; children carry their parent's body and semantic group, and a child of the
+    general profile equals its parent. Every document is cut once.
     """
     profile = profiles.GENERAL.column() if profile is None else profile
     column = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
@@ -101,20 +102,22 @@ def chunk_tree(df: DataFrame, profile: Column | None = None) -> tuple[DataFrame,
         .withColumn("parent_text", F.concat(prefix(F.col("title"), F.col("entity_title")), F.lit("\n"), F.col("body")))
         .withColumn("entity_title", entity)
     )
-    measures = lambda body: (count_tokens(body).alias("token_count"), F.length(body).alias("character_count"))
-    shared = ("doc_id", "semantic_group_id", "section_type", "section_path", "entity_title", F.col("priority").alias("retrieval_priority"))
-    parents = tree.select("parent_index", F.col("parent_chunk_id").alias("chunk_id"), *shared, F.col("body").alias("raw_body"), F.col("parent_text").alias("retrieval_text"), *measures(F.col("body")))
-    young = tree.select("*", F.posexplode("children").alias("child_index", "raw_body"))
-    general = F.col("profile.chunk_mode") == "general"
+    # each parent's own text stands before those of its children
+    rows = tree.select("*", F.posexplode(F.concat(F.array("body"), "children")).alias("at", "raw_body")).withColumn("child_index", F.when(F.col("at") > 0, F.col("at") - 1))
+    young, general = F.col("at") > 0, F.col("profile.chunk_mode") == "general"
     child = F.when(general, keys.digest("child_", 20, F.col("parent_chunk_id"), F.col("raw_body"))).otherwise(keys.child_id(F.col("parent_chunk_id"), F.col("child_index"), F.col("raw_body")))
-    text = F.when(general, F.col("parent_text")).otherwise(F.concat(prefix(F.col("entity_title"), F.col("entity_title")), F.lit("\n"), F.col("raw_body")))
-    children = young.select("parent_index", "child_index", child.alias("chunk_id"), "parent_chunk_id", *shared, "raw_body", F.col("body").alias("parent_body"), text.alias("retrieval_text"), *measures(F.col("raw_body")))
-    return parents, children
+    text = F.when(~young | general, F.col("parent_text")).otherwise(F.concat(prefix(F.col("entity_title"), F.col("entity_title")), F.lit("\n"), F.col("raw_body")))
+    return rows.select(
+        "doc_id", "parent_index", "child_index", F.when(young, child).otherwise(F.col("parent_chunk_id")).alias("chunk_id"), F.when(young, F.col("parent_chunk_id")).alias("parent_chunk_id"), "semantic_group_id",
+        "section_type", "section_path", "entity_title", F.col("priority").alias("retrieval_priority"), "raw_body", F.col("body").alias("parent_body"), text.alias("retrieval_text"),
+        count_tokens(F.col("raw_body")).alias("token_count"), F.length("raw_body").alias("character_count"),
+    )
 
 
 def hierarchy(df: DataFrame, profile: profiles.Profile = profiles.PARENT_CHILD) -> DataFrame:
     """Children under one profile, with content-addressed ids and their parents' bodies."""
-    return chunk_tree(df.select("doc_id", *(c for c in ("title", "body") if c in df.columns), *(() if "title" in df.columns else (F.lit("").alias("title"),))), profile.column())[1]
+    titled = df if "title" in df.columns else df.withColumn("title", F.lit(""))
+    return chunk_tree(titled.select("doc_id", "title", "body"), profile.column()).filter("child_index is not null")
 
 
 def resolved_profile() -> Column:
@@ -134,18 +137,17 @@ def chunk_records(documents: DataFrame, order: Column, profile: Column | None =
     firsts = rows.groupBy("content_hash").agg(F.min_by("doc_id", F.struct(order.alias("o"), F.col("doc_id").alias("i"))).alias("doc_id"))
     chosen = rows.join(firsts.select("doc_id"), "doc_id", "left_semi")
     source = F.coalesce(*(F.when(F.length(F.col(c)) > 0, F.col(c)) for c in ("file_name", "relative_path", "source_path")))
-    _, children = chunk_tree(chosen.select("doc_id", "title", "body", "project", source.alias("source"), F.col("modified_at").alias("updated"), "profile"), F.col("profile"))
+    tree = chunk_tree(chosen.select("doc_id", "title", "body", "project", source.alias("source"), F.col("modified_at").alias("updated"), "profile"), F.col("profile"))
     about = chosen.select("doc_id", "content_hash", "title", "space_id", F.coalesce("visibility", F.lit("private")).alias("visibility"), profiles.canonical_digest(F.col("profile")).alias("processing_profile_hash"))
-    return children.join(about, "doc_id").withColumn("chunk_unit", F.lit("tokens"))
+    return tree.filter("child_index is not null").join(about, "doc_id").withColumn("chunk_unit", F.lit("tokens"))
 
 
-def contract(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Parents and children of each document numbered as in a chunk contract: groups by first appearance, parents first."""
-    columns = ("doc_id", "parent_index", "raw_body", "section_type", "section_path", "entity_title", "token_count", "retrieval_priority", "semantic_group_id")
-    every = parents.select(*columns, F.lit(-1).alias("child_index")).unionByName(children.select(*columns, "child_index"))
-    first = every.groupBy("doc_id", "semantic_group_id").agg(F.min(F.struct((F.col("child_index") >= 0).alias("late"), "parent_index", "child_index")).alias("at"))
-    groups = first.select("doc_id", "semantic_group_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("at")) - 1).alias("semantic_group_index"))
-    return every.join(groups, ["doc_id", "semantic_group_id"]).drop("semantic_group_id")
+def contract(tree: DataFrame) -> DataFrame:
+    """Parents (child_index -1) and children of each document numbered as in a chunk contract: groups by first appearance, parents first."""
+    every = tree.withColumn("child_index", F.coalesce("child_index", F.lit(-1)))
+    order = F.struct((F.col("child_index") >= 0).alias("late"), "parent_index", "child_index")
+    first = F.min(order).over(W.partitionBy("doc_id", "semantic_group_id"))
+    return every.withColumn("__first", first).withColumn("semantic_group_index", F.dense_rank().over(W.partitionBy("doc_id").orderBy("__first")) - 1).drop("__first", "semantic_group_id")
 
 
 def resume_units(df: DataFrame, size: int = profiles.RESUME.max_tokens) -> DataFrame:

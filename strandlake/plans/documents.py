@@ -144,7 +144,7 @@ def chunk_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents and children of every catalog document under its recommended profile, numbered as in a contract."""
     rows = _catalog(spark, sf_dir)
     profile = profiles.recommended(F.col("file_type"), F.col("title"), F.col("body"), F.col("file_name"), F.col("source"))
-    made = chunking.contract(*chunking.chunk_tree(rows.select("doc_id", "title", "body", profile.alias("profile")), F.col("profile")))
+    made = chunking.contract(chunking.chunk_tree(rows.select("doc_id", "title", "body", profile.alias("profile")), F.col("profile")))
     return made.select("doc_id", "parent_index", "child_index", "section_type", "entity_title", "retrieval_priority", "semantic_group_index", "token_count", F.sha2("raw_body", 256).alias("body_hash"))
 
 

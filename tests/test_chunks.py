@@ -49,8 +49,8 @@ Git, reviews"""
 
 def tree(spark, body, profile, title="A guide"):
     df = spark.createDataFrame([("d", title, body), ("n", None, None), ("b", "", "  ")], "doc_id string, title string, body string")
-    parents, children = chunking.chunk_tree(df, profile.column())
-    return parents.orderBy("parent_index").collect(), children.orderBy("parent_index", "child_index").collect()
+    rows = chunking.chunk_tree(df, profile.column()).orderBy("parent_index", "child_index").collect()
+    return [r for r in rows if r.child_index is None], [r for r in rows if r.child_index is not None]
 
 
 def test_resume_contract(spark):
@@ -61,7 +61,7 @@ def test_resume_contract(spark):
     ]
     assert parents[1].section_path == "Education > Northfield University | Statistics | 2019 - 2021"
     assert len(children) == len(parents) and all(c.raw_body == c.parent_body for c in children)
-    made = {(r.parent_index, r.child_index): r.semantic_group_index for r in chunking.contract(*chunking.chunk_tree(spark.createDataFrame([("d", "T", RESUME)], "doc_id string, title string, body string"), profiles.RESUME.column())).collect()}
+    made = {(r.parent_index, r.child_index): r.semantic_group_index for r in chunking.contract(chunking.chunk_tree(spark.createDataFrame([("d", "T", RESUME)], "doc_id string, title string, body string"), profiles.RESUME.column())).collect()}
     assert [made[k, -1] for k in range(8)] == [0, 1, 2, 3, 4, 4, 5, 6] == [made[k, 0] for k in range(8)]  # both summaries are one group
     group = "group_" + hashlib.sha256("d\neducation\nnorthfielduniversity|statistics|2019-2021".encode()).hexdigest()[:20]
     assert parents[1].semantic_group_id == group
