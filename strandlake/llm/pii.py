@@ -1,10 +1,11 @@
 """Problem 2: personal information in free text, found by a character BiLSTM-CRF and replaced by typed placeholders.
 
-Every text is cut into windows of WINDOW characters that overlap by OVERLAP; the tagger decodes each window, and
-the windows of a text are reconciled: a mention that begins before the middle of an overlap is taken from the
-earlier window, one that begins after it from the later, and a mention that runs over a window's end takes its end
-from the next. Each mention of the tagger is then fitted to the characters (whole words for names, the whole
-address for mail, all digits of a number); what has not the makings of its kind is dropped.
+Every text is cut into windows of WINDOW characters that overlap by OVERLAP, and the tagger decodes each window. All
+mentions of all windows of a text then compete at once: those that a window's end cuts are joined with their rest in
+the next window, equal ones of two windows are one, every mention weighs its length times how well its window knows it
+(the further from the window's ends, the better, and two windows more than one), and the set of mentions without
+overlaps that weighs most over the whole text is kept. Each mention is then fitted to the characters (whole words for
+names, the whole address for mail, all digits of a number); what has not the makings of its kind is dropped.
 
 Defined results: null stays null, empty and blank texts have no mentions; repeated texts give repeated mentions;
 mentions never overlap; positions are code points of the stored text; other columns are left alone.
@@ -13,6 +14,7 @@ mentions never overlap; positions are code points of the stored text; other colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -45,40 +47,78 @@ def windows_of(length: int) -> list[tuple[int, int]]:
 
 
 def reconcile(found: list[tuple[int, int, list[tuple[int, int, str]]]]) -> list[tuple[int, int, str]]:
-    """Mentions of a text from (begin, end, mentions) of its windows in order."""
-    out: list[tuple[int, int, str]] = []
-    for k, (begin, end, mentions) in enumerate(found):
-        low = begin + OVERLAP // 2 if k else 0
-        high = found[k + 1][0] + OVERLAP // 2 if k + 1 < len(found) else end
+    """Mentions of a text from (begin, end, mentions) of its windows in order: the heaviest set without overlaps."""
+    weights: dict[tuple[int, int, str], float] = {}
+    open_: list[tuple[int, int, str, float]] = []  # mentions that the end of the last window cuts
+    last = found[-1][1] if found else 0
+    for begin, end, mentions in found:
+        cut, joined = [], set()
         for a, b, kind in mentions:
-            if out and a <= out[-1][1] and kind == out[-1][2] and b > out[-1][1] and a < low:
-                if out[-1][1] == found[k - 1][1]:  # it ran over the earlier window's end
-                    out[-1] = (out[-1][0], b, kind)
-            elif low <= a < high and (not out or a >= out[-1][1]):
-                out.append((a, b, kind))
-    return out
-
-
-def _overlapping(pattern: re.Pattern, text: str, begin: int, end: int) -> tuple[int, int] | None:
-    """The longest match near begin..end that shares characters with it."""
-    best = None
-    low = max(0, begin - 40)
-    for match in pattern.finditer(text, low, min(len(text), end + 60)):
-        if match.start() < end and match.end() > begin and (best is None or match.end() - match.start() > best[1] - best[0]):
-            best = match.span()
-    return best
-
-
-def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
+            near = min(a - begin if begin else OVERLAP, end - b if end < last else OVERLAP)
+            weight = (b - a) * (1 + min(near, OVERLAP) / OVERLAP)
+            for k, (a0, b0, kind0, weight0) in enumerate(open_):
+                if kind0 == kind and a <= b0 and a0 < b:  # its rest: the next window knows where it ends
+                    a, weight = min(a, a0), weight + weight0
+                    joined.add(k)
+            if b == end < last:
+                cut.append((a, b, kind, weight))
+            else:
+                weights[a, b, kind] = weights.get((a, b, kind), 0.0) + weight
+        for k, (a, b, kind, weight) in enumerate(open_):
+            if k not in joined:
+                weights[a, b, kind] = weights.get((a, b, kind), 0.0) + weight
+        open_ = cut
+    for a, b, kind, weight in open_:
+        weights[a, b, kind] = weights.get((a, b, kind), 0.0) + weight
+    spans = sorted(weights, key=lambda m: (m[1], m[0], m[2]))
+    ends = [m[1] for m in spans]
+    best: list[tuple[float, int]] = [(0.0, 0)]  # the weight of the first k mentions, and how many precede the last one taken
+    for k, span in enumerate(spans):
+        before = bisect_right(ends, span[0], hi=k)
+        taken = best[before][0] + weights[span]
+        best.append((taken, before) if taken > best[k][0] else (best[k][0], -1))
+    out, k = [], len(spans)
+    while k:
+        if best[k][1] >= 0:
+            out.append(spans[k - 1])
+            k = best[k][1]
+        else:
+            k -= 1
+    return out[::-1]
+
+
+class Matches:
+    """The matches of a pattern in a text, found once, whatever their length."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans: dict[re.Pattern, list[tuple[int, int]]] = {}
+
+    def longest(self, pattern: re.Pattern, begin: int, end: int) -> tuple[int, int] | None:
+        """The longest match that shares characters with begin..end."""
+        spans = self.spans.get(pattern)
+        if spans is None:
+            spans = self.spans[pattern] = [m.span() for m in pattern.finditer(self.text)]
+        at = bisect_right(spans, (begin, begin))
+        at -= at > 0 and spans[at - 1][1] > begin
+        near = []
+        while at < len(spans) and spans[at][0] < end:
+            near.append(spans[at])
+            at += 1
+        return max(near, key=lambda s: (s[1] - s[0], -s[0]), default=None)
+
+
+def fit(matches: Matches, begin: int, end: int, kind: str) -> tuple[int, int] | None:
     """A mention fitted to the characters around it; None if it can't be one of its kind."""
+    text = matches.text
     if kind == "email":
-        return _overlapping(_MAIL, text, begin, end)
+        return matches.longest(_MAIL, begin, end)
     if kind == "phone":
-        span = _overlapping(_NUMBER, text, begin, end)
+        span = matches.longest(_NUMBER, begin, end)
         digits = sum(c.isdigit() for c in text[span[0] : span[1]]) if span else 0
         return span if span and 7 <= digits <= 16 else None
     if kind == "id_number":
-        span = _overlapping(_ID, text, begin, end)
+        span = matches.longest(_ID, begin, end)
         if span and span[0] < begin and text[begin - 1].isspace() and not any(c.isdigit() for c in text[span[0] : begin]):
             span = (begin, span[1])  # a word before the number
         return span if span and sum(c.isdigit() for c in text[span[0] : span[1]]) >= 5 else None
@@ -88,12 +128,12 @@ def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
         end -= 1
     if begin >= end or not any(c.isalpha() for c in text[begin:end]):
         return None
-    latin = text[begin].isascii() or "À" <= text[begin] <= "ɏ"
+    han = all("㐀" <= c <= "鿿" for c in text[begin:end])
     if kind == "address":
         while begin and text[begin - 1].isalnum() and text[begin - 1] < "　" and text[begin] < "　":
             begin -= 1
         return (begin, end) if any(c.isdigit() for c in text[begin:end]) and not _DATE_ONLY.fullmatch(text[begin:end]) else None
-    if latin:
+    if not han:
         while begin and (_WORD.match(text[begin - 1]) or text[begin - 1] in "'’-" and begin > 1 and _WORD.match(text[begin - 2])) and text[begin - 1] < "　":
             begin -= 1
         while end < len(text) and (_WORD.match(text[end]) or text[end] in "'’-" and end + 1 < len(text) and _WORD.match(text[end + 1])) and text[end] < "　":
@@ -138,10 +178,11 @@ def find_mentions(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[in
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for k, found in raw.items():
         text, last = texts[k], 0
+        matches = Matches(text)
         for begin, end, kind in reconcile(sorted(found, key=lambda f: f[0])):
-            span = fit(text, begin, end, kind)
+            span = fit(matches, begin, end, kind)
             if kind == "id_number" and span and _DIALLED.match(text[span[0] : span[1]]):
-                kind, span = "phone", fit(text, *span, "phone")  # no identity number is written so
+                kind, span = "phone", fit(matches, *span, "phone")  # no identity number is written so
             if not span or span[0] < last:
                 continue
             if kind == "address" and out[k] and out[k][-1][2] == kind and span[0] - last <= 3 and not any(c.isalnum() for c in text[last : span[0]]):

@@ -102,9 +102,24 @@ def test_windows_cover_and_overlap():
         assert all(b[0] == a[1] - pii.OVERLAP for a, b in zip(spans, spans[1:], strict=False) if b[1] != length or a[1] < length)
 
 
-def test_reconcile_joins_a_mention_over_an_end():
+def test_mentions_of_all_windows_compete():
     first, second = (0, 640, [(600, 640, "address")]), (576, 1216, [(600, 660, "address"), (700, 710, "name")])
     assert pii.reconcile([first, second]) == [(600, 660, "address"), (700, 710, "name")]
+    # a mention that both windows know is one; where they differ, the window that sees more of its surroundings wins
+    first, second = (0, 640, [(100, 110, "name"), (590, 600, "name"), (620, 632, "phone")]), (576, 1216, [(590, 600, "name"), (618, 632, "id_number")])
+    assert pii.reconcile([first, second]) == [(100, 110, "name"), (590, 600, "name"), (618, 632, "id_number")]
+    # a mention that runs over several windows, one whose rest is missing, and none
+    parts = [(0, 640, [(600, 640, "address")]), (576, 1216, [(590, 1216, "address")]), (1152, 1300, [(1152, 1200, "address"), (1250, 1260, "name")])]
+    assert pii.reconcile(parts) == [(590, 1200, "address"), (1250, 1260, "name")]
+    assert pii.reconcile([(0, 640, [(630, 640, "name")]), (576, 900, [])]) == [(630, 640, "name")] and pii.reconcile([]) == []
+
+
+def test_long_mentions_stay_whole():
+    mail = "a" * 300 + "." + "b" * 300 + "@" + "c" * 90 + ".example.org"
+    text = f"Write to {mail} now."
+    assert pii.fit(pii.Matches(text), 320, 330, "email") == (9, 9 + len(mail))
+    names = "Иван Петров пишет. Mary Poe-Lane too."
+    assert pii.fit(pii.Matches(names), 0, 11, "name") == (0, 11) and pii.fit(pii.Matches(names), 19, 24, "name") is None
 
 
 @pytest.fixture(scope="module")
