@@ -17,7 +17,7 @@ best-fit, largest size first.
 A text longer than the capacity is cut into full pieces, each a container of its own, and a rest that is packed
 like a text; shorter texts are never cut.
 
-Defined results: null and empty texts have no tokens and take no room; they get container 0. Repeated rows are
+Defined results: null and empty texts have no tokens and take no room; their container is null. Repeated rows are
 packed as often as they occur; a null doc_id is packed like any other. An empty table gives no rows. A budget
 whose tokenizer is null or whose capacity isn't positive gives no rows.
 """
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from strandlake.common import materialize, read_table, salt
 from strandlake.llm.encode import encoder_udf
 
-#: Parts into which the rows of one size are spread while they are numbered.
-SALTS = 32
+#: Parts, at least, into which the rows of one size are spread while they are numbered, and rows that a part may have.
+LEAST_PARTS, ROWS_PER_PART = 32, 100_000
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -194,7 +194,9 @@ def pack(measured: DataFrame, budgets: DataFrame) -> DataFrame:
     pieces = sized.select("budget_id", "capacity_tokens", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece_no"))
     start = F.col("piece_no") * F.col("capacity_tokens")
     pieces = pieces.select("budget_id", "capacity_tokens", "doc_id", "piece_no", start.alias("start_token"), F.least("capacity_tokens", F.col("n") - start).alias("n_tokens"))
-    pieces = materialize(pieces.withColumn("part", salt("doc_id", "piece_no", salts=SALTS)))
+    pieces = materialize(pieces)
+    parts = max(LEAST_PARTS, -(-pieces.count() // ROWS_PER_PART))  # were all pieces of one size
+    pieces = pieces.withColumn("part", salt("doc_id", "piece_no", salts=parts))
 
     counted = pieces.filter("n_tokens > 0").groupBy("budget_id", "capacity_tokens", "n_tokens", "part").agg(F.count(F.lit(1)).alias("items"))
     counted = materialize(counted)
@@ -206,12 +208,14 @@ def pack(measured: DataFrame, budgets: DataFrame) -> DataFrame:
     # numbering restarts in each part of a size, so that the rows of a common size don't meet in one task
     number = F.row_number().over(W.partitionBy("budget_id", "n_tokens", "part").orderBy("doc_id", "piece_no")) - 1
     numbered = pieces.filter("n_tokens > 0").withColumn("number", number.cast("bigint"))
-    places = before.select("budget_id", "n_tokens", "part", "before").join(slots, ["budget_id", "n_tokens"])
+    # each part looks its items up in the slots that its own range of items meets
+    meets = lambda s: (s["begin"] < F.col("before") + F.col("items")) & (F.col("before") < s["end"])
+    places = before.select("budget_id", "n_tokens", "part", "before", "items").join(slots, ["budget_id", "n_tokens"]).withColumn("slots", F.filter("slots", meets)).drop("items")
     placed = numbered.join(places, ["budget_id", "n_tokens", "part"]).withColumn("item", F.col("number") + F.col("before"))
     slot = F.element_at(F.filter("slots", lambda s: (s["begin"] <= F.col("item")) & (F.col("item") < s["end"])), 1)
     placed = placed.withColumn("slot", slot).withColumn("container_id", F.expr("slot.base + (item - slot.begin) div slot.each"))
     columns = ("budget_id", "container_id", "doc_id", "piece_no", "start_token", "n_tokens")
-    return placed.select(*columns).unionByName(pieces.filter("n_tokens <= 0").withColumn("container_id", F.lit(0).cast("bigint")).select(*columns))
+    return placed.select(*columns).unionByName(pieces.filter("n_tokens <= 0").withColumn("container_id", F.lit(None).cast("bigint")).select(*columns))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +226,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of each budget are."""
-    containers = p7_containers(spark, sf_dir).groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("used"))
+    containers = p7_containers(spark, sf_dir).filter("container_id is not null").groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("used"))
     total = containers.groupBy("budget_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
     budgets = read_table(spark, sf_dir, "prompt_budgets").select("budget_id", "capacity_tokens")
     return total.join(budgets, "budget_id").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
