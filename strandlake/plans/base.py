@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.common import read_table
-from strandlake.operators import catalog
+from strandlake.operators import catalog, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,16 @@ ask as (select message_id as query_id, min(content) as question, min(space_id) a
 def any_marker(column: str, markers: tuple[str, ...]) -> str:
     """SQL for whether any marker occurs in a column, case ignored."""
     return "(" + " or ".join(f"contains(lower({column}), '{m}')" for m in markers) + ")"
+
+
+def _sections(question: str) -> dict[str, str]:
+    tests = {section: any_marker(question, markers) for section, markers in retrieval.SECTIONS.items()}
+    tests["project"] = f"({tests['project']} or (contains({question}, '项目') and {any_marker(question, ('哪些', '哪个', '项目经验', '体现'))}))"
+    return tests
+
+
+def section_value(section: str, question: str) -> str:
+    """SQL for what a section adds to a score, given the question."""
+    tests = _sections(question)
+    named = "(" + " or ".join(tests.values()) + ")"
+    return f"(case coalesce({section}, 'document') " + " ".join(f"when '{s}' then (case when {test} then 0.12 else 0.0 end)" for s, test in tests.items()) + f" when 'profile' then (case when {named} then -0.03 else 0.0 end) when 'summary' then (case when {named} then -0.03 else 0.0 end) else 0.0 end)"

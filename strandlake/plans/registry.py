@@ -17,7 +17,7 @@ from strandlake.operators import catalog, chunking, evaluate, retrieval, version
 from strandlake.plans import prompt
 from strandlake.streaming import rate
 
-from strandlake.plans.base import _BUDGET, _SEARCH, _SPACES, _TOKENS, QUERIES, SQL, Query, _documents, _questions, register
+from strandlake.plans.base import _BUDGET, _SEARCH, _SPACES, _TOKENS, QUERIES, SQL, Query, _documents, _questions, any_marker, chunk_rows, register
 
 # --- texts -------------------------------------------------------------------------------------------------------
 
@@ -282,9 +282,8 @@ def section_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     Messages of one space and content are searched once.
     """
     asked = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null and space_id is not null")
-    asked = asked.select("message_id", F.col("content").alias("question"), "space_id").dropDuplicates(["message_id"])
-    chunks = read_table(spark, sf_dir, "chunks").filter("chunk_id is not null").dropDuplicates(["chunk_id"])
-    boosted = _boosted_chunks(asked.groupBy("space_id", "question").agg(F.min("message_id").alias("query_id")), chunks)
+    asked = asked.groupBy("message_id").agg(F.min("content").alias("question"), F.min("space_id").alias("space_id"))
+    boosted = _boosted_chunks(asked.groupBy("space_id", "question").agg(F.min("message_id").alias("query_id")), chunk_rows(spark, sf_dir))
     rows = asked.join(boosted.drop("query_id"), ["space_id", "question"]).withColumnRenamed("message_id", "query_id")
     return rows.select("query_id", "chunk_id", "section_type", "matched_section_intent", "intent_score", "freshness_score")
 
@@ -297,14 +296,26 @@ def _boosted_chunks(asked: DataFrame, chunks: DataFrame, k: int = 25) -> DataFra
     return retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
 
 
-@register()
+_PIECES = r"list_filter(list_transform(regexp_split_to_array(q, '(?i)\b(?:and|versus|vs\.?|compared with)\b|[、，和与]'), lambda p: regexp_replace(p, '^[ ,，。?？]+|[ ,，。?？]+$', '', 'g')), lambda p: length(p) >= 4)"
+
+
+@register(f"""with m as (select message_id, trim(min(content)) as q from chat_history where msg_role = 'user' and content is not null group by 1),
+p as (select *, {any_marker('q', retrieval.COMPLEX)} as complex, list_concat([q], {_PIECES}) as parts from m)
+select message_id as query_id, {any_marker('q', retrieval.SENSITIVE)} as refused, {any_marker('q', retrieval.FRESH)} as fresh, complex, array_to_string(case when complex then list_filter(parts, lambda x, i: list_position(parts, x) = i)[1:3] else [q] end, ' || ') as subqueries from p""")
 def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null").select(F.col("message_id").alias("query_id"), F.col("content").alias("question")).dropDuplicates(["query_id"])
+    rows = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null")
+    asked = rows.groupBy(F.col("message_id").alias("query_id")).agg(F.min("content").alias("question"))
     made = retrieval.plan_questions(asked)
     return made.select("query_id", "refused", "fresh", "complex", F.array_join("subqueries", " || ").alias("subqueries"))
 
 
-@register()
+_PARTS = _BM25.replace("""asked as (select query_id, term, count(*) as times from (select doc_id as query_id, unnest(""", """words as (select doc_id as query_id, title, regexp_split_to_array(title, '\\s+') as w from documents where doc_id % 50 = 0 and length(title) > 0),
+halves as (select query_id, unnest([title, array_to_string(w[1:greatest(1, len(w) // 2)], ' '), array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ')]) as q, unnest([0, 1, 2]) as part from words),
+asked as (select query_id, term, count(*) as times from (select query_id * 3 + part as query_id, unnest(""").replace(_SEARCH.replace("{x}", "title") + ") as term from documents where doc_id % 50 = 0 and length(title) > 0)", _SEARCH.replace("{x}", "q") + ") as term from halves)")
+
+
+@register(f"""with {_PARTS}, merged as (select query_id // 3 as query_id, doc_id, count(*) as hits, max(bm25_score) as bm25_score from ranked where bm25_rank <= 10 group by all)
+select query_id, doc_id, hits, bm25_score from (select *, row_number() over (partition by query_id order by hits desc, bm25_score desc, doc_id) as place from merged) where place <= 5""")
 def subquery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question and the two halves of its words as subqueries, their results merged by hits and best score."""
     asked = _questions(spark, sf_dir).withColumn("words", F.split("question", r"\s+"))
@@ -317,14 +328,18 @@ def subquery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merge_subqueries(back, "bm25_score").filter("place <= 5").select("query_id", "doc_id", "hits", "bm25_score")
 
 
-@register()
+_SHARE = f"round(len(list_intersect(list_distinct({_SEARCH.replace('{x}', 'q.title')}), list_distinct({_SEARCH.replace('{x}', 'd.text')}))) / greatest(len(list_distinct({_SEARCH.replace('{x}', 'q.title')})), 1)::double, 6)"
+
+
+@register(f"""with {_BM25}, pool as (select r.query_id, r.doc_id, {_SHARE} as reranker_score from ranked r join documents q on q.doc_id = r.query_id join documents d on d.doc_id = r.doc_id where bm25_rank <= 20)
+select query_id, doc_id, reranker_score from (select *, row_number() over (partition by query_id order by reranker_score desc, doc_id) as n from pool) where n <= 5""")
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 20)
     rows = hits.join(_documents(spark, sf_dir).select("doc_id", F.col("text").alias("searchable")), "doc_id").join(_questions(spark, sf_dir), "query_id")
     return retrieval.rerank(rows, 5).select("query_id", "doc_id", "reranker_score")
 
 
-@register()
+@register(f"""with {_BM25} select query_id, string_agg('[Source ' || bm25_rank || ': ' || coalesce(d.title, '') || ']' || chr(10) || coalesce(d.text, ''), chr(10) || chr(10) order by bm25_rank) as context, count(*) as sources from ranked r join documents d using (doc_id) where bm25_rank <= 3 group by 1""")
 def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir), 3).withColumnRenamed("bm25_rank", "place")
     return prompt.contexts(hits.join(_documents(spark, sf_dir).select("doc_id", "title", F.col("text").alias("body")), "doc_id"))
@@ -414,7 +429,13 @@ def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.profile_states(read_table(spark, sf_dir, "catalog_documents"))
 
 
-@register()
+_WORDS = "unnest(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+')))"
+
+
+@register(f"""with {_BM25}, tw as (select doc_id, {_WORDS} as w from documents), qw as (select doc_id as query_id, {_WORDS} as w from documents where doc_id % 50 = 0 and length(title) > 0),
+shared as (select query_id, doc_id, count(*) as n from qw join tw using (w) group by all),
+titled as (select *, row_number() over (partition by query_id order by n desc, doc_id) as r from shared)
+select query_id, channel, count(*) as results from (select query_id, 'vector' as channel from titled where r <= 5 union all select query_id, 'bm25' from ranked where bm25_rank <= 10) group by all""")
 def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results of a hybrid ranking each channel brought, both channels ranking all documents by themselves."""
     documents, asked = _documents(spark, sf_dir), _questions(spark, sf_dir)
@@ -461,7 +482,9 @@ def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.select(*columns, F.lit(True).alias("accepted")).unionByName(rejected.select(*columns, F.lit(False).alias("accepted")))
 
 
-@register()
+@register("""with p as (select doc_id, body, 0 as source_order from portfolio_docs union all
+ select d.doc_id, case when summary <> '' then summary else body end, 1 from catalog_documents d join knowledge_spaces s using (space_id) where d.status = 'active' and s.status = 'active')
+select doc_id, source_order from (select *, row_number() over (partition by sha256(body) order by source_order, doc_id) as n from p where length(body) > 0) where n = 1""")
 def knowledge_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public and active private documents, equal bodies once, public ones first."""
     public = read_table(spark, sf_dir, "portfolio_docs").select("doc_id", "title", "body")

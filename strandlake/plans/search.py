@@ -9,7 +9,7 @@ from strandlake.common import read_table
 from strandlake.functions import text as T
 from strandlake.operators import evaluate, retrieval
 from strandlake.plans import prompt
-from strandlake.plans.base import _SEARCH, CHUNK_SQL, any_marker, chunk_rows, messages, register
+from strandlake.plans.base import _SEARCH, CHUNK_SQL, any_marker, chunk_rows, messages, register, section_value
 
 #: SQL of the hashing embedder for lists of terms {t}, and of cosines of lists, 0 for zero vectors.
 _EMBED = "list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(list_transform({t}, lambda t: ('0x' || substr(md5(t), 1, 8))::bigint), lambda n: (n // 2) % 64 = d), lambda n: 1.0 - 2 * (n % 2))), 0.0)::double)"
@@ -35,10 +35,7 @@ sparse as (select *, row_number() over (partition by query_id order by bm25_scor
 
 _KEYWORDS = f"least(0.18, 0.06 * len(list_filter(list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9.+#-]{{1,}}'), lambda t: lower(t))), lambda t: contains(lower(txt), t) and t not in {_STOP})))"
 _BOOSTED = f"select *, round(score + {_KEYWORDS}, 6) as rank_score from near where vector_rank <= {{pool}}"
-_ASKS = {s: any_marker("question", m) for s, m in retrieval.SECTIONS.items()}
-_ASKS["project"] = f"({_ASKS['project']} or (contains(question, '项目') and {any_marker('question', ('哪些', '哪个', '项目经验', '体现'))}))"
-_ANY_SECTION = "(" + " or ".join(_ASKS.values()) + ")"
-_SECTION = "(case coalesce(section_type, 'document') " + " ".join(f"when '{s}' then (case when {test} then 0.12 else 0.0 end)" for s, test in _ASKS.items()) + f" when 'profile' then (case when {_ANY_SECTION} then -0.03 else 0.0 end) when 'summary' then (case when {_ANY_SECTION} then -0.03 else 0.0 end) else 0.0 end)"
+_SECTION = section_value("section_type", "question")
 _FRESH = f"""select *, round(intent_score + case when {any_marker('question', retrieval.FRESH)} then coalesce((dated - min(dated) over w) / greatest(max(dated) over w - min(dated) over w, 1.0), 0.0) * 0.08 else 0.0 end, 6) as freshness_score
  from (select *, case when strftime(updated_at, '%Y') like '20%' then strftime(updated_at, '%Y%m%d')::double end as dated from {{rows}}) window w as (partition by query_id)"""
 
