@@ -87,38 +87,37 @@ def reconcile(found: list[tuple[int, int, list[tuple[int, int, str]]]]) -> list[
     return out[::-1]
 
 
-class Matches:
-    """The matches of a pattern in a text, found once, whatever their length."""
-
-    def __init__(self, text: str) -> None:
-        self.text = text
-        self.spans: dict[re.Pattern, list[tuple[int, int]]] = {}
-
-    def longest(self, pattern: re.Pattern, begin: int, end: int) -> tuple[int, int] | None:
-        """The longest match that shares characters with begin..end."""
-        spans = self.spans.get(pattern)
-        if spans is None:
-            spans = self.spans[pattern] = [m.span() for m in pattern.finditer(self.text)]
-        at = bisect_right(spans, (begin, begin))
-        at -= at > 0 and spans[at - 1][1] > begin
-        near = []
-        while at < len(spans) and spans[at][0] < end:
-            near.append(spans[at])
-            at += 1
-        return max(near, key=lambda s: (s[1] - s[0], -s[0]), default=None)
-
-
-def fit(matches: Matches, begin: int, end: int, kind: str) -> tuple[int, int] | None:
+def longest_match(pattern: re.Pattern, text: str, begin: int, end: int) -> tuple[int, int] | None:
+    """The longest match that shares characters with begin..end, however long it is.
+
+    The search starts around the mention, from white space to white space, and widens while a match reaches its bounds.
+    """
+    reach = 48
+    while True:
+        low, high = max(0, begin - reach), min(len(text), end + reach)
+        while low and not text[low - 1].isspace():
+            low -= 1
+        while high < len(text) and not text[high].isspace():
+            high += 1
+        best = None
+        for match in pattern.finditer(text, low, high):
+            if match.start() < end and match.end() > begin and (best is None or match.end() - match.start() > best[1] - best[0]):
+                best = match.span()
+        if not best or (best[0] > low or not low) and (best[1] < high or high == len(text)):
+            return best
+        reach *= 4
+
+
+def fit(text: str, begin: int, end: int, kind: str) -> tuple[int, int] | None:
     """A mention fitted to the characters around it; None if it can't be one of its kind."""
-    text = matches.text
     if kind == "email":
-        return matches.longest(_MAIL, begin, end)
+        return longest_match(_MAIL, text, begin, end)
     if kind == "phone":
-        span = matches.longest(_NUMBER, begin, end)
+        span = longest_match(_NUMBER, text, begin, end)
         digits = sum(c.isdigit() for c in text[span[0] : span[1]]) if span else 0
         return span if span and 7 <= digits <= 16 else None
     if kind == "id_number":
-        span = matches.longest(_ID, begin, end)
+        span = longest_match(_ID, text, begin, end)
         if span and span[0] < begin and text[begin - 1].isspace() and not any(c.isdigit() for c in text[span[0] : begin]):
             span = (begin, span[1])  # a word before the number
         return span if span and sum(c.isdigit() for c in text[span[0] : span[1]]) >= 5 else None
@@ -178,11 +177,10 @@ def find_mentions(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[in
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for k, found in raw.items():
         text, last = texts[k], 0
-        matches = Matches(text)
         for begin, end, kind in reconcile(sorted(found, key=lambda f: f[0])):
-            span = fit(matches, begin, end, kind)
+            span = fit(text, begin, end, kind)
             if kind == "id_number" and span and _DIALLED.match(text[span[0] : span[1]]):
-                kind, span = "phone", fit(matches, *span, "phone")  # no identity number is written so
+                kind, span = "phone", fit(text, *span, "phone")  # no identity number is written so
             if not span or span[0] < last:
                 continue
             if kind == "address" and out[k] and out[k][-1][2] == kind and span[0] - last <= 3 and not any(c.isalnum() for c in text[last : span[0]]):
