@@ -48,9 +48,11 @@ def windows_of(length: int) -> list[tuple[int, int]]:
 
 def reconcile(found: list[tuple[int, int, list[tuple[int, int, str]]]]) -> list[tuple[int, int, str]]:
     """Mentions of a text from (begin, end, mentions) of its windows in order: the heaviest set without overlaps."""
+    if len(found) < 2:
+        return found[0][2] if found else []
     weights: dict[tuple[int, int, str], float] = {}
     open_: list[tuple[int, int, str, float]] = []  # mentions that the end of the last window cuts
-    last = found[-1][1] if found else 0
+    last = found[-1][1]
     for begin, end, mentions in found:
         cut, joined = [], set()
         for a, b, kind in mentions:
@@ -87,17 +89,21 @@ def reconcile(found: list[tuple[int, int, list[tuple[int, int, str]]]]) -> list[
     return out[::-1]
 
 
+def _ends_word(letter: str) -> bool:
+    return letter.isspace() or "\u3000" <= letter < "\uff00"
+
+
 def longest_match(pattern: re.Pattern, text: str, begin: int, end: int) -> tuple[int, int] | None:
     """The longest match that shares characters with begin..end, however long it is.
 
-    The search starts around the mention, from white space to white space, and widens while a match reaches its bounds.
+    The search starts around the mention, from white space or a Chinese character to another, and widens while a match reaches its bounds.
     """
     reach = 48
     while True:
         low, high = max(0, begin - reach), min(len(text), end + reach)
-        while low and not text[low - 1].isspace():
+        while low and not _ends_word(text[low - 1]):
             low -= 1
-        while high < len(text) and not text[high].isspace():
+        while high < len(text) and not _ends_word(text[high]):
             high += 1
         best = None
         for match in pattern.finditer(text, low, high):
