@@ -243,19 +243,42 @@ def public_pii_kinds(text: Column) -> Column:
     return F.array_intersect(F.array(*map(F.lit, PUBLIC_PII)), kinds)
 
 
-#: Elements that end a line of text, and named entities come out by ``unescape_entities``.
-BLOCKS = "p|div|section|article|header|footer|ul|ol|table|blockquote|pre|h[1-6]|li|tr"
-
-
-def html_to_text(markup: Column) -> Column:
-    """Structured text of a page: headings as #, list items as -, table cells joined by |, one line for each block."""
-    text = F.regexp_replace(markup, r"(?is)<(script|style|head|nav)\b.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | ")
-    for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)<li\b[^>]*>", "\n- "), r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    return normalize_whitespace(unescape_entities(F.regexp_replace(text, r"<[^>]+>", "")))
+#: Elements that begin a line of text, and the named entities that are decoded (others stay).
+BLOCKS = "article|div|ol|p|section|table|tbody|thead|ul"
+ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}
+_UNREAD = re.compile(r"<(script|style|head|nav)\b.*?</\1\s*>", re.I | re.S)
+_ROW, _CELL = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S), re.compile(r"<(?:td|th)\b[^>]*>(.*?)</(?:td|th)>", re.I | re.S)
+_HEADING, _ITEM = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1>", re.I | re.S), re.compile(r"<li\b[^>]*>(.*?)</li>", re.I | re.S)
+_BREAK, _TAG = re.compile(rf"<br\s*/?>|</?(?:{BLOCKS})\b[^>]*>", re.I), re.compile(r"<[^>]+>")
+_ENTITY = re.compile(r"&(?:#x([0-9a-f]{1,6})|#(\d{1,7})|([a-z]+));", re.I)
+
+
+def _decoded(text: str) -> str:
+    def of(match: re.Match) -> str:
+        code = int(match[1], 16) if match[1] else int(match[2]) if match[2] else None
+        if code is None:
+            return ENTITIES.get(match[3].lower(), match[0])
+        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else match[0]
+
+    return _ENTITY.sub(of, text)
+
+
+def structured_text(markup: str) -> str:
+    """The text of one page: headings as #, list items as -, cells of a row joined by |, blocks on lines of their own."""
+    inner = lambda part: " ".join(_decoded(_TAG.sub("", part)).split())
+    text = _UNREAD.sub(" ", markup) if "<" in markup else markup
+    if "<" in text:
+        text = _ROW.sub(lambda m: "\n" + " | ".join(filter(None, map(inner, _CELL.findall(m[1])))) + "\n", text)
+        text = _HEADING.sub(lambda m: f"\n{'#' * int(m[1])} {inner(m[2])}\n", text)
+        text = _TAG.sub("", _BREAK.sub("\n", _ITEM.sub(lambda m: f"\n- {inner(m[1])}\n", text)))
+    text = re.sub(r"\n[ \t]+", "\n", re.sub(r"[ \t]+\n", "\n", _decoded(text)))
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+@F.pandas_udf(StringType())
+def html_to_text(markup: pd.Series) -> pd.Series:
+    """Structured text of pages, see ``structured_text``; scripts, styles and navigation are left out. Null stays null."""
+    return markup.map(structured_text, na_action="ignore")
 
 
 #: Tokens of the size estimate, and scripts without blanks, of which two characters count as one.

@@ -69,6 +69,8 @@ def test_pattern_separator_cuts_before_last_letter():
 
 def test_html_and_sizes(spark):
     page = "<html><head><title>x</title></head><body><h2>Head</h2><p>a &amp; b<br>c</p><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>2</td></tr></table><script>z</script></body></html>"
+    assert T.structured_text("<table><tr><th> A  b</th><td></td><td>c&#33;</td></tr></table>x&nbsp;y&copy;&#x41;&amp;lt; &#99999999; a < b") == "A b | c!\n\nx y&copy;A&lt; &#99999999; a < b"
+    assert T.structured_text("<H2>a <b>b</b>\n c</H2>one<br/>two") == "## a b c\none\ntwo"
     assert value(spark, T.html_to_text, page, None, "plain") == ["## Head\n\na & b\nc\n\n- one\n\n- two\n\n1 | 2", None, "plain"]
     # a Han character after letters belongs to their word; signs count, underscores don't
     assert value(spark, T.estimated_tokens, "two words 数据 カタカナ", None, "abc数据", "数据abc", "a_b, c!", "한국어") == [6, 0, 1, 3, 5, 2]
