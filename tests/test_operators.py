@@ -421,3 +421,28 @@ def test_recent_turns(spark):
     history = spark.sql("select id as message_id, 's' as session_id, 'user' as msg_role, concat('m', id) as content, timestamp_seconds(id * 60) as sent_at from range(20) union all select 3, 's', 'user', 'm3', timestamp_seconds(180) union all select 100, 'other', 'user', 'x', timestamp_seconds(0)")
     turns = prompt.recent_turns(spark.createDataFrame([(15, "q", "s"), (0, "q", "s")], "query_id bigint, question string, space_id string"), history, 12)
     assert sorted((r.query_id, r.from_end, r.content) for r in turns.collect()) == [(15, k, f"m{15 - k}") for k in range(1, 13)]
+
+
+def test_best_rows_wait_in_bounded_numbers(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "MOST_WAITING", 20)
+    values = np.round(np.random.default_rng(3).integers(0, 9, (400, 3)) / 4, 6)
+    best, most = retrieval.Best(4, 3, 0.0), 0
+    for low in range(0, 400, 7):
+        best.offer(values[low : low + 7], np.arange(low, min(low + 7, 400)))
+        most = max(most, best.count)
+    assert most <= 20 + 12 + 7 * 3  # not every pair of a document and a question
+    got = sorted(zip(*(c.tolist() for c in best.settle()), strict=True))
+    expected = [(q, v, d) for q in range(3) for v, d in sorted(((values[d, q], d) for d in range(400)), key=lambda x: (-x[0], x[1]))[:4]]
+    assert got == sorted(expected)
+
+
+def test_equal_questions_are_searched_once_and_all_answered(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red"), (3, "blue"), (5, "red red")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(7, "red"), (8, "Red zebra"), (9, "red red"), (10, "blue")], "query_id bigint, question string")
+    got = {}
+    for r in retrieval.bm25(docs, asked, 2).collect():
+        got.setdefault(r.query_id, {})[r.bm25_rank] = (r.doc_id, r.bm25_score)
+    assert got[7] == got[8] and got[7][1][0] == 2 and got[7][2][0] == 5
+    assert got[9][1][1] > got[7][1][1] and got[10][1][0] == 3 and sorted(got) == [7, 8, 9, 10]
