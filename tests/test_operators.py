@@ -446,3 +446,34 @@ def test_equal_questions_are_searched_once_and_all_answered(spark):
         got.setdefault(r.query_id, {})[r.bm25_rank] = (r.doc_id, r.bm25_score)
     assert got[7] == got[8] and got[7][1][0] == 2 and got[7][2][0] == 5
     assert got[9][1][1] > got[7][1][1] and got[10][1][0] == 3 and sorted(got) == [7, 8, 9, 10]
+
+
+def test_searches_within_documents_never_collect_questions(spark, monkeypatch):
+    chunks = spark.createDataFrame([("a1", "a", "red fox"), ("a2", "a", "blue"), ("b1", "b", "red"), ("c1", None, "red")], "chunk_id string, space_id string, raw_body string").withColumn("title", F.lit(None).cast("string"))
+    asked = spark.createDataFrame([("a", "red fox", "a"), ("b", "Red", "b"), ("d", "red", "d")], "query_id string, question string, space_id string")
+    plain = [sets(retrieval.vector_pool(chunks, asked, 3, retrieval.HashingEmbedder())), sets(retrieval.sparse_pool(chunks, asked, 3).select("query_id", "chunk_id", "bm25_score", "bm25_rank"))]
+    monkeypatch.setattr(retrieval, "_asked_block", None)  # both would take questions to the driver
+    monkeypatch.setattr(retrieval, "_cosine_scorer", None)
+    joined = [sets(retrieval.vector_pool(chunks, asked, 3, retrieval.HashingEmbedder(), joined=True).select("query_id", "space_id", "chunk_id", "score", "vector_rank")), sets(retrieval.sparse_pool(chunks, asked, 3, joined=True).select("query_id", "chunk_id", "bm25_score", "bm25_rank"))]
+    assert joined == plain and len(plain[0]) == 3 and len(plain[1]) == 2
+
+
+def test_vectors_are_made_once_a_chunk(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        dimensions = 2
+
+        def column(self, text, kind="document"):
+            @F.udf("array<double>")
+            def one(value):
+                if kind == "document":
+                    made.add(1)
+                return [1.0, float(len(value))]
+
+            return one(text)
+
+    chunks = spark.createDataFrame([(f"c{n}", "s", "t", "x" * n) for n in range(6)], "chunk_id string, space_id string, title string, raw_body string")
+    asked = spark.createDataFrame([(1, "xx", "s")], "query_id int, question string, space_id string")
+    assert retrieval.vector_pool(chunks, asked, 2, Counting()).count() == 2
+    assert made.value == 6
