@@ -292,7 +292,7 @@ def _boosted_chunks(asked: DataFrame, chunks: DataFrame, k: int = 25) -> DataFra
     """The best ``k`` chunks of each question (query_id, question, space_id) in its space, with their own sections and dates."""
     hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body"), asked, k, "raw_body", "space_id").withColumnRenamed("doc_id", "chunk_id").drop("space_id")
     own = chunks.select("chunk_id", "section_type", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")).alias("updated_number"))
-    rows = retrieval.normalize_by_max(hits, "bm25_score", "base").join(own, "chunk_id").join(asked, "query_id")
+    rows = retrieval.normalize_by_max(hits, "bm25_score", "base").join(own, "chunk_id").join(retrieval.prepared(asked), "query_id")
     return retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
 
 

@@ -477,3 +477,13 @@ def test_vectors_are_made_once_a_chunk(spark):
     asked = spark.createDataFrame([(1, "xx", "s")], "query_id int, question string, space_id string")
     assert retrieval.vector_pool(chunks, asked, 2, Counting()).count() == 2
     assert made.value == 6
+
+
+def test_equal_vectors_are_searched_once_and_all_answered(spark, monkeypatch):
+    seen, scorer = [], retrieval._cosine_scorer
+    monkeypatch.setattr(retrieval, "_cosine_scorer", lambda shared, *rest: (seen.append(sum(len(m) for _, m in shared.value.values())), scorer(shared, *rest))[1])
+    vectors = spark.createDataFrame([(1, "s", [1.0, 0.0]), (2, "s", [0.6, 0.8]), (3, "t", [0.0, 1.0])], "vec_id int, space_id string, embedding array<double>")
+    asked = spark.createDataFrame([(7, "s", [1.0, 0.0]), (8, "s", [1.0, 0.0]), (9, "t", [1.0, 0.0])], "query_id int, space_id string, embedding array<double>")
+    got = sets(retrieval.vector_top_k(vectors, asked, 2, within="space_id").select("query_id", "space_id", "vec_id", "score", "vector_rank"))
+    assert got == [(7, "s", 1, 1.0, 1), (7, "s", 2, 0.6, 2), (8, "s", 1, 1.0, 1), (8, "s", 2, 0.6, 2), (9, "t", 3, 0.0, 1)]
+    assert seen == [2]
