@@ -487,3 +487,19 @@ def test_equal_vectors_are_searched_once_and_all_answered(spark, monkeypatch):
     got = sets(retrieval.vector_top_k(vectors, asked, 2, within="space_id").select("query_id", "space_id", "vec_id", "score", "vector_rank"))
     assert got == [(7, "s", 1, 1.0, 1), (7, "s", 2, 0.6, 2), (8, "s", 1, 1.0, 1), (8, "s", 2, 0.6, 2), (9, "t", 3, 0.0, 1)]
     assert seen == [2]
+
+
+def _notes(spark):
+    chunks = spark.createDataFrame(
+        [(f"c{k:02d}", f"d{k}", "s", "document", "primary", "public", f"{word} notes number {k}", f"{word} page", 20240101.0 + k) for k, word in enumerate(("kafka", "spark", "flink") * 10)],
+        "chunk_id string, doc_id string, space_id string, section_type string, retrieval_priority string, visibility string, raw_body string, title string, updated_number double",
+    )
+    return chunks, spark.createDataFrame([(1, "kafka notes", "s"), (2, "compare spark and flink", "s"), (3, "kafka notes", "s")], "query_id int, question string, space_id string")
+
+
+def test_texts_come_after_the_cut_of_candidates(spark, monkeypatch):
+    whole, described = [], retrieval.described
+    monkeypatch.setattr(retrieval, "described", lambda ranked, chunks, asked: (whole.append(("fusion_score" in ranked.columns, "raw_body" in chunks.columns)), described(ranked, chunks, asked))[1])
+    got = retrieval.hybrid_search(*_notes(spark), 3, scorer=retrieval.shared_terms, most_reranked=4).select("query_id", "chunk_id", "reranker_score").collect()
+    assert [w for w in whole if w[0]] == [(True, False), (True, True)]
+    assert len(got) == 9 and all(r.reranker_score == 1.0 for r in got if r.query_id != 2) and all(r.reranker_score == 0.25 for r in got if r.query_id == 2)
