@@ -503,3 +503,18 @@ def test_texts_come_after_the_cut_of_candidates(spark, monkeypatch):
     got = retrieval.hybrid_search(*_notes(spark), 3, scorer=retrieval.shared_terms, most_reranked=4).select("query_id", "chunk_id", "reranker_score").collect()
     assert [w for w in whole if w[0]] == [(True, False), (True, True)]
     assert len(got) == 9 and all(r.reranker_score == 1.0 for r in got if r.query_id != 2) and all(r.reranker_score == 0.25 for r in got if r.query_id == 2)
+
+
+def test_single_precision_only_rules_out(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "MOST_WAITING", 30)
+    rng = np.random.default_rng(5)
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(300, 16)), rng.normal(size=(5, 16))))
+    a[100:200] = a[:100] + rng.normal(size=(100, 16)) * 1e-7  # scores that single precision can't tell apart
+    true, best = np.round(a @ b.T, 6), retrieval.Best(4, 5, -np.inf)
+    for low in range(0, 300, 11):
+        some = a[low : low + 11]
+        best.offer(some.astype(np.float32) @ b.T.astype(np.float32), np.arange(low, low + len(some)), retrieval._dots(some, b, 3), 5e-6)
+    got = sorted(zip(*(c.tolist() for c in best.settle()), strict=True))
+    assert got == sorted((q, v, d) for q in range(5) for v, d in sorted(((true[d, q], d) for d in range(300)), key=lambda x: (-x[0], x[1]))[:4])
