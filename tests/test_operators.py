@@ -518,3 +518,13 @@ def test_single_precision_only_rules_out(monkeypatch):
         best.offer(some.astype(np.float32) @ b.T.astype(np.float32), np.arange(low, low + len(some)), retrieval._dots(some, b, 3), 5e-6)
     got = sorted(zip(*(c.tolist() for c in best.settle()), strict=True))
     assert got == sorted((q, v, d) for q in range(5) for v, d in sorted(((true[d, q], d) for d in range(300)), key=lambda x: (-x[0], x[1]))[:4])
+
+
+def test_both_paths_of_the_adaptive_mode_share_one_vector_pool(spark, monkeypatch):
+    made, pool = [], retrieval.vector_pool
+    monkeypatch.setattr(retrieval, "vector_pool", lambda *args, **kw: (made.append(1), pool(*args, **kw))[1])
+    chunks, asked = _notes(spark)
+    got = retrieval.adaptive_search(chunks, asked, 3).filter("path = 'hybrid-rerank'").select("query_id", "chunk_id", "place")
+    assert made == [1]
+    assert set(sets(got)) <= set(sets(retrieval.hybrid_search(chunks, asked, 3, scorer=retrieval.shared_terms).select("query_id", "chunk_id", "place")))
+    assert got.filter("query_id = 2").count() == 3
