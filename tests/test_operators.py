@@ -528,3 +528,10 @@ def test_both_paths_of_the_adaptive_mode_share_one_vector_pool(spark, monkeypatc
     assert made == [1]
     assert set(sets(got)) <= set(sets(retrieval.hybrid_search(chunks, asked, 3, scorer=retrieval.shared_terms).select("query_id", "chunk_id", "place")))
     assert got.filter("query_id = 2").count() == 3
+
+
+def test_chunks_of_a_search_are_written_once(spark, small):
+    from strandlake.plans import search
+
+    assert all("/table-" in f for f in search._searched(spark, small).inputFiles())
+    assert all("/table-" in f for f in search._asked(spark, small).inputFiles())
