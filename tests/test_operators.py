@@ -535,3 +535,10 @@ def test_chunks_of_a_search_are_written_once(spark, small):
 
     assert all("/table-" in f for f in search._searched(spark, small).inputFiles())
     assert all("/table-" in f for f in search._asked(spark, small).inputFiles())
+
+
+def test_contained_questions_equal_brute_force(spark):
+    texts = [("a", "s", "The Quick brown fox jumps"), ("b", "s", "quick brown"), ("c", "t", "the quick brown fox"), ("d", "s", None), ("e", "s", "纸鸢导航使用Docker"), ("f", None, "quick")]
+    asked = [(1, "quick brown fox", "s"), (2, "QUICK", "s"), (3, "quick", "s"), (4, "导航", "s"), (5, "x", "s"), (6, "own fox", "t"), (7, "brown fox jumps high", "s"), (8, "quick brown", "s"), (9, "quick", "u"), (10, "quick brown ", "s")]
+    got = sets(retrieval.contained(spark.createDataFrame(texts, "chunk_id string, space_id string, text string"), spark.createDataFrame(asked, "query_id int, question string, space_id string"), width=5).select("query_id", "chunk_id"))
+    assert got == sorted((q, c) for q, question, space in asked for c, own, text in texts if own == space and text is not None and question.lower() in text.lower())
