@@ -542,3 +542,18 @@ def test_contained_questions_equal_brute_force(spark):
     asked = [(1, "quick brown fox", "s"), (2, "QUICK", "s"), (3, "quick", "s"), (4, "导航", "s"), (5, "x", "s"), (6, "own fox", "t"), (7, "brown fox jumps high", "s"), (8, "quick brown", "s"), (9, "quick", "u"), (10, "quick brown ", "s")]
     got = sets(retrieval.contained(spark.createDataFrame(texts, "chunk_id string, space_id string, text string"), spark.createDataFrame(asked, "query_id int, question string, space_id string"), width=5).select("query_id", "chunk_id"))
     assert got == sorted((q, c) for q, question, space in asked for c, own, text in texts if own == space and text is not None and question.lower() in text.lower())
+
+
+def test_turns_of_a_long_session_are_found_by_number(spark):
+    import re
+
+    from strandlake.plans import prompt
+
+    rows = [(m, "s", "user", f"m{m}", (m // 3) * 1000) for m in range(90)] + [(200, None, "user", "x", 5), (201, "s", "user", "untimed", None), (202, "u", "user", "alone", 5)]
+    history = spark.createDataFrame(rows, "message_id bigint, session_id string, msg_role string, content string, t bigint").withColumn("sent_at", F.timestamp_seconds("t")).drop("t")
+    asked = spark.createDataFrame([(3,), (50,), (89,), (200,), (202,)], "query_id bigint")
+    turns = prompt.recent_turns(asked, history, 5)
+    assert sorted((r.query_id, r.from_end, r.content) for r in turns.collect()) == sorted((q, k, f"m{q - k}") for q in (3, 50, 89) for k in range(1, 6) if q >= k)
+    plan = turns._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "session_id" in line]
+    assert joins and all(re.search(r"\[session_id#\d+L?, (cast\()?at#", line) for line in joins)  # a session never meets itself
