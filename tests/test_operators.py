@@ -557,3 +557,10 @@ def test_turns_of_a_long_session_are_found_by_number(spark):
     plan = turns._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "session_id" in line]
     assert joins and all(re.search(r"\[session_id#\d+L?, (cast\()?at#", line) for line in joins)  # a session never meets itself
+
+
+def test_boosts_take_what_is_prepared_of_a_question(spark):
+    rows = spark.createDataFrame([(q, c, question, "Kafka and the course of Redis", section, 0.5, 20240101.0 + c) for q, question in enumerate(("latest Kafka course", "which projects use Redis and the Kafka", "获奖", None)) for c, section in enumerate(("education", "project", "award", "summary", None))], "query_id int, chunk_id int, question string, searchable string, section_type string, score double, updated_number double")
+    questions = retrieval.prepared(rows.select("query_id", "question").distinct())
+    boosted = lambda df: sets(retrieval.freshness_boost(retrieval.section_boost(retrieval.keyword_boost(df), "rank_score"), "intent_score").select("query_id", "chunk_id", "rank_score", "matched_section_intent", "freshness_score"))
+    assert boosted(rows.drop("question").join(questions, "query_id")) == boosted(rows)
