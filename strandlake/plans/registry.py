@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.common import read_table
+from strandlake.common import read_table, written
 from strandlake.functions import keys
 from strandlake.functions import text as T
 from strandlake.operators import catalog, chunking, evaluate, retrieval, versions
@@ -282,17 +282,22 @@ def section_and_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     Messages of one space and content are searched once.
     """
     asked = read_table(spark, sf_dir, "chat_history").filter("msg_role = 'user' and content is not null and space_id is not null")
-    asked = asked.groupBy("message_id").agg(F.min("content").alias("question"), F.min("space_id").alias("space_id"))
-    boosted = _boosted_chunks(asked.groupBy("space_id", "question").agg(F.min("message_id").alias("query_id")), chunk_rows(spark, sf_dir))
-    rows = asked.join(boosted.drop("query_id"), ["space_id", "question"]).withColumnRenamed("message_id", "query_id")
-    return rows.select("query_id", "chunk_id", "section_type", "matched_section_intent", "intent_score", "freshness_score")
+    asked = asked.groupBy(F.col("message_id").alias("query_id")).agg(F.min("content").alias("question"), F.min("space_id").alias("space_id"))
+    return _boosted_chunks(asked, chunk_rows(spark, sf_dir)).select("query_id", "chunk_id", "section_type", "matched_section_intent", "intent_score", "freshness_score")
 
 
 def _boosted_chunks(asked: DataFrame, chunks: DataFrame, k: int = 25) -> DataFrame:
-    """The best ``k`` chunks of each question (query_id, question, space_id) in its space, with their own sections and dates."""
-    hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body"), asked, k, "raw_body", "space_id").withColumnRenamed("doc_id", "chunk_id").drop("space_id")
-    own = chunks.select("chunk_id", "section_type", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")).alias("updated_number"))
-    rows = retrieval.normalize_by_max(hits, "bm25_score", "base").join(own, "chunk_id").join(retrieval.prepared(asked), "query_id")
+    """The best ``k`` chunks of each question (query_id, question, space_id) in its space, with their own sections and dates.
+
+    What the scores need of a chunk comes along with it and is settled once an asking, so that the results are shuffled once.
+    """
+    asked = written(asked)
+    once = asked.groupBy("space_id", "question").agg(F.min("query_id").alias("query_id"))
+    documents = chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body", "section_type", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")).alias("updated_number"))
+    who, hits = retrieval.bm25_askings(documents, once, k, "raw_body", "space_id", ("section_type", "updated_number"))
+    hits = retrieval.normalize_by_max(hits, "bm25_score", "base", "asking").withColumn("fresh_place", retrieval.fresh_place("updated_number", "asking"))
+    asking = asked.join(who.join(once, ["query_id", "space_id"]).drop("query_id"), ["space_id", "question"])
+    rows = retrieval.prepared(asking).join(hits.withColumnRenamed("doc_id", "chunk_id"), "asking")
     return retrieval.freshness_boost(retrieval.section_boost(rows, "base"), "intent_score")
 
 

@@ -564,3 +564,38 @@ def test_boosts_take_what_is_prepared_of_a_question(spark):
     questions = retrieval.prepared(rows.select("query_id", "question").distinct())
     boosted = lambda df: sets(retrieval.freshness_boost(retrieval.section_boost(retrieval.keyword_boost(df), "rank_score"), "intent_score").select("query_id", "chunk_id", "rank_score", "matched_section_intent", "freshness_score"))
     assert boosted(rows.drop("question").join(questions, "query_id")) == boosted(rows)
+
+
+def test_equal_askings_are_ranked_once_with_their_documents_columns(spark):
+    documents = spark.createDataFrame([(f"c{n}", "st"[n % 2], f"kafka {'redis ' * (n % 3)}x{n}", None if n == 3 else f"s{n}", 1.5 * n) for n in range(12)], "doc_id string, space string, text string, section string, dated double")
+    asked = spark.createDataFrame([(1, "kafka redis", "s"), (2, "redis kafka", "s"), (3, "kafka", "t"), (4, "kafka redis", "t"), (5, "none", "s"), (6, None, "s")], "query_id int, question string, space string")
+    who, ranked = retrieval.bm25_askings(documents, asked, 4, "text", "space", ("section", "dated"))
+    assert ranked.select("asking").distinct().count() == 3
+    got = who.join(ranked, "asking").select("query_id", "doc_id", "section", "dated", "bm25_score")
+    joined = retrieval.bm25_askings(documents, asked, 4, "text", "space", ("section", "dated"), joined=True)
+    again = joined[0].join(joined[1], "asking").select(*got.columns)
+    assert sets(got) == sets(retrieval.bm25(documents, asked, 4, "text", "space").join(documents, "doc_id").select(*got.columns)) == sets(again)
+
+
+def test_messages_of_one_content_get_the_same_boosted_chunks(spark):
+    chunks = spark.sql("select concat('c', id) as chunk_id, 's' as space_id, if(id % 2 = 0, 'education', null) as section_type, concat('kafka ', repeat('course ', cast(id % 4 as int))) as raw_body, timestamp'2024-01-01' + make_dt_interval(cast(id as int)) as updated_at from range(40)")
+    asked = spark.createDataFrame([(n, ("latest kafka course", "course kafka", "kafka")[n % 3], "s") for n in range(9)], "query_id int, question string, space_id string")
+    rows = registry._boosted_chunks(asked, chunks, 5)
+    hits = retrieval.normalize_by_max(retrieval.bm25(chunks.withColumnRenamed("chunk_id", "doc_id"), asked, 5, "raw_body", "space_id"), "bm25_score", "base").drop("space_id")
+    own = chunks.select(F.col("chunk_id").alias("doc_id"), "section_type", F.date_format("updated_at", "yyyyMMdd").cast("double").alias("updated_number"))
+    whole = retrieval.freshness_boost(retrieval.section_boost(hits.join(own, "doc_id").join(asked, "query_id"), "base"), "intent_score")
+    columns = ("query_id", "intent_score", "freshness_score")
+    assert sets(rows.select("chunk_id", *columns)) == sets(whole.select(F.col("doc_id").alias("chunk_id"), *columns)) and rows.count() == 45
+    assert "fresh_place" in rows.columns  # settled once an asking, beside the chunk's own columns
+
+
+def test_parts_hold_whole_places_where_they_can(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_PART", 40)
+    rows = spark.range(400).selectExpr("id as key", "case when id < 200 then 'big' when id < 380 then concat('m', id % 6) else concat('s', id % 10) end as place")
+    sizes = [tuple(r) for r in rows.groupBy("place").count().orderBy("place").collect()]
+    parts = [[r for r in p] for p in retrieval.in_order(rows, sizes, "place", "key").rdd.glom().collect()]
+    assert sorted(r.key for p in parts for r in p) == list(range(400)) and all(p == sorted(p, key=lambda r: (r.place, r.key)) for p in parts)
+    over = {place: sum(any(r.place == place for r in p) for p in parts) for place, _ in sizes}
+    assert over["big"] >= 5 and all(n == 1 for place, n in over.items() if place != "big")
+    ranged = [r for p in retrieval.in_order(rows.select("key"), [(None, 400)], "key").rdd.glom().collect() for r in p]
+    assert len(ranged) == 400
