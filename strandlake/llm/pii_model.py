@@ -81,11 +81,12 @@ class Tagger:
     def __init__(self, parameters: dict[str, np.ndarray]) -> None:
         self.p = {k: v.astype(np.float32) for k, v in parameters.items()}
         self.inputs, self.recurrent = {}, {}
-        for d in "fb":  # as columns, with the lines of the gates folded in
+        gates = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, HIDDEN).transpose(1, 0, 2))
+        for d in "fb":  # a table for each gate, with its line folded in: a character's numbers of a gate lie together
             scale = np.repeat(np.array([0.25, 0.25, 0.25, 1], np.float32), HIDDEN)
             shift = np.repeat(np.array([0.5, 0.5, 0.5, 0], np.float32), HIDDEN)
-            self.inputs[d] = np.ascontiguousarray((self.p[f"{d}_x"] * scale + shift).T)
-            self.recurrent[d] = np.ascontiguousarray((self.p[f"{d}_u"] * scale).T)
+            self.inputs[d] = gates(self.p[f"{d}_x"] * scale + shift)
+            self.recurrent[d] = gates(self.p[f"{d}_u"] * scale)
 
     @staticmethod
     def load(path: str | None = None) -> Tagger:
@@ -93,15 +94,15 @@ class Tagger:
             return Tagger({k: file[k] for k in file.files})
 
     def direction(self, classes: np.ndarray, name: str) -> np.ndarray:
-        """Hidden states [time, H, batch] over classes [time, batch]."""
+        """Hidden states [time, batch, H] over classes [time, batch]."""
         x, u = self.inputs[name], self.recurrent[name]
         (steps, batch), size = classes.shape, HIDDEN
-        c, h = np.zeros((size, batch), np.float32), np.zeros((size, batch), np.float32)
-        states = np.empty((steps, size, batch), np.float32)
-        z, drive, new = np.empty((4 * size, batch), np.float32), np.empty((4 * size, batch), np.float32), np.empty((size, batch), np.float32)
-        gates, allow, keep, show, value = z[: 3 * size], z[:size], z[size : 2 * size], z[2 * size : 3 * size], z[3 * size :]
+        c, h = np.zeros((batch, size), np.float32), np.zeros((batch, size), np.float32)
+        states = np.empty((steps, batch, size), np.float32)
+        z, drive, new = np.empty((4, batch, size), np.float32), np.empty((4, batch, size), np.float32), np.empty((batch, size), np.float32)
+        gates, (allow, keep, show, value) = z[:3], z
         for t in range(steps) if name == "f" else range(steps - 1, -1, -1):
-            np.matmul(u, h, out=z)
+            np.matmul(h, u, out=z)
             np.take(x, classes[t], axis=1, out=drive, mode="clip")
             np.add(z, drive, out=z)
             gates.clip(0, 1, out=gates)
@@ -116,8 +117,8 @@ class Tagger:
 
     def emissions(self, classes: np.ndarray) -> np.ndarray:
         """[time, tags, batch]"""
-        e = np.matmul(np.ascontiguousarray(self.p["f_out"].T), self.direction(classes, "f"))
-        e += np.matmul(np.ascontiguousarray(self.p["b_out"].T), self.direction(classes, "b"))
+        e = np.matmul(self.p["f_out"].T, self.direction(classes, "f").transpose(0, 2, 1))
+        e += np.matmul(self.p["b_out"].T, self.direction(classes, "b").transpose(0, 2, 1))
         e += self.p["bias"][:, None]
         return e
 

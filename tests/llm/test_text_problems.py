@@ -259,3 +259,16 @@ def test_confidence_is_calibrated_on_held_out_pieces(spark, small):
 def test_confidences_differ(spark, small):
     made = [r.confidence for r in langid.p4_documents(spark, small).filter("lang is not null").select("confidence").collect()]
     assert min(made) < 0.9 and max(made) <= 1 and len(set(made)) > 20
+
+
+def test_gates_lie_apart_and_follow_the_formula():
+    tagger, size = pii_model.Tagger.load(), pii_model.HIDDEN
+    classes = np.random.default_rng(3).integers(0, pii_model.CLASSES, (5, 3))
+    for name, order in (("f", range(5)), ("b", range(4, -1, -1))):
+        c, h, want = np.zeros((3, size)), np.zeros((3, size)), np.empty((5, 3, size))
+        for t in order:
+            z = tagger.p[f"{name}_x"][classes[t]] + h @ tagger.p[f"{name}_u"]
+            allow, keep, show = (np.clip(z[:, k * size : (k + 1) * size] * 0.25 + 0.5, 0, 1) for k in range(3))
+            c = c * keep + np.clip(z[:, 3 * size :], -1, 1) * allow
+            want[t] = h = np.clip(c, -1, 1) * show
+        assert tagger.inputs[name].shape == (4, pii_model.CLASSES, size) and np.allclose(tagger.direction(classes, name), want, atol=1e-5)
