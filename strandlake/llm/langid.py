@@ -59,6 +59,17 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>")
 _CODE = re.compile(r"[{}()\[\]=;<>_*+\"|\\]")
 
 
+class _Rows(dict):
+    """The row of each run in a model's table, made when it is first asked for."""
+
+    def __init__(self, model: PieceModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, run: str) -> int:
+        return self.model.row_of(run)
+
+
 class PieceModel:
     """Piece probabilities of each language over one vocabulary, and the scores of words under them."""
 
@@ -73,7 +84,8 @@ class PieceModel:
         self.logs = np.log(self.probabilities)
         self.table: list[np.ndarray] = []
         self.matrix = np.empty((0, len(LANGUAGES)))
-        self.known: dict[str, int] = {}
+        self.known = _Rows(self)
+        self.parts: dict[str, np.ndarray] = {}
 
     def fragments(self, run: str) -> list[str]:
         """The run, in lower case and with the mark of a word's begin, cut where no piece can span."""
@@ -153,12 +165,21 @@ class PieceModel:
         if row is None:
             evidence = np.zeros(len(LANGUAGES))
             for fragment in self.fragments(run):
-                logs = self.log_probability(fragment)
-                evidence += np.maximum(logs - logs.max(), -MOST_EVIDENCE)
+                evidence += self.part_of(fragment)
             row = self.known[run] = len(self.table)
             self.table.append(evidence)
         return row
 
+    def part_of(self, fragment: str) -> np.ndarray:
+        """The bounded evidence of a fragment, remembered: runs of Chinese and Japanese share most of theirs."""
+        part = self.parts.get(fragment)
+        if part is None:
+            if len(self.parts) >= CACHE_ENTRIES:
+                self.parts.clear()
+            logs = self.log_probability(fragment)
+            part = self.parts[fragment] = np.maximum(logs - logs.max(), -MOST_EVIDENCE)
+        return part
+
     def evidence(self) -> np.ndarray:
         """``table`` as a matrix, of which the rows known so far are kept."""
         if len(self.matrix) != len(self.table):
@@ -204,7 +225,7 @@ def sentences_of(text: str) -> list[tuple[int, int, list[str], bool]]:
         runs = _RUN.findall(part)
         if not runs:
             continue
-        han = sum([len(r) for r in runs if "぀" <= r[0] <= "鿿"])
+        han = 0 if part.isascii() else sum([len(r) for r in runs if "぀" <= r[0] <= "鿿"])
         full = (len(runs) >= FULL_WORDS or han >= FULL_HAN) and (closed or len(runs) >= 2 * FULL_WORDS or han >= 2 * FULL_HAN)
         inner = part.strip()
         if full:
@@ -241,7 +262,7 @@ def stretches(model: PieceModel, texts: list[str | None], any_words: bool = Fals
     for document in documents:
         for sentence in document:
             cuts.append(len(rows))
-            rows += [model.row_of(r) for r in sentence[2]]
+            rows += map(model.known.__getitem__, sentence[2])
     if not cuts:
         return [[] for _ in documents]
     scores = np.add.reduceat(model.evidence()[rows], cuts, axis=0)
@@ -249,33 +270,35 @@ def stretches(model: PieceModel, texts: list[str | None], any_words: bool = Fals
     # what can't hold a full sentence (headings, code) has a tenth of the say
     said = np.where(full[:, None], scores, scores * 0.1)
     likely = said.argmax(axis=1)
-    results, at = [], 0
+    paths, begins, at = [], [], 0
     for document in documents:
-        here = slice(at, at + len(document))
+        own = likely[at : at + len(document)]
+        path = own if len(document) < 2 or (own == own[0]).all() else decode(said[at : at + len(document)])
+        if document:
+            begins += [at, *(np.flatnonzero(path[1:] != path[:-1]) + (at + 1)).tolist()]
+            paths.append(path)
         at += len(document)
-        own = likely[here]
-        path = own if len(document) < 2 or (own == own[0]).all() else decode(said[here])
-        results.append(_joined(model, document, path, scores[here]))
-    return results
+    return _joined(model, documents, np.concatenate(paths), scores, begins)
 
 
-def _joined(model: PieceModel, document: list, path: np.ndarray, scores: np.ndarray) -> list[dict]:
-    """Neighbouring sentences of one language as one stretch."""
-    if not document:
-        return []
-    begins = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
-    words = np.array([len(s[2]) for s in document])
+def _joined(model: PieceModel, documents: list[list], path: np.ndarray, scores: np.ndarray, begins: list[int]) -> list[list[dict]]:
+    """Neighbouring sentences of one language as one stretch; ``begins`` are the first sentences of all stretches."""
+    words = np.array([len(s[2]) for d in documents for s in d])
     sure = model.posterior(scores, words)[np.arange(len(path)), path]
-    confidence = np.add.reduceat(sure * words, begins) / np.add.reduceat(words, begins)
-    out = []
-    for k, begin in enumerate(begins):
-        end = begins[k + 1] if k + 1 < len(begins) else len(document)
-        language = int(path[begin])
-        out.append({
-            "start_pos": document[begin][0], "end_pos": document[end - 1][1], "lang": LANGUAGES[language], "full_sentences": sum(bool(s[3]) for s in document[begin:end]),
-            "confidence": round(float(confidence[k]), 4),
-        })
-    return out
+    confidence = np.round(np.add.reduceat(sure * words, begins) / np.add.reduceat(words, begins), 4).tolist()
+    languages, ends = path[begins].tolist(), [*begins[1:], len(path)]
+    results, at, k = [], 0, 0
+    for document in documents:
+        out, last = [], at + len(document)
+        while k < len(begins) and begins[k] < last:
+            some = document[begins[k] - at : ends[k] - at]
+            out.append({
+                "start_pos": some[0][0], "end_pos": some[-1][1], "lang": LANGUAGES[languages[k]], "full_sentences": sum([s[3] for s in some]), "confidence": confidence[k],
+            })
+            k += 1
+        results.append(out)
+        at = last
+    return results
 
 
 _models: dict[str, PieceModel] = {}

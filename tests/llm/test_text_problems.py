@@ -272,3 +272,14 @@ def test_gates_lie_apart_and_follow_the_formula():
             c = c * keep + np.clip(z[:, 3 * size :], -1, 1) * allow
             want[t] = h = np.clip(c, -1, 1) * show
         assert tagger.inputs[name].shape == (4, pii_model.CLASSES, size) and np.allclose(tagger.direction(classes, name), want, atol=1e-5)
+
+
+def test_evidence_of_a_fragment_is_found_once(monkeypatch):
+    m = langid.PieceModel(["▁", "数", "据", "库", "▁数", "<0x0A>"])
+    asked, plain = [], m.log_probability
+    monkeypatch.setattr(m, "log_probability", lambda fragment: (asked.append(fragment), plain(fragment))[1])
+    rows = [m.known[run] for run in ("数据库", "数据", "库数据", "数据库")]
+    assert rows == [0, 1, 2, 0] and len(asked) == len(set(asked)) > 1
+    each = [sum(np.maximum(e - e.max(), -langid.MOST_EVIDENCE) for e in map(plain, m.fragments(run))) for run in ("数据库", "数据", "库数据")]
+    assert np.array_equal(m.evidence(), np.array(each))
+    assert langid.sentences_of("数据库用Redis缓存。Plain words follow here.")[0][3] and langid.sentences_of("one two three four five.")[0][3]
