@@ -292,7 +292,7 @@ def _boosted_chunks(asked: DataFrame, chunks: DataFrame, k: int = 25) -> DataFra
     What the scores need of a chunk comes along with it and is settled once an asking, so that the results are shuffled once.
     """
     asked = written(asked)
-    once = asked.groupBy("space_id", "question").agg(F.min("query_id").alias("query_id"))
+    once = written(asked.groupBy("space_id", "question").agg(F.min("query_id").alias("query_id")))
     documents = chunks.select(F.col("chunk_id").alias("doc_id"), "space_id", "raw_body", "section_type", T.date_number(F.date_format("updated_at", "yyyy-MM-dd")).alias("updated_number"))
     who, hits = retrieval.bm25_askings(documents, once, k, "raw_body", "space_id", ("section_type", "updated_number"))
     hits = retrieval.normalize_by_max(hits, "bm25_score", "base", "asking").withColumn("fresh_place", retrieval.fresh_place("updated_number", "asking"))

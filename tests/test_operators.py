@@ -599,3 +599,19 @@ def test_parts_hold_whole_places_where_they_can(spark, monkeypatch):
     assert over["big"] >= 5 and all(n == 1 for place, n in over.items() if place != "big")
     ranged = [r for p in retrieval.in_order(rows.select("key"), [(None, 400)], "key").rdd.glom().collect() for r in p]
     assert len(ranged) == 400
+
+
+def test_blocks_of_questions_are_cut_and_packed_in_tasks(spark, monkeypatch):
+    words = ("kafka", "redis", "course", "award", "项目", "go", "rust", "spark")
+    documents = spark.createDataFrame([(f"c{n}", "st"[n % 2], " ".join(words[i] for i in range(8) if (n * 37 + 11) >> i & 1)) for n in range(60)], "doc_id string, space string, text string")
+    questions = [(n, " ".join(words[i] for i in range(8) if n >> i & 1), "stu"[n % 3]) for n in range(256)]
+    asked = spark.createDataFrame([*questions, (300, None, "s"), (7, "kafka", "t"), (7, "redis redis", "t")], "query_id int, question string, space string")
+    find = lambda: sets(retrieval.bm25(documents, asked, 3, "text", "space").select("query_id", "space", "doc_id", "bm25_score", "bm25_rank"))
+    joined = sets(retrieval.bm25(documents, asked, 3, "text", "space", joined=True).select("query_id", "space", "doc_id", "bm25_score", "bm25_rank"))
+    whole, seen, frame = find(), [], type(asked)
+    to_arrow, create = frame.toArrow, type(spark).createDataFrame
+    monkeypatch.setattr(frame, "toArrow", lambda df: (seen.append((made := to_arrow(df)).num_rows), made)[1])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *rest, **more: (seen.append(1000), create(self, *rest, **more))[1])
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 200)  # several blocks
+    assert find() == whole == joined and len(whole) > 300
+    assert len(seen) > 5 and max(seen) <= 30  # terms, spaces and packed blocks, and neither questions nor askings
